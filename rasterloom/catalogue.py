@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import populations, rasters
+
+QUERIES: dict = populations.QUERIES | rasters.QUERIES
+ORACLES: dict = populations.ORACLES | rasters.ORACLES

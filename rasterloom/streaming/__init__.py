@@ -1,0 +1 @@
+"""Kept free: the surveyed operators are all batch operators."""
