@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import populations, rasters
+from .plans import landforms, populations, rasters
 
-QUERIES: dict = populations.QUERIES | rasters.QUERIES
-ORACLES: dict = populations.ORACLES | rasters.ORACLES
+MODULES = (populations, rasters, landforms)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
