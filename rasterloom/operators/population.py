@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def standardise(rows: DataFrame, group: str, value: str) -> DataFrame:
     """rows with zscore by group, population deviation; null where the group has none."""
     stats = rows.groupBy(group).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    return rows.join(F.broadcast(stats), group).withColumn("zscore", F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+    return rows.join(stats, group).withColumn("zscore", F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
 def reachability(synthetic: DataFrame, real: DataFrame, group: str, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(group, lo, hi, share): the share of real values within the synthetic percentiles."""
     span = synthetic.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__p")).select(group, F.col("__p")[0].alias("lo"), F.col("__p")[1].alias("hi"))
-    return real.join(F.broadcast(span), group).groupBy(group, "lo", "hi").agg(F.avg(F.col(value).between(F.col("lo"), F.col("hi")).cast("double")).alias("share"))
+    return real.join(span, group).groupBy(group, "lo", "hi").agg(F.avg(F.col(value).between(F.col("lo"), F.col("hi")).cast("double")).alias("share"))
 
 
 def tempered_weights(ratios: DataFrame, temper: float = 0.5, cap: float = 0.98) -> DataFrame:
@@ -27,30 +27,38 @@ def tempered_weights(ratios: DataFrame, temper: float = 0.5, cap: float = 0.98)
     return capped.join(F.broadcast(total)).withColumn("w", F.col("__w") / F.col("__total")).drop("__w", "__cap", "__total")
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, ks): the largest gap of the two empirical distributions.
+def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, slices: int = 256) -> DataFrame:
+    """(group, v, fa, fb, next): both empirical distributions at each distinct value, and the next value.
 
-    Counts by distinct value pre-aggregate; the running counts then go over distinct values only.
+    Counts by distinct value pre-aggregate. A group's values are then cut into slices at approximate
+    quantiles: running sums go within a slice, and slices get the sums of those before them, so
+    no group runs through one task. Any cut gives the same result. Null values count for nothing.
     """
-    both = a.select(group, F.col(value).alias("v"), F.lit(1).alias("in_a")).unionByName(b.select(group, F.col(value).alias("v"), F.lit(0).alias("in_a")))
-    by_value = both.groupBy(group, "v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb"))
-    w, whole = Window.partitionBy(group).orderBy("v"), Window.partitionBy(group)
-    gap = F.abs(F.sum("na").over(w) / F.sum("na").over(whole) - F.sum("nb").over(w) / F.sum("nb").over(whole))
-    return by_value.withColumn("gap", gap).groupBy(group).agg(F.max("gap").alias("ks"))
+    key = [group] if group else []
+    both = a.select(*key, F.col(value).alias("v"), F.lit(1).alias("in_a")).unionByName(b.select(*key, F.col(value).alias("v"), F.lit(0).alias("in_a")))
+    by_value = both.where("v is not null").groupBy(*key, "v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb"))
+    cuts = by_value.groupBy(*key).agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10000).alias("__cuts"))
+    placed = (by_value.join(cuts, group) if group else by_value.crossJoin(cuts)).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= F.col("v")))).drop("__cuts")
+    sums = placed.groupBy(*key, "__slice").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("__first"))
+    over, whole = Window.partitionBy(*key).orderBy("__slice"), Window.partitionBy(*key)
+    before = sums.select(*key, "__slice", *((F.sum(c).over(over) - F.col(c)).alias(f"__{c}") for c in ("sa", "sb")), *(F.sum(c).over(whole).alias(f"__all_{c}") for c in ("sa", "sb")), F.lead("__first").over(over).alias("__then"))
+    w = Window.partitionBy(*key, "__slice").orderBy("v")
+    share = lambda n, s: (F.sum(n).over(w) + F.col(f"__{s}")) / F.nullif(F.col(f"__all_{s}"), F.lit(0))
+    return placed.join(before, [*key, "__slice"]).select(*key, "v", share("na", "sa").alias("fa"), share("nb", "sb").alias("fb"), F.coalesce(F.lead("v").over(w), "__then").alias("next"))
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, ks): the largest gap of the two empirical distributions."""
+    return running_shares(a, b, group, value).groupBy(group).agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
 
 
 def energy_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row (energy): 2E|A-B| - E|A-A'| - E|B-B'|, from sorted sums and not from pairs.
 
-    Twice the integral of the squared gap of the two distributions: counts by distinct value,
-    then one running sum over them.
+    Twice the integral of the squared gap of the two distributions.
     """
-    both = a.select(F.col(value).alias("v"), F.lit(1).alias("in_a")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("in_a")))
-    by_value = both.where("v is not null").groupBy("v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb"))
-    w, whole = Window.orderBy("v"), Window.partitionBy()
-    gap = F.sum("na").over(w) / F.sum("na").over(whole) - F.sum("nb").over(w) / F.sum("nb").over(whole)
-    step = F.lead("v").over(w) - F.col("v")
-    return by_value.select((gap * gap * step).alias("part")).agg((2 * F.sum("part")).alias("energy"))
+    gap = F.col("fa") - F.col("fb")
+    return running_shares(a, b, None, value).agg((2 * F.sum(gap * gap * (F.col("next") - F.col("v")))).alias("energy"))
 
 
 def quantile_bin_ratio(target: DataFrame, fitted: DataFrame, value: str, bins: int, strength: float, low: float = 0.2, high: float = 5.0) -> DataFrame:

@@ -104,7 +104,7 @@ SELECT tile, k::INT AS k, round(avg((coalesce(h, 0.5) >= k / 20.0)::INT), 6) AS
 def hypsometric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster(spark, sf_dir)
     span = cells.groupBy("tile").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    h = cells.join(F.broadcast(span), "tile").select("tile", F.coalesce((F.col("z") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.5)).alias("h"))
+    h = cells.join(span, "tile").select("tile", F.coalesce((F.col("z") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.5)).alias("h"))
     wide = h.groupBy("tile").agg(F.array(*(F.avg((F.col("h") >= k / 20.0).cast("double")) for k in range(21))).alias("c"))
     return wide.select("tile", F.posexplode("c").alias("k", "share")).select("tile", "k", r6("share").alias("share"))
 
@@ -122,7 +122,7 @@ SELECT tile, round(a, 6) AS slope_x, round(b, 6) AS slope_y, round(sqrt(greatest
 def plan_detrend_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster(spark, sf_dir)
     mean = cells.groupBy("tile").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    c = cells.join(F.broadcast(mean), "tile").select("tile", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), (F.col("z") - F.col("mz")).alias("h"))
+    c = cells.join(mean, "tile").select("tile", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), (F.col("z") - F.col("mz")).alias("h"))
     s = c.groupBy("tile").agg(*(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("uu", "vv", "uv", "uh", "vh", "hh")), F.count("*").alias("n"))
     det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
     f = s.withColumn("a", (F.col("uh") * F.col("vv") - F.col("vh") * F.col("uv")) / det).withColumn("b", (F.col("vh") * F.col("uu") - F.col("uh") * F.col("uv")) / det)
@@ -147,7 +147,7 @@ SELECT tile, round(m / v, 6) AS morans_i FROM p JOIN v USING (tile)""")
 def morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster(spark, sf_dir)
     mean = cells.groupBy("tile").agg(F.avg("z").alias("m"))
-    c = cells.join(F.broadcast(mean), "tile").select("tile", "x", "y", (F.col("z") - F.col("m")).alias("z"))
+    c = cells.join(mean, "tile").select("tile", "x", "y", (F.col("z") - F.col("m")).alias("z"))
     p = stencil.pairs_at(c, [(0, 1), (1, 0), (1, 1), (1, -1)]).groupBy("tile").agg(F.avg(F.col("a") * F.col("b")).alias("ab"))
     return c.groupBy("tile").agg(F.avg(F.col("z") * F.col("z")).alias("v")).join(p, "tile").select("tile", r6(F.col("ab") / F.col("v")).alias("morans_i"))
 
