@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="rasterloom-")).rstrip("/")
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells (tile, x, y, z): mean quantity on a 32 x 32 lattice of parts and orders, by flags."""
     li = table(spark, sf_dir, "lineitem")
