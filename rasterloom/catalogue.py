@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import files, landforms, populations, rasters
+from .plans import designs, files, landforms, populations, rasters
 
-MODULES = (populations, rasters, landforms, files)
+MODULES = (populations, rasters, landforms, files, designs)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
