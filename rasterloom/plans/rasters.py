@@ -214,7 +214,7 @@ def d8_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.receivers(raster(spark, sf_dir))
 
 
-@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.5 + 0.25 px, j * 2.5 + 0.6 py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)),
+@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.5::DOUBLE + 0.25::DOUBLE px, j * 2.5::DOUBLE + 0.6::DOUBLE py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)),
 q AS (SELECT p.*, floor(px)::INT x0, floor(py)::INT y0 FROM p), b AS (SELECT q.*, a.z a, b.z b, c.z c, d.z d FROM q LEFT JOIN r a ON a.tile = q.tile AND a.x = x0 AND a.y = y0 LEFT JOIN r b ON b.tile = q.tile AND b.x = x0 + 1 AND b.y = y0 LEFT JOIN r c ON c.tile = q.tile AND c.x = x0 AND c.y = y0 + 1 LEFT JOIN r d ON d.tile = q.tile AND d.x = x0 + 1 AND d.y = y0 + 1)
 SELECT tile, round(px, 6) AS px, round(py, 6) AS py, round((a + (px - x0) * (b - a)) + (py - y0) * ((c + (px - x0) * (d - c)) - (a + (px - x0) * (b - a))), 6) AS v FROM b""")
 def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
