@@ -59,3 +59,45 @@ def fbm(x: Column, y: Column, seed: Column, octaves: int = 3, lacunarity: float
         total = total + amp * perlin(x * freq, y * freq, u32(seed + F.lit(o * GOLDEN & MASK)))
         norm, amp, freq = norm + amp, amp * gain, freq * lacunarity
     return total / norm
+
+
+# Steps and multipliers of the seed mixer: fixed values.
+SEED_STEP, CHANNEL_STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None))
+
+
+def bind(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _pair(high: Column, low: Column) -> Column:
+    return F.struct(high.alias("high"), low.alias("low"))
+
+
+def _times64(v: Column, by: int) -> Column:
+    """A (high, low) pair of 32-bit halves times a 64-bit number, modulo 2^64."""
+    b1, b0 = by >> 32, by & MASK
+    first, second = v["low"].bitwiseAND(F.lit(0xFFFF)) * F.lit(b0), F.shiftright(v["low"], 16) * F.lit(b0)
+    low = first.bitwiseAND(F.lit(MASK)) + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16)
+    high = F.shiftright(first, 32) + F.shiftright(second, 16) + F.shiftright(low, 32) + times(v["low"], b1) + times(v["high"], b0)
+    return _pair(u32(high), u32(low))
+
+
+def _fold64(v: Column, by: int) -> Column:
+    """v xor (v >> by) of a pair, by under 32."""
+    moved = F.shiftright(v["low"], by).bitwiseOR(u32(F.shiftleft(v["high"], 32 - by)))
+    return _pair(v["high"].bitwiseXOR(F.shiftright(v["high"], by)), v["low"].bitwiseXOR(moved))
+
+
+def mix_seed(seed: Column, channel: int) -> Column:
+    """The 32-bit noise seed of a 64-bit seed (a bigint's bits) and a channel."""
+    step = SEED_STEP + channel * CHANNEL_STEP
+    low = u32(seed.cast("long")) + F.lit(step & MASK)
+    high = u32(F.shiftright(seed.cast("long"), 32)) + F.lit(step >> 32 & MASK) + F.shiftright(low, 32)
+    v = _pair(u32(high), u32(low))
+    for shift, by in MIX:
+        v = bind(v, lambda z: _fold64(z, shift))
+        if by:
+            v = bind(v, lambda z: _times64(z, by))
+    return v["low"]

@@ -213,23 +213,6 @@ def diffuse(z: np.ndarray, rate: float = 0.2, steps: int = 4) -> np.ndarray:
     return out
 
 
-def erode(z: np.ndarray, epochs: int = 4, rate: float = 0.05, talus: float = 4.0) -> np.ndarray:
-    """Epochs of filling, routing, implicit incision down the receivers, and a talus limit."""
-    out = fill_depressions(z)
-    for _ in range(epochs):
-        k, area = steepest(out), accumulate(out)
-        for at in np.argsort(np.nan_to_num(out, nan=np.inf), axis=None, kind="stable").tolist():
-            y, x = divmod(at, out.shape[1])
-            if k[y, x] < 0 or np.isnan(out[y, x]):
-                continue
-            dx, dy = NEIGHBOURS[k[y, x]]
-            f = rate * np.sqrt(area[y, x]) / np.hypot(dx, dy)
-            low = out[y + dy, x + dx]
-            out[y, x] = min((out[y, x] + f * low) / (1 + f), low + talus * np.hypot(dx, dy))
-        out = fill_depressions(out)
-    return out
-
-
 def shortest_walk(z: np.ndarray, start: tuple[int, int], goal: tuple[int, int], steep: float = 0.2) -> tuple[float, int]:
     """Cost and steps of the cheapest 8-connected walk (A*), a step costing length * (1 + steep * |rise|)."""
     far = lambda y, x: float(np.hypot(y - goal[0], x - goal[1]))

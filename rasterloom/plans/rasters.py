@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import noise
-from ..operators import kernels, stencil
+from ..operators import erosion as erode
+from ..operators import kernels, stencil, terrain
 from ..sources.tables import RASTER, raster, table
 
 QUERIES: dict = {}
@@ -349,7 +350,16 @@ def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.per_tile(raster(spark, sf_dir), lambda z: _cells(z=kernels.erode(z)).dropna(), "x int, y int, z double")
+    def run(z: np.ndarray) -> pd.DataFrame:
+        done = erode.erode(z, 6.0, 0.8, 1.0, 0.3)
+        return _cells(z=done.z, sediment=done.sediment, area=done.area, lake_depth=done.lake_depth).dropna()
+
+    return kernels.per_tile(raster(spark, sf_dir), run, "x int, y int, z double, sediment double, area double, lake_depth double")
+
+
+@query()
+def erosion_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.per_tile(raster(spark, sf_dir), lambda z: pd.DataFrame([erode.erode(z, 6.0, 0.8, 1.0, 0.3).mass]), "eroded double, deposited double, exported double")
 
 
 @query()
@@ -360,3 +370,37 @@ def astar_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"cost": [cost], "steps": [steps]})
 
     return kernels.per_tile(raster(spark, sf_dir), walk, "cost double, steps int")
+
+
+_Z = "xor({0}, {0} >> {1})"
+_MUL = "(({0})::UHUGEINT * {1}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+@query(f"""WITH a AS (SELECT s_suppkey, ((s_suppkey::UHUGEINT * 2654435761 + {noise.SEED_STEP + 3 * noise.CHANNEL_STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT z FROM supplier),
+b AS (SELECT s_suppkey, {_MUL.format(_Z.format("z", 30), noise.MIX[0][1])} z FROM a), c AS (SELECT s_suppkey, {_MUL.format(_Z.format("z", 27), noise.MIX[1][1])} z FROM b) SELECT s_suppkey, ({_Z.format("z", 31)} & 4294967295)::BIGINT AS seed FROM c""")
+def seed_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", noise.mix_seed(F.col("s_suppkey").cast("long") * 2654435761, 3).alias("seed"))
+
+
+def _worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = terrain.Shape(octaves=3, stretch=1.4, angle=0.6, warp=80.0, ridged=-0.2, power=1.3, patchiness=0.25)
+    points = _lattice(spark, sf_dir).select("seed", (F.col("x") * 31.25).alias("px"), (F.col("y") * 31.25).alias("py"))
+    return terrain.hardness(terrain.heights(points, shape).withColumn("tile", F.col("seed").cast("string")), "tile", shape)
+
+
+@query()
+def terrain_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _worlds(spark, sf_dir).select("tile", "px", "py", r6("z").alias("z"), r6("hardness").alias("hardness"))
+
+
+@query()
+def terrain_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated worlds through the whole erosion pass: heights, hardness, then one Arrow group a world."""
+    worlds = _worlds(spark, sf_dir).select("tile", (F.col("px") / 31.25).cast("int").alias("x"), (F.col("py") / 31.25).cast("int").alias("y"), "z", "hardness")
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        hard = kernels.grid_of(rows.assign(z=rows.hardness))
+        done = erode.erode(kernels.grid_of(rows), 31.25, 0.8, 1.0, 0.3, 0.5, hard)
+        return _cells(z=done.z, sediment=done.sediment, area=done.area, lake_depth=done.lake_depth).assign(tile=key[0])
+
+    return worlds.groupBy("tile").applyInPandas(run, "x int, y int, z double, sediment double, area double, lake_depth double, tile string")
