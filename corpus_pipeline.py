@@ -26,11 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each component; one row of it where rows repeat."""
+    """The document of the least doc_id of each component; one row of it where rows repeat.
+
+    A row without doc_id can't stand for a component nor be told from others, so it stays.
+    """
     found = ngram_join.jaccard_components(spark, docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns)
+    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_run_and_odd_tables(spark):
             assert stage(spark, docs, DATA).columns == docs.columns, name
             stage(spark, docs, DATA).collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(rows)
+
+
+def test_rows_without_id_stay_in_the_join(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, None, "a"), (None, text, None, "a"), (2, text, None, "a"), (1, text, None, "b"), (3, None, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    near = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert sorted((r.doc_id or 0) for r in near(spark, docs, DATA).collect()) == [0, 0, 1, 3]
