@@ -1,10 +1,15 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-The most frequent WORDS words stand in classes of equal size by frequency rank; all others are
-the tail, a class of its own. P(w | h) = P(class | h) * P(w | class, h). Both factors are softmax
-models over hashed history features, 1- and 2-grams and skips: class scores from 2^15 rows, word
-scores within a class from 2^14 rows that also hash the class. In the tail, P(w | tail) is the
-word's training count with half a count added, one unseen word included, so P sums to one.
+The words that training holds LEAST times or more, among the LISTED most frequent, are modelled:
+they are the leaves of a tree by frequency rank whose nodes have up to BRANCH children, two levels
+for WORDS words and one more for each BRANCH times as many, so the cost of a token grows with the
+logarithm of the vocabulary. All others are the tail, a class of its own at the root. P(w | h) is
+the product of P(child | node, h) down the path: softmax models over hashed history features, 1- and
+2-grams and skips, at the root from 2^CLASS_BITS rows, below it from 2^WORD_BITS rows that also hash
+the node, and more rows for more words (see Weights.zero). Below the root, the logarithms of the
+children's training counts are added to the scores, so without features a node gives unigrams. In the tail,
+P(w | tail) is the word's training count with half a count added, one unseen word included, so P
+sums to one.
 
 Counts cover all training tokens and grow with the corpus. Training goes over all of it once, in
 rounds of distributed updates: each task runs AdaGrad over its documents from the present model,
@@ -31,6 +36,8 @@ from .shared import Workspace
 from .words import Words, mix64, word_chunks
 
 WORDS, CLASSES, LISTED = 256, 16, 1 << 20
+#: Children of a node, and how often training holds a word that is modelled.
+BRANCH, LEAST = WORDS // CLASSES, 4
 CLASS_BITS, WORD_BITS, BLOCKS = 15, 14, 8
 ROUNDS, BATCH, RATE = 2, 8192, 0.25
 #: Stand-ins for the end of a text and for what precedes it.
@@ -86,10 +93,10 @@ class Vocabulary:
     tail_distinct: int
 
     def ranks(self, token: np.ndarray) -> np.ndarray:
-        """Rank of modelled tokens, WORDS or more for the tail."""
+        """Rank of modelled tokens, their number for the tail."""
         at = np.searchsorted(self.modelled, token)
         at[at == len(self.modelled)] = 0
-        return np.where(self.modelled[at] == token, self.rank[at], WORDS)
+        return np.where(self.modelled[at] == token, self.rank[at], len(self.modelled))
 
     def counts(self, token: np.ndarray) -> np.ndarray:
         """Counts of listed tokens, else -1."""
@@ -102,62 +109,125 @@ class Vocabulary:
 
 @dataclass
 class Weights:
-    """Scores of classes and of words within classes, by hashed feature, and squared-gradient sums."""
+    """Scores of the root's classes and of children of the other nodes, by hashed feature.
+
+    size: modelled words. prior: for each level below the root, the logarithms of the children's
+    counts by node; none: all alike.
+    """
 
     classes: np.ndarray
     words: np.ndarray
+    size: int = WORDS
+    prior: list[np.ndarray] | None = None
 
     @staticmethod
-    def zero() -> Weights:
-        return Weights(np.zeros((1 << CLASS_BITS, CLASSES + 1), np.float32), np.zeros((1 << WORD_BITS, WORDS // CLASSES), np.float32))
-
-
-def _features(token: np.ndarray, row: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table (none, previous, previous two, skip one, skip between) and of the word table."""
-    n = len(token)
-    back = []
+    def zero(counts: np.ndarray) -> Weights:
+        """No weights yet, for modelled words of these counts by rank.
+
+        The rows follow the vocabulary: those of nodes with its cube root, the root's with the square root of that.
+        """
+        size = len(counts)
+        more = max(0, int(np.ceil(np.log2(max(size, 1) / WORDS) / 3)))
+        w = Weights(np.zeros((1 << CLASS_BITS + more // 2, CLASSES + 1), np.float32), np.zeros((1 << WORD_BITS + more, BRANCH), np.float32), size)
+        level, w.prior = counts.astype(np.float64), []
+        for _ in range(w.depth() - 1):
+            level = np.concatenate([level, np.zeros(-len(level) % BRANCH)]).reshape(-1, BRANCH)
+            w.prior.insert(0, np.log(np.maximum(level, 1e-30)).astype(np.float32))
+            level = level.sum(axis=1)
+        return w
+
+    def depth(self) -> int:
+        """Levels of the tree: the least number, two or more, whose leaves hold all words."""
+        depth, leaves = 2, CLASSES * BRANCH
+        while leaves < self.size:
+            depth, leaves = depth + 1, leaves * BRANCH
+        return depth
+
+    def root_children(self) -> int:
+        return -(-self.size // BRANCH ** (self.depth() - 1))
+
+
+def _histories(token: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """The previous word, the one before, and the third from here."""
+    n, back = len(token), []
     for k in (1, 2, 3):
         b = np.full(n, START, np.uint64)
         b[k:] = np.where(row[k:] == row[:-k], token[:-k], START) if n > k else b[k:]
         back.append(b)
+    return back
+
+
+def _rows(keys: list[np.ndarray], first: int, rows: int) -> np.ndarray:
+    shift = np.uint64(65 - rows.bit_length())
+    return np.stack([mix64(k + np.uint64(0x632BE59BD9B4E019 * (i + first) & (1 << 64) - 1)) >> shift for i, k in enumerate(keys)]).astype(np.int32)
+
+
+def _top(w: Weights, back: list[np.ndarray]) -> np.ndarray:
+    """Rows of the class table: none, previous, previous two, skip one, skip between."""
     one, two, three = back
     mul = np.uint64(0xA0761D6478BD642F)
-    key = [np.zeros(n, np.uint64), one, one * mul + two, two, one * mul + three]
-    top = np.stack([mix64(k + np.uint64(0x632BE59BD9B4E019 * (i + 1) & (1 << 64) - 1)) >> np.uint64(64 - CLASS_BITS) for i, k in enumerate(key)]).astype(np.int32)
-    group = (rank // (WORDS // CLASSES)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    low = np.stack([mix64(k ^ group + np.uint64(0x632BE59BD9B4E019 * (i + 9) & (1 << 64) - 1)) >> np.uint64(64 - WORD_BITS) for i, k in enumerate((key[0], one, two))]).astype(np.int32)
-    return top, low
+    return _rows([np.zeros(len(one), np.uint64), one, one * mul + two, two, one * mul + three], 1, len(w.classes))
+
+
+def _low(w: Weights, one: np.ndarray, two: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+    """Rows of the word table for nodes of a level: previous, skip one."""
+    group = (node.astype(np.uint64) * np.uint64(16) + np.uint64(level)) * np.uint64(0xD6E8FEB86659FD93)
+    return _rows([one ^ group, two ^ group], 10, len(w.words))
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _softmax(table: np.ndarray, rows: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
     z = table[rows[0]]
     for r in rows[1:]:
         z = z + table[r]
+    if offset is not None:
+        z = z + offset
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
+def _root_offset(w: Weights) -> np.ndarray | None:
+    """Classes that no word is in have no share."""
+    used = w.root_children()
+    if used == CLASSES:
+        return None
+    out = np.zeros(CLASSES + 1, np.float32)
+    out[used:CLASSES] = -70
+    return out
+
+
+def _levels(w: Weights, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Below the root: level, node and child of the path to each rank, and the children's offsets."""
+    depth = w.depth()
+    for level in range(1, depth):
+        below = rank // BRANCH ** (depth - 1 - level)
+        node = below // BRANCH
+        yield level, node, below % BRANCH, None if w.prior is None else w.prior[level - 1][node]
+
+
 def log_probability(w: Weights, token: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """log10 of P(class | h), and of P(w | class, h) where the word is modelled."""
-    top, low = _features(token, row, rank)
-    out = np.empty(len(token))
-    per = WORDS // CLASSES
+    back, out = _histories(token, row), np.empty(len(token))
+    wide, offset = BRANCH ** (w.depth() - 1), _root_offset(w)
     for at in range(0, len(token), 1 << 15):
         part = slice(at, at + (1 << 15))
         r = rank[part]
-        p = _softmax(w.classes, top[:, part])[np.arange(len(r)), np.minimum(r // per, CLASSES)].astype(np.float64)
-        inside = np.flatnonzero(r < WORDS)
-        q = _softmax(w.words, low[:, part][:, inside])
-        p[inside] *= q[np.arange(len(inside)), r[inside] % per]
-        out[part] = np.log10(np.maximum(p, 1e-30))
+        top = np.where(r < w.size, r // wide, CLASSES)
+        h = [b[part] for b in back]
+        p = np.log10(np.maximum(_softmax(w.classes, _top(w, h), offset)[np.arange(len(r)), top], 1e-30).astype(np.float64))
+        inside = np.flatnonzero(r < w.size)
+        one, two = h[0][inside], h[1][inside]
+        for level, node, child, prior in _levels(w, r[inside]):
+            q = _softmax(w.words, _low(w, one, two, level, node), prior)
+            p[inside] += np.log10(np.maximum(q[np.arange(len(inside)), child], 1e-30))
+        out[part] = p
     return out
 
 
-def _step(table: np.ndarray, square: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+def _step(table: np.ndarray, square: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, offset: np.ndarray | None) -> None:
     """One AdaGrad update of a softmax on a batch."""
-    g = _softmax(table, rows)
+    g = _softmax(table, rows, offset)
     g[np.arange(len(target)), target] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
@@ -171,24 +241,29 @@ def _step(table: np.ndarray, square: np.ndarray, touched: np.ndarray, rows: np.n
 
 def learn(w: Weights, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Update w in place from (token, row, rank) batches; gives how often each row was used."""
-    per = WORDS // CLASSES
+    wide, offset = BRANCH ** (w.depth() - 1), _root_offset(w)
     squares = [np.zeros_like(w.classes), np.zeros_like(w.words)]
     touched = [np.zeros(len(w.classes), np.float32), np.zeros(len(w.words), np.float32)]
     for token, row, rank in batches:
-        top, low = _features(token, row, rank)
+        back = _histories(token, row)
         for at in range(0, len(token), BATCH):
             part = slice(at, at + BATCH)
-            r = rank[part]
-            _step(w.classes, squares[0], touched[0], top[:, part], np.minimum(r // per, CLASSES))
-            inside = np.flatnonzero(r < WORDS)
+            r, h = rank[part], [b[part] for b in back]
+            _step(w.classes, squares[0], touched[0], _top(w, h), np.where(r < w.size, r // wide, CLASSES), offset)
+            inside = np.flatnonzero(r < w.size)
+            one, two = h[0][inside], h[1][inside]
             if len(inside):
-                _step(w.words, squares[1], touched[1], low[:, part][:, inside], r[inside] % per)
+                for level, node, child, prior in _levels(w, r[inside]):
+                    _step(w.words, squares[1], touched[1], _low(w, one, two, level, node), child, prior)
     return touched[0], touched[1]
 
 
-def _updates(vocabulary_b, weights_b):
+def _updates(vocabulary_b, weights_b, blocks: int):
+    """(block, rows, weights, times) of the rows that a task has used: places in the block, weights as half floats, uses."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = vocabulary_b.value, Weights(weights_b.value.classes.copy(), weights_b.value.words.copy())
+        v, held = vocabulary_b.value, weights_b.value
+        w = Weights(held.classes.copy(), held.words.copy(), held.size, held.prior)
 
         def parts():
             for batch in batches:
@@ -197,22 +272,37 @@ def _updates(vocabulary_b, weights_b):
                     yield token, row, v.ranks(token)
 
         touched = learn(w, parts())
-        if touched[0].any():
-            for name, table, times in (("classes", w.classes, touched[0]), ("words", w.words, touched[1])):
-                for i, (t, k) in enumerate(zip(np.array_split(table * times[:, None], BLOCKS), np.array_split(times, BLOCKS), strict=True)):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}{i}"]), pa.array([t.tobytes()], pa.binary()), pa.array([k.tobytes()], pa.binary())], ["block", "sums", "times"])
+        for name, table, times in (("classes", w.classes, touched[0]), ("words", w.words, touched[1])):
+            each = len(table) // blocks
+            for i in range(blocks):
+                own = slice(i * each, (i + 1) * each)
+                used = np.flatnonzero(times[own])
+                if len(used):
+                    k = times[own][used]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}{i}"]), *(pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), table[own][used].astype(np.float16), k))], ["block", "rows", "weights", "times"])
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, list[np.ndarray]] = {}
-    for batch in batches:
-        for block, sums, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            new = [np.frombuffer(sums, np.float32).astype(np.float64), np.frombuffer(times, np.float32).astype(np.float64)]
-            total[block] = new if block not in total else [a + b for a, b in zip(total[block], new, strict=True)]
-    for block, (sums, times) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], ["block", "sums", "times"])
+def _averages(each: dict[str, tuple[int, int]]):
+    """From _updates, the mean weights (block, rows, means) by use; each: rows and columns of a block of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, rows, weights, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shape = each[block.rstrip("0123456789")]
+                if block not in total:
+                    total[block] = np.zeros(shape), np.zeros(shape[0])
+                at, k = np.frombuffer(rows, np.int32), np.frombuffer(times, np.float32)
+                total[block][0][at] += np.frombuffer(weights, np.float16).reshape(-1, shape[1]) * k[:, None]
+                total[block][1][at] += k
+        for block, (sums, times) in total.items():
+            used = np.flatnonzero(times)
+            means = (sums[used] / times[used, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([means.tobytes()], pa.binary())], ["block", "rows", "means"])
+
+    return run
 
 
 def train(spark: SparkSession, space: Workspace, docs: DataFrame) -> tuple[Vocabulary, Weights, DataFrame]:
@@ -232,7 +322,8 @@ def train(spark: SparkSession, space: Workspace, docs: DataFrame) -> tuple[Vocab
     word, n = listed.column("word").to_numpy().view(np.uint64), listed.column("n").to_numpy()
     order = np.argsort(word)
     word, n = word[order], n[order]
-    ranked = np.lexsort((word, -n, word != END))[:WORDS]
+    ranked = np.lexsort((word, -n, word != END))
+    ranked = ranked[n[ranked] >= LEAST]
     top = np.sort(word[ranked])
     rank = np.argsort(np.argsort(word[ranked]))  # place of each rank among the sorted
     by_place = np.empty(len(top), np.int64)
@@ -240,19 +331,19 @@ def train(spark: SparkSession, space: Workspace, docs: DataFrame) -> tuple[Vocab
     if not len(top):
         top, by_place = np.array([END]), np.zeros(1, np.int64)
     v = Vocabulary(total, distinct, word, n, top, by_place, total - int(n[ranked].sum()), distinct - len(ranked))
-    sent, w = spark.sparkContext.broadcast(v), Weights.zero()
+    sent, w = spark.sparkContext.broadcast(v), Weights.zero(n[ranked] if len(ranked) else np.ones(1))
+    # Blocks follow the rows, so what a task adds up stays as it is.
+    blocks = BLOCKS * (len(w.words) >> WORD_BITS)
+    each = {name: (len(t) // blocks, t.shape[1]) for name, t in (("classes", w.classes), ("words", w.words))}
     for i in range(ROUNDS):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select("text")
-        got = part.mapInArrow(_updates(sent, spark.sparkContext.broadcast(w)), "block string, sums binary, times binary")
-        got = got.repartition(BLOCKS, "block").mapInArrow(_add_up, "block string, sums binary, times binary").collect()
-        found = {r.block: r for r in got}
-        for name in ("classes", "words"):
-            table = getattr(w, name)
-            for j, old in enumerate(np.array_split(table, BLOCKS)):
-                if r := found.get(f"{name}{j}"):
-                    times = np.frombuffer(r.times)[:, None]
-                    new = np.frombuffer(r.sums).reshape(old.shape) / np.maximum(times, 1)
-                    old[:] = np.where(times > 0, new, old)
+        got = part.mapInArrow(_updates(sent, spark.sparkContext.broadcast(w), blocks), "block string, rows binary, weights binary, times binary")
+        got = got.repartition(blocks, "block").mapInArrow(_averages(each), "block string, rows binary, means binary").collect()
+        for r in got:
+            name = r.block.rstrip("0123456789")
+            size, width = each[name]
+            at = np.frombuffer(r.rows, np.int32) + size * int(r.block[len(name) :])
+            getattr(w, name)[at] = np.frombuffer(r.means, np.float32).reshape(-1, width)
     return v, w, counts
 
 
@@ -274,7 +365,7 @@ def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary,
                 code, distinct = pd.factorize(token)
                 n = v.counts(distinct)[code]
                 rank = v.ranks(distinct)[code]
-                tail = rank >= WORDS
+                tail = rank >= len(v.modelled)
                 known = n > 0
                 half = np.where(known, np.log10(np.maximum(n, 0) + 0.5), 0.0)
                 add = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731

@@ -362,6 +362,30 @@ def test_language_model_odd_rows(spark, odd, none):
         assert len(got) == df.count() and all(math.isfinite(r.score) for r in got)
 
 
+def test_language_model_chooses_content_words(spark):
+    # 600 words, each followed by the one that only it foretells, and a word too rare for the model.
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"a{i} b{i}" for i in rng.integers(0, 600, 40))
+    space, rows = Workspace(spark, "test"), [(i, text()) for i in range(2000)] + [(2000, "once")]
+    v, w, counts = maxent_lm.train(spark, space, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(v.modelled) == w.size == 1201 and v.tail_total == 1
+    asked = spark.createDataFrame([(1, " ".join(f"a{i} b{i}" for i in range(300, 600))), (2, " ".join(f"a{i} b{(i + 7) % 600}" for i in range(300, 600)))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in maxent_lm.score(spark, space, asked, v, w, counts).collect()}
+    assert got[1] > got[2] + 300 * 0.5
+
+
+def test_language_model_sums_to_one_over_a_larger_vocabulary():
+    rng = np.random.default_rng(1)
+    size = 5000
+    w = maxent_lm.Weights.zero(np.sort(rng.integers(4, 900, size))[::-1])
+    w.classes[:], w.words[:] = rng.normal(size=w.classes.shape), rng.normal(size=w.words.shape)
+    each = np.arange(size + 1)
+    token = np.stack([np.full(size + 1, 5), np.full(size + 1, 6), 1000 + each], axis=1).astype(np.uint64).ravel()
+    rank = np.stack([np.full(size + 1, size), np.full(size + 1, size), each], axis=1).ravel()
+    p = 10 ** maxent_lm.log_probability(w, token, np.repeat(each, 3), rank)[2::3]
+    assert w.depth() == 4 and len(w.words) > 1 << maxent_lm.WORD_BITS and p.sum() == pytest.approx(1, abs=1e-4)
+
+
 # 10
 def test_language_id(spark, odd, none):
     got = QUERIES["op10_zstd_language_id"](spark, "/root/testdata/sf0.01").toPandas()
