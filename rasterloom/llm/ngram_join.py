@@ -17,9 +17,10 @@ document's shingles? Links and components are exact (up to 64-bit shingle hashes
    first, it shares one of the first c - need + 1. Classes that meet there get one block.
 4. A block holds every candidate of its members. Its whole sets are indexed and each member
    searches: short lists are merged with the lowered threshold T - L, the L longest are only
-   probed by binary search, and survivors have their exact overlap. A block over `block_docs`
-   first links members to its leaders in one join per round; then only the members outside the
-   largest group search, over slices of the block, so no task holds an unbounded group.
+   probed by binary search, and survivors have their exact overlap. In a block over `block_docs`
+   every member searches each slice of the block, so no task holds an unbounded group; the work
+   there grows with the square of the block. A member's links are the rows of the classes that its
+   searches find, and the other rows of its own class.
 
 Null and empty texts have the empty set: n_shingles 0, a component of their own. Repeated rows
 stay rows. Extra columns are ignored.
@@ -314,10 +315,10 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def block_links(fps: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]] | None, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links that span the components of a block, and each query's number of linked members.
+def block_links(fps: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]] | None, percent: int, sizes: list[int] | None = None) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links that span the components of a block, and the sum of each query's linked members' sizes.
 
-    queries None: each member searches. Otherwise these search the members.
+    queries None: each member searches. Otherwise these search the members. sizes None: one each.
     """
     index = Index(sets, percent)
     degree: dict[int, int] = {}
@@ -332,7 +333,7 @@ def block_links(fps: list[int], sets: list[np.ndarray], queries: list[tuple[int,
         for m in linked.tolist():
             if fps[m] == fp:
                 continue
-            count += 1
+            count += 1 if sizes is None else sizes[m]
             a, b = _find(parent, me), _find(parent, m)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -359,62 +360,55 @@ def _sets_of(k: int):
 def _search_blocks(percent: int):
     """From rows sorted by (block, slice, role, fp): links of each block or slice of one.
 
-    Role 0 are members; role 1 search them. Without role 1, members search each other.
+    Role 0 are members; role 1 search them. Without role 1, members search each other. Gives links
+    (a, b) that span components, and (a, null, rows) for the rows that are linked to a here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, sets, queries = None, [], [], []
+        key, fps, sets, sizes, queries = None, [], [], [], []
+
+        def search() -> Iterator[pa.RecordBatch]:
+            edges, degree = block_links(fps, sets, queries or None, percent, sizes)
+            linked = [(a, None, n) for a, n in degree.items() if n]
+            rows = [(a, b, None) for a, b in edges] + linked
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["a", "b", "rows"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            if key is not None and (len(fps) > 1 or queries):
-                edges, _ = block_links(fps, sets, queries or None, percent)
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
+            if key is not None and fps and (len(fps) > 1 or queries):
+                yield from search()
 
         for batch in batches:
-            for block, part, role, fp, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for block, part, role, fp, size, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (block, part) != key:
                     yield from close()
-                    key, fps, sets, queries = (block, part), [], [], []
+                    key, fps, sets, sizes, queries, last = (block, part), [], [], [], [], None
+                # Repeated rows of a doc_id bring the same set again.
+                if (role, fp) == last:
+                    continue
+                last = role, fp
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    if not fps or fps[-1] != fp:
-                        fps.append(fp)
-                        sets.append(s)
-                elif len(queries) >= 4096:
+                    fps.append(fp)
+                    sets.append(s)
+                    sizes.append(size)
+                    continue
+                if len(queries) >= 4096:
                     # Many searchers: the index is built anew for the next few thousand.
-                    edges, _ = block_links(fps, sets, queries, percent)
-                    if edges:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
-                    queries = [(fp, s)]
-                else:
-                    queries.append((fp, s))
+                    yield from close()
+                    queries = []
+                queries.append((fp, s))
         yield from close()
 
     return run
 
 
-def _leader_links(percent: int):
-    """Rows (fp, set, leader, leader's set): is the Jaccard similarity reached?"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], ["block", "fp", "leader", "linked"])
-
-    return run
-
-
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 1024, rounds: int = 3) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size.
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 1024) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size, n_links.
 
     component_id is the least doc_id that links reach, class_size the number of rows with an
-    equal shingle set. block_docs is the number of documents that a task indexes at once and
-    rounds how many leaders an oversize block tries; neither changes the result.
+    equal shingle set, n_links the number of other rows whose similarity reaches the threshold.
+    block_docs is the number of documents that a task indexes at once; it does not change the result.
     """
     space = Workspace(spark, "ngram-join")
     text = docs.select("text")
@@ -443,39 +437,25 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     blocks = space.save(connected_components(space, met).select(F.col("node").alias("fp"), F.col("root").alias("block")), "blocks")
 
     sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    placed = blocks.join(sizes, "block").join(classes.select("fp", "rid"), "fp")
-    texts = placed.join(docs.select(F.col("doc_id").alias("rid"), "text"), "rid").select("block", F.lit(0).alias("slice"), F.lit(0).alias("role"), "fp", "members", "text")
-    sets = space.save(texts.mapInArrow(_sets_of(k), "block long, slice int, role int, fp long, members long, sets binary"), "sets")
+    placed = blocks.join(sizes, "block").join(classes.select("fp", "rid", F.col("class_size").alias("size")), "fp")
+    texts = placed.join(docs.select(F.col("doc_id").alias("rid"), "text"), "rid").select("block", F.lit(0).alias("slice"), F.lit(0).alias("role"), "fp", "size", "members", "text")
+    sets = space.save(texts.mapInArrow(_sets_of(k), "block long, slice int, role int, fp long, size long, members long, sets binary"), "sets")
 
-    shape = ["block", "slice", "role", "fp", "sets"]
+    shape = ["block", "slice", "role", "fp", "size", "sets"]
     work = sets.where(F.col("members") <= block_docs).select(shape)
-    big = sets.where(F.col("members") > block_docs).select("block", "fp", "members", "sets")
-    links = None
-    if big.take(1):
-        # Leaders: the member with most shared shingles first, then any that is still without one.
-        strength = rare.groupBy("fp").agg(F.max("c").alias("c"))
-        left = space.save(big.join(strength, "fp"), "left")
-        for _ in range(rounds):
-            chosen = left.groupBy("block").agg(F.max_by("fp", F.struct("c", "fp")).alias("leader"))
-            leaders = chosen.join(left.select(F.col("fp").alias("leader"), F.col("sets").alias("leader_set")), "leader").dropDuplicates(["leader"])
-            tried = left.join(leaders, "block").select("block", "fp", "leader", "sets", "leader_set").mapInArrow(_leader_links(percent), "block long, fp long, leader long, linked boolean")
-            tried = space.save(tried, "tried")
-            links = tried.where("linked").select("block", "fp", "leader") if links is None else links.union(tried.where("linked").select("block", "fp", "leader"))
-            left = space.save(left.join(tried.where("not linked").select("fp").distinct(), "fp", "left_semi"), "left")
-        home = links.groupBy("block", "leader").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        inside = links.join(home, ["block", "leader"]).select("fp").distinct()
-        slices = F.ceil(F.col("members") / block_docs).cast("int")
-        asking = big.join(inside, "fp", "left_anti")
-        work = work.union(big.select("block", F.pmod(F.xxhash64("fp"), slices).cast("int").alias("slice"), F.lit(0).alias("role"), "fp", "sets"))
-        work = work.union(asking.select("block", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(1).alias("role"), "fp", "sets"))
-    found = work.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "role", "fp").mapInArrow(_search_blocks(percent), "a long, b long")
-    if links is not None:
-        found = found.union(links.select("fp", "leader"))
+    big = sets.where(F.col("members") > block_docs)
+    slices = F.ceil(F.col("members") / block_docs).cast("int")
+    work = work.union(big.select("block", F.pmod(F.xxhash64("fp"), slices).cast("int").alias("slice"), "role", "fp", "size", "sets"))
+    work = work.union(big.select("block", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(1).alias("role"), "fp", "size", "sets"))
+    searched = work.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "role", "fp").mapInArrow(_search_blocks(percent), "a long, b long, rows long")
+    searched = space.save(searched, "searched")
+    found = searched.where("b is not null").select("a", "b")
+    degrees = searched.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("rows").alias("rows"))
     reached = connected_components(space, found)
 
     group = classes.join(reached, classes.fp == reached.node, "left").select("fp", "fp2", "rid", "class_size", F.coalesce("root", "fp").alias("root"))
     named = group.groupBy("root").agg(F.min("rid").alias("component_id"))
-    ids = space.save(group.join(named, "root").select("fp", "fp2", "component_id", "class_size"), "ids")
-    full = signed.where("n > 0").join(ids, ["fp", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    none = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    ids = space.save(group.join(named, "root").join(degrees, "fp", "left").select("fp", "fp2", "component_id", "class_size", (F.col("class_size") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links")), "ids")
+    full = signed.where("n > 0").join(ids, ["fp", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")
+    none = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return full.union(none)

@@ -87,6 +87,22 @@ def test_join_matches_brute_force(spark, block_docs):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block_docs", [1024, 4])
+def test_join_counts_links(spark, block_docs):
+    rng = np.random.default_rng(6)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(40):  # near copies of one text, some too far, some twice
+        w = list(base)
+        for at in rng.choice(120, rng.integers(0, 5), replace=False):
+            w[at] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(40 + i, rows[i % 5][1]) for i in range(12)] + [(60, "alone"), (61, None), (62, "")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w := words(t, True)) >= 5 else {tuple(w)} - {()} for i, t in rows}
+    want = {i: sum(j != i and 100 * len(a & b) >= 80 * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), block_docs=block_docs).collect()}
+    assert got == want and max(want.values()) > 20 and len(set(want.values())) > 3
+
+
 def test_join_on_the_table_and_on_odd_rows(spark, docs, odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, docs).collect()}
     assert got == brute_components(texts_of(docs))
