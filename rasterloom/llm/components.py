@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is one aggregation and one join on node ids, so a hub's edges pre-aggregate before
-the shuffle and adaptive execution can split its side of the join. Nothing reaches the driver
-but the number and checksum of the edges, which tell when they have settled.
+Every step is one aggregation and one join on node ids. The aggregation combines before the shuffle.
+In the join a hub's edges would meet in one task, so hubs are split off: nodes with over 1/1024 of
+the edge ends, of which there can be 1024 at most, are broadcast to their edges, which stay where
+they are. Nothing else reaches the driver but the number and checksum of the edges, which tell when
+they have settled.
 """
 
 from __future__ import annotations
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace
 
+HUBS, LEAST_DEGREE = 1024, 512
+
+
+def _to_least(space: Workspace, edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges(u, v) with the m of least(u, m, degree); hubs by broadcast, the others by a shuffle."""
+    least = space.save(least, "least")
+    hub = F.col("degree") > max(LEAST_DEGREE, ends // HUBS)
+    if least.where(hub).isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    # Degrees add up to the edge ends, so there are HUBS rows at most.
+    marked = edges.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    cold = marked.where("hub_m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    return cold.union(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
 
 def connected_components(space: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of an edge (a, b); root is the component's least node.
@@ -25,18 +41,18 @@ def connected_components(space: Workspace, edges: DataFrame, rounds: int = 60) -
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             break
-        before = seen
+        before, ends = seen, 2 * seen[0]
         # Large star: each larger neighbour of u goes to the least of u and its neighbours.
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        star = star.where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        star = _to_least(space, both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = space.save(star.where("u <> v").distinct(), "star")
         # Small star: each lesser neighbour of u, and u, go to the least of them.
-        least = star.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        met = star.withColumnRenamed("hi", "u").join(least, "u")
-        moved = met.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("u", "m")).distinct()
+        least = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        met = _to_least(space, star, least, ends)
+        moved = met.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(least.select("u", "m")).distinct()
         new = space.save(moved, "edges")
-        space.drop(now)
+        space.drop(now, star)
         now = new
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")

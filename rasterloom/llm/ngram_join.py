@@ -3,34 +3,42 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold t.
 For sets of n and m shingles that needs an overlap of T = ceil(t * max(n, m)) or more, so the
 join is a T-occurrence problem: which documents occur T times in the inverted lists of a query
-document's shingles? Links and components are exact (up to 64-bit shingle hashes).
+document's shingles? Links and components are exact up to 64-bit hashes of shingles.
 
-1. Documents of equal sets are one class (128-bit digest of the set). What follows works on
-   classes, so copies cost nothing beyond that aggregation.
+1. Documents of equal sets are one class, known by the 128-bit digest of the set. What follows
+   works on classes, so copies cost nothing beyond that aggregation.
 2. In one global order of shingles the first n - T + l of both of a linked pair share at least
    l (common shingles in order: the j-th leaves O - j behind it). Posting these gives the first
    lists. Shingles with lists of one document count for nothing, and a class that keeps fewer
    than the l of its least partner is out: this ends nearly all documents that have no partner.
    A bounded table of frequent shingles stands last in the order and never enters the shuffle;
-   any order is right, the frequencies only shorten lists.
+   any order is right, the frequencies only shorten lists. Lists name classes by half a digest:
+   two classes of one half post together, which can only add candidates.
 3. Within what is left, a pair still shares `need` shingles, so among the c kept ones, rarest
    first, it shares one of the first c - need + 1. Classes that meet there get one block.
-4. A block holds every candidate of its members. Its whole sets are indexed and each member
-   searches: short lists are merged with the lowered threshold T - L, the L longest are only
-   probed by binary search, and survivors have their exact overlap. In a block over `block_docs`
-   every member searches each slice of the block, so no task holds an unbounded group; the work
-   there grows with the square of the block. A member's links are the rows of the classes that its
-   searches find, and the other rows of its own class.
-
-Null and empty texts have the empty set: n_shingles 0, a component of their own. Repeated rows
-stay rows. Extra columns are ignored.
+4. A block over the bounds (`block_docs` members or `block_shingles` shingles) may only be chained
+   by passages that many unlike documents share. Its whole sets are posted, and step 3 is done
+   again with need = T in the order of the frequencies within: a document of whose shingles fewer
+   than T are shared by anyone is out, and what meets only in a common passage comes apart.
+5. A block holds every candidate of its members. Its whole sets are indexed and each member
+   searches: short lists are merged through a heap with the lowered threshold T - L, the L longest
+   are only probed by binary search, and survivors have their exact overlap. A block that is still
+   over the bounds is cut into s slices, and its pairs of slices are cells of their own: one side
+   is indexed, the other searches, so no task holds an unbounded group and each member is sent s
+   times. A member's links are the rows of the classes that its searches find, and the other rows
+   of its own class; links stay counts, no pair leaves a cell but a spanning forest's.
+
+Null and empty texts have the empty set: n_shingles 0, a component of their own. A null doc_id
+links like any other and is never the least of a component; a component of none but null doc_ids
+has a null component_id. Repeated rows stay rows, each with the others as links. Ties can't arise:
+component_id is a minimum. A text of any length is one set, held whole by the task that reads it.
+An empty table gives no rows. Only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +53,14 @@ from .words import shingle_sets, word_chunks
 HEAVY_MOST, HEAVY_DF = 1 << 16, 500
 #: Document frequencies are told apart up to here; a list being read holds no more.
 DF_MOST = 1 << 16
-#: Merges of up to so many postings go through a heap; longer ones are counted in an array.
-HEAP_MOST = 256
+#: Merges of up to so many postings go through a heap; what is longer, as in dense groups, is counted in an array.
+HEAP_MOST = 1024
+#: Rough costs for choosing how many lists to probe: of a posting in the heap and in an array, and of a probe.
+HEAP_COST, ARRAY_COST, PROBE_COST = 0.3, 0.012, 0.06
+#: A cell holds about so many members and shingles.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
+#: log2 of the bits of the filter by which scans find the texts of block members.
+FILTER_BITS = 26
 
 
 def least_overlap(n, percent: int):
@@ -69,11 +83,15 @@ def needed(n: int, percent: int) -> int:
     return int(spare(least_overlap(n, percent), percent))
 
 
-def digest(shingles: np.ndarray) -> tuple[int, int]:
+def digest(shingles: np.ndarray) -> bytes:
+    """The name of a class: 16 bytes; half() of it stands in lists."""
     import xxhash
 
-    d = xxhash.xxh3_128_intdigest(shingles.tobytes())
-    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def half(name: bytes) -> int:
+    return int.from_bytes(name[:8], "big", signed=True)
 
 
 def _ordered(shingles: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int]:
@@ -103,7 +121,7 @@ def _heavy_counts(k: int):
         for batch in batches:
             for _, _, words in word_chunks(batch.column(0), True):
                 for s in shingle_sets(words, k):
-                    if len(s) and (d := digest(s)[0]) not in seen:
+                    if len(s) and (d := half(digest(s))) not in seen:
                         seen.add(d)
                         held.append(s)
                         size += len(s)
@@ -117,19 +135,24 @@ def _heavy_counts(k: int):
     return run
 
 
+SIGNED = "doc_id long, text_key long, n long, fp long, cid binary, hot long, need long"
+
+
 def _signatures(k: int, percent: int, heavy_b):
-    """doc_id, set size, digest, and how many frequent shingles stand in the first lists."""
+    """From (doc_id, text_key, text): set size, name, and how many frequent shingles stand in the first lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = heavy_b.value
         for batch in batches:
-            for at, stop, words in word_chunks(batch.column(1), True):
+            for at, stop, words in word_chunks(batch.column(2), True):
                 rows = []
                 for s in shingle_sets(words, k):
-                    n = len(s)
+                    n, name = len(s), digest(s)
                     light = n - _ordered(s, heavy)[1]
-                    rows.append((n, *digest(s), max(0, prefix_length(n, percent) - light) if n else 0, needed(n, percent) if n else 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "n", "fp", "fp2", "hot", "need"])
+                    rows.append((n, half(name), name, max(0, prefix_length(n, percent) - light) if n else 0, needed(n, percent) if n else 0))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                own = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), batch.column(1).slice(at, stop - at), *own], ["doc_id", "text_key", "n", "fp", "cid", "hot", "need"])
 
     return run
 
@@ -143,7 +166,7 @@ def _postings(k: int, percent: int, heavy_b, hot: bool):
             for _, _, words in word_chunks(batch.column(0), True):
                 tokens, owners, counts = [], [], []
                 for s in shingle_sets(words, k):
-                    if not len(s) or (d := digest(s)[0]) in seen:
+                    if not len(s) or (d := half(digest(s))) in seen:
                         continue
                     seen.add(d)
                     s, last = _ordered(s, heavy)
@@ -245,217 +268,282 @@ class Index:
     """Inverted lists over whole shingle sets, with DivideSkip searches."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+        self.percent, self.members = percent, len(sets)
         self.size = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(token, kind="stable")
-        token, self.owner = token[order], owner[order]
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        token = token[order]
         self.at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         self.token = token[self.at]
         self.end = np.append(self.at[1:], len(token))
+        #: Ascending (list, member) pairs, for probes of many lists at once.
+        self.posting = np.repeat(np.arange(len(self.at)) * self.members, self.end - self.at) + self.owner
 
     def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Members linked to the query set, ascending, and their overlaps (a member of equal set included)."""
         n, none = len(query), np.zeros(0, np.int64)
         t = least_overlap(n, self.percent)
-        at = np.searchsorted(self.token, query)
-        at[at == len(self.token)] = 0
-        at = at[self.token[at] == query] if len(self.token) else none
-        if len(at) < t:
+        if not len(self.token):
+            return none, none
+        lists = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        lists = lists[self.token[lists] == query]
+        if len(lists) < t:
             return none, none
-        length = self.end[at] - self.at[at]
+        length = self.end[lists] - self.at[lists]
         order = np.argsort(length, kind="stable")
-        at, length = at[order], length[order]
-        # DivideSkip: the L longest lists are probed only. A larger L merges less and probes more.
-        longest = int(length[-1])
-        probes = min(t - 1, int(t / (0.01 * log(longest + 1) + 1))) if longest > 1 else 0
-        cut = len(at) - probes
-        members, counts = self._merge(at[:cut], int(length[:cut].sum()), t - probes)
-        for x in at[cut:]:
+        lists, postings = lists[order], np.cumsum(length[order])
+        cut = self._divide(postings, t)
+        least = t - (len(lists) - cut)
+        members, counts = self._merge(lists[:cut], int(postings[cut - 1]), least)
+        size = self.size[members]
+        alike = (100 * size >= self.percent * n) & (100 * n >= self.percent * size)
+        members, counts = members[alike], counts[alike]
+        # Probes of the long lists, from the shorter to the longer, some at a time.
+        step = max(1, (1 << 18) // max(1, len(members)))
+        for at in range(cut, len(lists), step):
             if not len(members):
                 break
-            part = self.owner[self.at[x] : self.end[x]]
-            p = np.searchsorted(part, members)
-            p[p == len(part)] = 0
-            counts = counts + (part[p] == members)
+            part = lists[at : at + step]
+            keys = part[:, None] * self.members + members
+            found = np.minimum(np.searchsorted(self.posting, keys), len(self.posting) - 1)
+            counts = counts + (self.posting[found] == keys).sum(axis=0)
+            may = counts + (len(lists) - at - len(part)) >= t
+            members, counts = members[may], counts[may]
         union = n + self.size[members] - counts
         keep = 100 * counts >= self.percent * union
         return members[keep], counts[keep]
 
+    def _divide(self, postings: np.ndarray, t: int) -> int:
+        """How many of the lists, shortest first, to merge: the least of what merging and probing cost.
+
+        With L lists left to probe, a member is a candidate from t - L occurrences on.
+        """
+        probed = np.arange(min(t, len(postings)))
+        merged = postings[len(postings) - 1 - probed]
+        cost = np.where(merged <= HEAP_MOST, HEAP_COST * merged, ARRAY_COST * merged) + PROBE_COST * probed * np.minimum(self.members, merged // (t - probed))
+        return len(postings) - int(np.argmin(cost))
+
     def _merge(self, lists: np.ndarray, total: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members in `least` or more of the lists."""
-        if total <= HEAP_MOST and len(lists) <= 16:
-            found, count = [], []
-            run, times = -1, 0
-            for x in heapq.merge(*(self.owner[self.at[i] : self.end[i]].tolist() for i in lists)):
-                if x == run:
-                    times += 1
-                    continue
-                if times >= least:
-                    found.append(run)
-                    count.append(times)
-                run, times = x, 1
-            if times >= least:
+        """Members in `least` or more of the lists, and in how many."""
+        parts = [self.owner[a:b] for a, b in zip(self.at[lists].tolist(), self.end[lists].tolist(), strict=True)]
+        if total > HEAP_MOST:
+            times = np.bincount(np.concatenate(parts), minlength=self.members)
+            found = np.flatnonzero(times >= least)
+            return found, times[found]
+        found, count, run, times = [], [], -1, 0
+        for x in heapq.merge(*(p.tolist() for p in parts)):
+            if x == run:
+                times += 1
+                continue
+            if times >= least and run >= 0:
                 found.append(run)
                 count.append(times)
-            return np.array(found, np.int64), np.array(count, np.int64)
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        entries = np.concatenate([self.owner[a:b] for a, b in zip(self.at[lists].tolist(), self.end[lists].tolist(), strict=True)])
-        times = np.bincount(entries)
-        found = np.flatnonzero(times >= least)
-        return found, times[found]
-
+            run, times = x, 1
+        if times >= least and run >= 0:
+            found.append(run)
+            count.append(times)
+        return np.array(found, np.int64), np.array(count, np.int64)
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
 
+def cell_links(members: list[np.ndarray], searchers: list[np.ndarray] | None, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Searches of one cell: each node's component and linked rows, and the links of a spanning forest.
 
-def block_links(fps: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]] | None, percent: int, sizes: list[int] | None = None) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links that span the components of a block, and the sum of each query's linked members' sizes.
-
-    queries None: each member searches. Otherwise these search the members. sizes None: one each.
+    Nodes are the members, then the searchers; without searchers the members search each other.
+    rows: how many rows each node stands for.
     """
-    index = Index(sets, percent)
-    degree: dict[int, int] = {}
-    own = queries is None
-    asked = list(zip(fps, sets, strict=True)) if own else queries
-    names = list(fps) if own else [*fps, *(f for f, _ in queries)]
-    parent, edges = list(range(len(names))), []
-    for i, (fp, s) in enumerate(asked):
-        me = i if own else len(fps) + i
+    index, first = Index(members, percent), 0 if searchers is None else len(members)
+    component, degree, forest = np.arange(len(rows)), np.zeros(len(rows), np.int64), []
+    for i, s in enumerate(members if searchers is None else searchers, first):
         linked, _ = index.search(s)
-        count = 0
-        for m in linked.tolist():
-            if fps[m] == fp:
-                continue
-            count += 1 if sizes is None else sizes[m]
-            a, b = _find(parent, me), _find(parent, m)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((fp, fps[m]))
-        degree[fp] = degree.get(fp, 0) + count
-    return edges, degree
+        linked = linked[linked != i]
+        if not len(linked):
+            continue
+        degree[i] += rows[linked].sum()
+        if searchers is not None:
+            degree[linked] += rows[i]
+        parts, at = np.unique(component[linked], return_index=True)
+        other = parts != component[i]
+        if other.any():
+            forest += [(i, m) for m in linked[at[other]].tolist()]
+            parts = np.append(parts, component[i])
+            component[np.isin(component, parts)] = parts.min()
+    return component, degree, forest
 
 
 def _sets_of(k: int):
-    """(block, slice, role, fp, set): whole sets of the texts of block members."""
+    """(fp, cid, n, rows, block, members, shingles, sets): the whole sets of classes, from a text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, stop, words in word_chunks(batch.column(batch.num_columns - 1), True):
                 sets = shingle_sets(words, k)
                 out = pa.RecordBatch.from_arrays([*(c.slice(at, stop - at) for c in batch.columns[:-1]), pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "sets"])
-                # A doc_id that repeats with another text is not this class.
-                own = [digest(s)[0] == fp for s, fp in zip(sets, out.column("fp").to_pylist(), strict=True)]
+                # Another text may have the same key.
+                own = [digest(s) == name for s, name in zip(sets, out.column("cid").to_pylist(), strict=True)]
                 yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
 
-def _search_blocks(percent: int):
-    """From rows sorted by (block, slice, role, fp): links of each block or slice of one.
+def _post_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, fp) of whole sets, from (fp, sets)."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if sets:
+            fp = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(fp)], ["token", "fp"])
+
+
+SEARCHED = "cid binary, other binary, whole boolean, rows long"
+
+
+def _search_cells(percent: int):
+    """From rows (block, i, j, role, cid, rows, whole, sets) sorted by the first five: what the searches of each cell give.
 
-    Role 0 are members; role 1 search them. Without role 1, members search each other. Gives links
-    (a, b) that span components, and (a, null, rows) for the rows that are linked to a here.
+    Role 0 are members; role 1 search them. Without role 1, members search each other. Gives
+    (cid, other, whole, rows): rows linked to cid here; and for a whole block the name of its
+    component as other, else links (rows 0) that span components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, sets, sizes, queries = None, [], [], [], []
-
-        def search() -> Iterator[pa.RecordBatch]:
-            edges, degree = block_links(fps, sets, queries or None, percent, sizes)
-            linked = [(a, None, n) for a, n in degree.items() if n]
-            rows = [(a, b, None) for a, b in edges] + linked
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["a", "b", "rows"])
+        key, cell = None, ([], [])
 
         def close() -> Iterator[pa.RecordBatch]:
-            if key is not None and fps and (len(fps) > 1 or queries):
-                yield from search()
+            members, searchers = cell
+            if key is None or not members or (key[2] != key[1] and not searchers):
+                return
+            nodes = members + searchers
+            names, rows, whole = [x[0] for x in nodes], np.array([x[1] for x in nodes], np.int64), nodes[0][2]
+            component, degree, forest = cell_links([x[3] for x in members], [x[3] for x in searchers] or None, rows, percent)
+            found = np.flatnonzero(degree).tolist()
+            out = [(names[i], names[component[i]] if whole else None, whole, int(degree[i])) for i in found]
+            out += [] if whole else [(names[a], names[b], False, 0) for a, b in forest]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.bool_(), pa.int64()), strict=True)], ["cid", "other", "whole", "rows"])
 
         for batch in batches:
-            for block, part, role, fp, size, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (block, part) != key:
-                    yield from close()
-                    key, fps, sets, sizes, queries, last = (block, part), [], [], [], [], None
-                # Repeated rows of a doc_id bring the same set again.
-                if (role, fp) == last:
-                    continue
-                last = role, fp
-                s = np.frombuffer(raw, np.uint64)
-                if role == 0:
-                    fps.append(fp)
-                    sets.append(s)
-                    sizes.append(size)
-                    continue
-                if len(queries) >= 4096:
-                    # Many searchers: the index is built anew for the next few thousand.
+            for block, i, j, role, name, rows, whole, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, i, j) != key:
                     yield from close()
-                    queries = []
-                queries.append((fp, s))
+                    key, cell = (block, i, j), ([], [])
+                cell[role].append((name, rows, whole, np.frombuffer(raw, np.uint64)))
         yield from close()
 
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 1024) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size, n_links.
+def _in_filter(bits_b):
+    """Rows (text_key, text) whose key is in the filter, each key once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bits_b.value
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            place = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            inside = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            if len(inside):
+                _, first = np.unique(key[inside], return_index=True)
+                yield batch.take(pa.array(np.sort(inside[first])))
+
+    return run
+
+
+def _texts_of(spark: SparkSession, keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A text for each of wanted(text_key) from keyed(text_key, text), and few others.
+
+    A filter of 2^FILTER_BITS bits, whatever the number of keys, drops other texts within the scan,
+    so the shuffle holds little but the wanted texts.
+    """
+    place = f"shiftrightunsigned(text_key, {64 - FILTER_BITS})"
+    set_bits = wanted.select(F.expr(f"shiftright({place}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({place} & 63 as int))").alias("bit"))
+    found = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    held = keyed.mapInArrow(_in_filter(spark.sparkContext.broadcast(bits)), "text_key long, text string")
+    return held.groupBy("text_key").agg(F.first("text").alias("text"))
+
+
+def _rarest(space: Workspace, posted: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
+    """(token, fp, c, left) of posted(token, fp): the rarest lists that a class of facts(fp, need, hot) has to look at."""
+    shared = posted.repartition(parts, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared_lists, "fp long, token long, df long")
+    kept = facts.join(shared, "fp", "left").where("token is not null or hot > 0").select("fp", "token", "df", "need", "hot")
+    return space.save(kept.repartition(parts, "fp").sortWithinPartitions("fp", F.col("df").asc_nulls_first(), "token").mapInArrow(_rare_prefix, "token long, fp long, c long, left long"), "prefix")
+
+
+def _meetings(rare: DataFrame) -> DataFrame:
+    """(a, b): each class of a list and the least of it."""
+    least = rare.where("token is not null").groupBy("token").agg(F.min("fp").alias("leader"), F.count("*").alias("k")).where("k > 1")
+    return rare.join(least, "token").where("leader <> fp").select(F.col("fp").alias("a"), F.col("leader").alias("b"))
+
+
+def _blocks(space: Workspace, met: DataFrame, name: str) -> DataFrame:
+    return space.save(connected_components(space, met).select(F.col("node").alias("fp"), F.col("root").alias("block")), name)
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size, n_links, component, text_key.
 
     component_id is the least doc_id that links reach, class_size the number of rows with an
     equal shingle set, n_links the number of other rows whose similarity reaches the threshold.
-    block_docs is the number of documents that a task indexes at once; it does not change the result.
+    component names the component also where ids repeat or are null (null: the empty set), and
+    text_key is xxhash64 of the text. The two bounds change the work of a task, not the result.
     """
     space = Workspace(spark, "ngram-join")
-    text = docs.select("text")
+    text, key = docs.select("text"), F.xxhash64("text").alias("text_key")
     counts = text.mapInArrow(_heavy_counts(k), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     top = counts.where(F.col("df") >= HEAVY_DF).orderBy(F.desc("df"), "token").limit(HEAVY_MOST).select("token").collect()
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)))
 
-    signed = space.save(docs.select("doc_id", "text").mapInArrow(_signatures(k, percent, heavy), "doc_id long, n long, fp long, fp2 long, hot long, need long"), "signatures")
-    classes = space.save(signed.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("need").alias("need"), F.count("*").alias("class_size")), "classes")
+    signed = space.save(docs.select("doc_id", key, "text").mapInArrow(_signatures(k, percent, heavy), SIGNED), "signatures")
+    first = lambda c: F.first(c).alias(c)
+    classes = space.save(signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rid"), F.min("text_key").alias("text_key"), *map(first, ("fp", "n", "hot", "need")), F.count("*").alias("class_size")), "classes")
 
-    posted = text.mapInArrow(_postings(k, percent, heavy, False), "token long, fp long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = posted.repartition(parts, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared_lists, "fp long, token long, df long")
-    facts = classes.where("need > 0").groupBy("fp").agg(F.max("need").alias("need"), F.max("hot").alias("hot"))
-    kept = facts.join(shared, "fp", "left").where("token is not null or hot > 0").select("fp", "token", "df", "need", "hot")
-    rare = space.save(kept.repartition(parts, "fp").sortWithinPartitions("fp", F.col("df").asc_nulls_first(), "token").mapInArrow(_rare_prefix, "token long, fp long, c long, left long"), "prefix")
-
+    facts = classes.where("need > 0").groupBy("fp").agg(F.min("need").alias("need"), F.sum("hot").alias("hot"))
+    rare = _rarest(space, text.mapInArrow(_postings(k, percent, heavy, False), "token long, fp long"), facts, parts)
     # Classes that meet on a rare shingle, or on a frequent one if their prefix reaches that far.
-    least = rare.where("token is not null").groupBy("token").agg(F.min("fp").alias("leader"), F.count("*").alias("k")).where("k > 1")
-    met = rare.join(least, "token").where("leader <> fp").select(F.col("fp").alias("a"), F.col("leader").alias("b"))
     reach = rare.where("left > 0").select("fp").distinct()
     frequent = space.save(text.mapInArrow(_postings(k, percent, heavy, True), "token long, fp long").distinct().join(reach, "fp", "left_semi"), "frequent")
     # At most HEAVY_MOST rows: the frequent table's size bounds this broadcast.
-    first = F.broadcast(frequent.groupBy("token").agg(F.min("fp").alias("leader")))
-    met = met.union(frequent.join(first, "token").where("leader <> fp").select("fp", "leader"))
-    blocks = space.save(connected_components(space, met).select(F.col("node").alias("fp"), F.col("root").alias("block")), "blocks")
-
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    placed = blocks.join(sizes, "block").join(classes.select("fp", "rid", F.col("class_size").alias("size")), "fp")
-    texts = placed.join(docs.select(F.col("doc_id").alias("rid"), "text"), "rid").select("block", F.lit(0).alias("slice"), F.lit(0).alias("role"), "fp", "size", "members", "text")
-    sets = space.save(texts.mapInArrow(_sets_of(k), "block long, slice int, role int, fp long, size long, members long, sets binary"), "sets")
-
-    shape = ["block", "slice", "role", "fp", "size", "sets"]
-    work = sets.where(F.col("members") <= block_docs).select(shape)
-    big = sets.where(F.col("members") > block_docs)
-    slices = F.ceil(F.col("members") / block_docs).cast("int")
-    work = work.union(big.select("block", F.pmod(F.xxhash64("fp"), slices).cast("int").alias("slice"), "role", "fp", "size", "sets"))
-    work = work.union(big.select("block", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(1).alias("role"), "fp", "size", "sets"))
-    searched = work.repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "role", "fp").mapInArrow(_search_blocks(percent), "a long, b long, rows long")
-    searched = space.save(searched, "searched")
-    found = searched.where("b is not null").select("a", "b")
-    degrees = searched.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("rows").alias("rows"))
-    reached = connected_components(space, found)
-
-    group = classes.join(reached, classes.fp == reached.node, "left").select("fp", "fp2", "rid", "class_size", F.coalesce("root", "fp").alias("root"))
-    named = group.groupBy("root").agg(F.min("rid").alias("component_id"))
-    ids = space.save(group.join(named, "root").join(degrees, "fp", "left").select("fp", "fp2", "component_id", "class_size", (F.col("class_size") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links")), "ids")
-    full = signed.where("n > 0").join(ids, ["fp", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")
-    none = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    leaders = F.broadcast(frequent.groupBy("token").agg(F.min("fp").alias("leader")))
+    met = _meetings(rare).union(frequent.join(leaders, "token").where("leader <> fp").select("fp", "leader"))
+    blocks = _blocks(space, met, "blocks")
+    space.drop(rare, frequent)
+
+    totals = lambda df: df.groupBy("block").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    placed = blocks.join(classes.select("fp", "cid", "n", "class_size", "text_key"), "fp")
+    placed = space.save(placed.join(totals(placed), "block").select("fp", "cid", "n", F.col("class_size").alias("rows"), "block", "members", "shingles", "text_key"), "placed")
+    texts = placed.join(_texts_of(spark, docs.select(key, "text"), placed), "text_key").drop("text_key")
+    shape = "fp long, cid binary, n long, rows long, block long, members long, shingles long, sets binary"
+    sets = space.save(texts.mapInArrow(_sets_of(k), shape), "sets")
+    over = F.greatest(F.ceil(F.col("members") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+    work = sets.where(over == 1).withColumn("slices", F.lit(1))
+    large = sets.where(over > 1)
+    if not large.isEmpty():
+        need = large.groupBy("fp").agg(F.min(F.ceil(F.col("n") * percent / 100)).cast("long").alias("need"), F.lit(0).cast("long").alias("hot"))
+        again = _rarest(space, large.select("fp", "sets").mapInArrow(_post_sets, "token long, fp long"), need, parts)
+        apart = _blocks(space, _meetings(again), "apart")
+        large = large.drop("block", "members", "shingles").join(apart, "fp")
+        large = large.join(totals(large.drop("sets")), "block").select(sets.columns).withColumn("slices", over)
+        work = work.union(large)
+    own = F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), (x < own).cast("int").alias("role")))
+    spread = work.select("block", F.explode(cells).alias("cell"), "cid", "rows", (F.col("slices") == 1).alias("whole"), "sets").select("block", "cell.i", "cell.j", "cell.role", "cid", "rows", "whole", "sets")
+    searched = space.save(spread.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "role", "cid").mapInArrow(_search_cells(percent), SEARCHED), "searched")
+    space.drop(placed, sets, blocks)
+
+    roots = searched.where("whole").select(F.col("cid").alias("node"), F.col("other").alias("root"))
+    links = searched.where("rows = 0").select(F.col("cid").alias("a"), F.col("other").alias("b"))
+    if not links.isEmpty():
+        roots = roots.union(connected_components(space, links))
+    roots = space.save(roots.join(classes.select(F.col("cid").alias("node"), "rid"), "node"), "roots")
+    named = roots.groupBy("root").agg(F.min("rid").alias("component_id"))
+    degrees = searched.where("rows > 0").groupBy("cid").agg(F.sum("rows").alias("rows"))
+    found = roots.join(named, "root").select(F.col("node").alias("cid"), "root", "component_id").join(degrees, "cid")
+    ids = classes.select("cid", "rid", "class_size").join(found, "cid", "left")
+    ids = space.save(ids.select("cid", F.coalesce("root", "cid").alias("component"), F.when(F.col("root").isNull(), F.col("rid")).otherwise(F.col("component_id")).alias("component_id"), "class_size", (F.col("class_size") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links")), "ids")
+    space.drop(classes, searched, roots)
+    full = signed.where("n > 0").join(ids, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links", "component", "text_key")
+    none = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("component"), "text_key")
     return full.union(none)
