@@ -17,7 +17,7 @@ import pyarrow as pa
 SEGMENT = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Column values of the batches that Python gets.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
