@@ -1,30 +1,35 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
 The words that training holds LEAST times or more, among the LISTED most frequent, are modelled:
-they are the leaves of a tree by frequency rank whose nodes have up to BRANCH children, two levels
-for WORDS words and one more for each BRANCH times as many, so the cost of a token grows with the
-logarithm of the vocabulary. All others are the tail, a class of its own at the root. P(w | h) is
-the product of P(child | node, h) down the path: softmax models over hashed history features, 1- and
-2-grams and skips, at the root from 2^CLASS_BITS rows, below it from 2^WORD_BITS rows that also hash
-the node, and more rows for more words (see Weights.zero). Below the root, the logarithms of the
-children's training counts are added to the scores, so without features a node gives unigrams. In the tail,
-P(w | tail) is the word's training count with half a count added, one unseen word included, so P
-sums to one.
+they are the leaves of a tree of classes, built over the words by falling count. A node cuts its
+words into BRANCH runs of like sums of square roots of counts, its children, down to single words,
+so frequent words are near the root and a token costs a few softmaxes of BRANCH however large the
+vocabulary is; the first two levels make about 1000 classes. The words that are not modelled, the
+tail, are one leaf. P(w | h) is the product of P(child | node, h) down the path. Each factor is a
+maximum-entropy model over hashed features of the history: at the root the previous word (2-gram),
+the previous two (3-gram) and a skip to the last of the ANCHORS most frequent words before; below
+it the 2-gram and the skip, each with the node. A feature's weights for the children are a row of
+one table; its rows are a power of two that follows the vocabulary, 2^ROW_BITS at most. The
+logarithms of the children's training counts are added to the scores, so without features a node
+gives unigrams. In the tail, P(w | tail) is the word's training count with half a count added, one
+unseen word included, so P sums to one.
 
 Counts cover all training tokens and grow with the corpus. Training goes over all of it once, in
-rounds of distributed updates: each task runs AdaGrad over its documents from the present model,
-and the results are averaged row by row, weighted by how often each row was updated; the sums
-stream over the tasks, so memory follows the model. Scoring runs in numpy batches. Counts of the
+rounds of distributed gradient updates: each task runs AdaGrad, with one rate a row, over its
+documents from the present model and sends the rows that it used; ranges of rows are averaged by
+use in as many tasks as there are shuffle partitions. Scoring runs in numpy batches. Counts of the
 most frequent LISTED words are broadcast (that bound is its size); counts of the others are
 joined to the scores by a shuffle, so every count is exact at any size.
 
-Null texts are empty: one end token. Words are known by 64-bit hashes. Repeated rows count each.
+Null texts are empty: one end token. Words are known by 64-bit hashes. A null doc_id is not held
+out; repeated rows count each. Ties in counts go to the lesser hash. An empty table gives no rows
+and a model of the end token alone. A text of any length is read whole, its words in one batch.
+Only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,13 +40,16 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 from .words import Words, mix64, word_chunks
 
-WORDS, CLASSES, LISTED = 256, 16, 1 << 20
-#: Children of a node, and how often training holds a word that is modelled.
-BRANCH, LEAST = WORDS // CLASSES, 4
-CLASS_BITS, WORD_BITS, BLOCKS = 15, 14, 8
-ROUNDS, BATCH, RATE = 2, 8192, 0.25
+#: Words whose counts are broadcast, and how often training holds a word that is modelled.
+LISTED, LEAST = 1 << 20, 8
+BRANCH, ANCHORS, ROW_BITS = 32, 32, 18
+ROUNDS, BATCH, RATE = 2, 16384, 1.0
+#: Ranges of rows that are averaged apart.
+RANGES = 256
 #: Stand-ins for the end of a text and for what precedes it.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Multipliers that keep features, pairs and nodes apart.
+PAIR, NODE = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,277 +87,239 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-@dataclass
-class Vocabulary:
-    """Totals, the listed words by hash with their counts, and the modelled ones by hash with their ranks."""
-
-    total: int
-    distinct: int
-    listed: np.ndarray
-    listed_count: np.ndarray
-    modelled: np.ndarray
-    rank: np.ndarray
-    tail_total: int
-    tail_distinct: int
-
-    def ranks(self, token: np.ndarray) -> np.ndarray:
-        """Rank of modelled tokens, their number for the tail."""
-        at = np.searchsorted(self.modelled, token)
-        at[at == len(self.modelled)] = 0
-        return np.where(self.modelled[at] == token, self.rank[at], len(self.modelled))
+class Tree:
+    """Classes of items, given by their counts, which fall.
 
-    def counts(self, token: np.ndarray) -> np.ndarray:
-        """Counts of listed tokens, else -1."""
-        if not len(self.listed):
-            return np.full(len(token), -1)
-        at = np.searchsorted(self.listed, token)
-        at[at == len(self.listed)] = 0
-        return np.where(self.listed[at] == token, self.listed_count[at], -1)
+    node, child: for each level and item, the node on its path and the child it goes to (-1: the path
+    has ended). prior: the logarithms of the children's counts by node; places without a child have none.
+    """
+
+    def __init__(self, count: np.ndarray):
+        size, nodes, priors, levels = len(count), 0, [], []
+        weight, mass = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.sqrt(count), count))
+        runs = [(0, size)]
+        while runs:
+            node, child, below = np.full(size, -1, np.int32), np.zeros(size, np.int8), []
+            for a, b in runs:
+                if b - a <= BRANCH:
+                    cuts = np.arange(a, b + 1)
+                else:
+                    even = weight[a] + (weight[b] - weight[a]) * np.arange(1, BRANCH) / BRANCH
+                    cuts = np.unique(np.concatenate([[a], np.clip(np.searchsorted(weight, even), a + 1, b - 1), [b]]))
+                node[a:b], child[a:b] = nodes, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                prior = np.full(BRANCH, -70, np.float32)
+                held = np.log(mass[cuts[1:]] - mass[cuts[:-1]])
+                prior[: len(held)] = held - held.max()
+                priors.append(prior)
+                nodes += 1
+                below += [(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
+            levels.append((node, child))
+            runs = below
+        self.node, self.child = (np.stack(x) for x in zip(*levels, strict=True))
+        self.prior = np.stack(priors)
 
 
-@dataclass
-class Weights:
-    """Scores of the root's classes and of children of the other nodes, by hashed feature.
+class Vocabulary:
+    """Totals, the listed words by hash with their counts, and the tree of the modelled ones.
 
-    size: modelled words. prior: for each level below the root, the logarithms of the children's
-    counts by node; none: all alike.
+    Made of words and counts, in any order; total and distinct are of all training tokens.
     """
 
-    classes: np.ndarray
-    words: np.ndarray
-    size: int = WORDS
-    prior: list[np.ndarray] | None = None
+    def __init__(self, word: np.ndarray, n: np.ndarray, total: int, distinct: int):
+        order = np.argsort(word)
+        self.total, self.distinct, self.listed, self.listed_count = total, distinct, word[order], n[order]
+        ranked = np.lexsort((word, -n))
+        ranked = ranked[n[ranked] >= LEAST]
+        self.tail_total, self.tail_distinct = total - int(n[ranked].sum()), distinct - len(ranked)
+        count = np.append(n[ranked], max(self.tail_total, 0.5))
+        falling = np.argsort(-count, kind="stable")
+        place = np.empty(len(count), np.int32)
+        place[falling] = np.arange(len(count))
+        self.tree = Tree(count[falling])
+        by_hash = np.argsort(word[ranked])
+        self.modelled, self.place, self.tail = word[ranked][by_hash], place[:-1][by_hash], int(place[-1])
+        self.anchors = np.sort(word[ranked][word[ranked] != END][:ANCHORS])
+
+    def facts(self) -> dict:
+        """What the constructor makes, without a class of this package, for a broadcast."""
+        return vars(self) | {"tree": vars(self.tree)}
 
     @staticmethod
-    def zero(counts: np.ndarray) -> Weights:
-        """No weights yet, for modelled words of these counts by rank.
-
-        The rows follow the vocabulary: those of nodes with its cube root, the root's with the square root of that.
-        """
-        size = len(counts)
-        more = max(0, int(np.ceil(np.log2(max(size, 1) / WORDS) / 3)))
-        w = Weights(np.zeros((1 << CLASS_BITS + more // 2, CLASSES + 1), np.float32), np.zeros((1 << WORD_BITS + more, BRANCH), np.float32), size)
-        level, w.prior = counts.astype(np.float64), []
-        for _ in range(w.depth() - 1):
-            level = np.concatenate([level, np.zeros(-len(level) % BRANCH)]).reshape(-1, BRANCH)
-            w.prior.insert(0, np.log(np.maximum(level, 1e-30)).astype(np.float32))
-            level = level.sum(axis=1)
-        return w
-
-    def depth(self) -> int:
-        """Levels of the tree: the least number, two or more, whose leaves hold all words."""
-        depth, leaves = 2, CLASSES * BRANCH
-        while leaves < self.size:
-            depth, leaves = depth + 1, leaves * BRANCH
-        return depth
-
-    def root_children(self) -> int:
-        return -(-self.size // BRANCH ** (self.depth() - 1))
-
-
-def _histories(token: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-    """The previous word, the one before, and the third from here."""
-    n, back = len(token), []
-    for k in (1, 2, 3):
-        b = np.full(n, START, np.uint64)
-        b[k:] = np.where(row[k:] == row[:-k], token[:-k], START) if n > k else b[k:]
-        back.append(b)
-    return back
+    def of(facts: dict) -> Vocabulary:
+        v = Vocabulary.__new__(Vocabulary)
+        v.__dict__.update(facts, tree=Tree.__new__(Tree))
+        v.tree.__dict__.update(facts["tree"])
+        return v
 
+    def no_weights(self) -> np.ndarray:
+        """A table of zeros: twice as many rows as modelled words or more, 2^10 at least and 2^ROW_BITS at most."""
+        return np.zeros((1 << min(ROW_BITS, max(10, len(self.modelled).bit_length() + 1)), BRANCH), np.float32)
 
-def _rows(keys: list[np.ndarray], first: int, rows: int) -> np.ndarray:
-    shift = np.uint64(65 - rows.bit_length())
-    return np.stack([mix64(k + np.uint64(0x632BE59BD9B4E019 * (i + first) & (1 << 64) - 1)) >> shift for i, k in enumerate(keys)]).astype(np.int32)
+    def places(self, token: np.ndarray) -> np.ndarray:
+        """The leaves of tokens."""
+        at, found = _find(self.modelled, token)
+        return np.where(found, self.place[at], self.tail) if len(self.place) else np.full(len(token), self.tail)
 
+    def counts(self, token: np.ndarray) -> np.ndarray:
+        """Counts of listed tokens, else -1."""
+        at, found = _find(self.listed, token)
+        return np.where(found, self.listed_count[at], -1) if len(self.listed) else np.full(len(token), -1)
 
-def _top(w: Weights, back: list[np.ndarray]) -> np.ndarray:
-    """Rows of the class table: none, previous, previous two, skip one, skip between."""
-    one, two, three = back
-    mul = np.uint64(0xA0761D6478BD642F)
-    return _rows([np.zeros(len(one), np.uint64), one, one * mul + two, two, one * mul + three], 1, len(w.classes))
 
+def _find(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values would be, and whether they are there."""
+    at = np.minimum(np.searchsorted(ascending, values), max(0, len(ascending) - 1))
+    return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
 
-def _low(w: Weights, one: np.ndarray, two: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
-    """Rows of the word table for nodes of a level: previous, skip one."""
-    group = (node.astype(np.uint64) * np.uint64(16) + np.uint64(level)) * np.uint64(0xD6E8FEB86659FD93)
-    return _rows([one ^ group, two ^ group], 10, len(w.words))
 
+def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each token; the word before it, the two before it, and the last anchor before it in its row."""
+    n = len(token)
+    code, distinct = pd.factorize(token)
+    back = []
+    for k in (1, 2):
+        b = np.full(n, START, np.uint64)
+        b[k:] = np.where(row[k:] == row[:-k], token[:-k], START)
+        back.append(b)
+    anchor = _find(v.anchors, distinct)[1][code]
+    last = np.maximum.accumulate(np.concatenate([[-1], np.where(anchor, np.arange(n), -1)[:-1]]))
+    begin = np.searchsorted(row, row)
+    skip = np.where(last >= begin, token[np.maximum(last, 0)], START)
+    return v.places(distinct)[code], back[0], back[0] * PAIR + back[1], skip
 
-def _softmax(table: np.ndarray, rows: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z = z + table[r]
-    if offset is not None:
-        z = z + offset
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
 
+def _rows(features: list[np.ndarray], node: np.ndarray | int, rows: int) -> list[np.ndarray]:
+    """The table rows of features at nodes."""
+    group, shift = (np.asarray(node).astype(np.uint64) + np.uint64(1)) * NODE, np.uint64(65 - rows.bit_length())
+    return [(mix64((f + np.uint64(i + 1)) ^ group) >> shift).astype(np.int32) for i, f in enumerate(features)]
 
-def _root_offset(w: Weights) -> np.ndarray | None:
-    """Classes that no word is in have no share."""
-    used = w.root_children()
-    if used == CLASSES:
-        return None
-    out = np.zeros(CLASSES + 1, np.float32)
-    out[used:CLASSES] = -70
-    return out
+
+def _softmax(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """Probabilities of the children; prior is overwritten with them."""
+    z = prior
+    for r in rows:
+        z += np.take(table, r, axis=0)
+    np.exp(np.clip(z, -80, 80, out=z), out=z)
+    z *= (1 / (z @ np.ones(BRANCH, np.float32)))[:, None]
+    return z
 
 
-def _levels(w: Weights, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Below the root: level, node and child of the path to each rank, and the children's offsets."""
-    depth = w.depth()
-    for level in range(1, depth):
-        below = rank // BRANCH ** (depth - 1 - level)
-        node = below // BRANCH
-        yield level, node, below % BRANCH, None if w.prior is None else w.prior[level - 1][node]
-
-
-def log_probability(w: Weights, token: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """log10 of P(class | h), and of P(w | class, h) where the word is modelled."""
-    back, out = _histories(token, row), np.empty(len(token))
-    wide, offset = BRANCH ** (w.depth() - 1), _root_offset(w)
-    for at in range(0, len(token), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        r = rank[part]
-        top = np.where(r < w.size, r // wide, CLASSES)
-        h = [b[part] for b in back]
-        p = np.log10(np.maximum(_softmax(w.classes, _top(w, h), offset)[np.arange(len(r)), top], 1e-30).astype(np.float64))
-        inside = np.flatnonzero(r < w.size)
-        one, two = h[0][inside], h[1][inside]
-        for level, node, child, prior in _levels(w, r[inside]):
-            q = _softmax(w.words, _low(w, one, two, level, node), prior)
-            p[inside] += np.log10(np.maximum(q[np.arange(len(inside)), child], 1e-30))
-        out[part] = p
+def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Batch by batch and level by level: the tokens whose path goes on, table rows, children, and priors of their nodes."""
+    tree, (leaf, one, pair, skip) = v.tree, histories(v, token, row)
+    for at in range(0, len(token), BATCH):
+        part = slice(at, at + BATCH)
+        on, place = np.arange(at, min(at + BATCH, len(token))), leaf[part]
+        for level, (node, child) in enumerate(zip(tree.node, tree.child, strict=True)):
+            go = np.flatnonzero(node[place] >= 0)
+            if not len(go):
+                break
+            on, place = on[go], place[go]
+            here = node[place]
+            features = [one[on], skip[on], pair[on]] if level == 0 else [one[on], skip[on]]
+            yield on, _rows(features, here, len(table)), child[place], np.take(tree.prior, here, axis=0)
+
+
+def log_probability(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's leaf."""
+    out = np.zeros(len(token))
+    for on, rows, child, prior in _paths(v, table, token, row):
+        p = _softmax(table, rows, prior)[np.arange(len(on)), child]
+        out[on] += np.log10(np.maximum(p, 1e-35))
     return out
 
 
-def _step(table: np.ndarray, square: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, offset: np.ndarray | None) -> None:
-    """One AdaGrad update of a softmax on a batch."""
-    g = _softmax(table, rows, offset)
-    g[np.arange(len(target)), target] -= 1
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], r[order[1:]] != r[order[:-1]]]))
-        own = r[order[at]]
-        total = np.add.reduceat(g[order], at, axis=0)
-        square[own] += total * total
-        table[own] -= RATE * total / np.sqrt(square[own] + 1e-2)
-        touched[own] += np.diff(np.append(at, len(r)))
-
-
-def learn(w: Weights, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Update w in place from (token, row, rank) batches; gives how often each row was used."""
-    wide, offset = BRANCH ** (w.depth() - 1), _root_offset(w)
-    squares = [np.zeros_like(w.classes), np.zeros_like(w.words)]
-    touched = [np.zeros(len(w.classes), np.float32), np.zeros(len(w.words), np.float32)]
-    for token, row, rank in batches:
-        back = _histories(token, row)
-        for at in range(0, len(token), BATCH):
-            part = slice(at, at + BATCH)
-            r, h = rank[part], [b[part] for b in back]
-            _step(w.classes, squares[0], touched[0], _top(w, h), np.where(r < w.size, r // wide, CLASSES), offset)
-            inside = np.flatnonzero(r < w.size)
-            one, two = h[0][inside], h[1][inside]
-            if len(inside):
-                for level, node, child, prior in _levels(w, r[inside]):
-                    _step(w.words, squares[1], touched[1], _low(w, one, two, level, node), child, prior)
-    return touched[0], touched[1]
-
-
-def _updates(vocabulary_b, weights_b, blocks: int):
-    """(block, rows, weights, times) of the rows that a task has used: places in the block, weights as half floats, uses."""
+def learn(v: Vocabulary, table: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Update the table in place from batches of (token, row); gives how often each row was used."""
+    square, used = np.ones(len(table), np.float32), np.zeros(len(table), np.float32)
+    for token, row in batches:
+        for on, rows, child, prior in _paths(v, table, token, row):
+            slope = _softmax(table, rows, prior)
+            slope[np.arange(len(on)), child] -= 1
+            for r in rows:
+                order = np.argsort(r)
+                ranked = r[order]
+                at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                own = ranked[at]
+                total = np.add.reduceat(np.take(slope, order, axis=0), at, axis=0)
+                square[own] += np.einsum("ij,ij->i", total, total)
+                table[own] -= total * (RATE / np.sqrt(square[own]))[:, None]
+                used[own] += np.diff(np.append(at, len(r)))
+    return used
+
+
+def _updates(facts_b, table_b):
+    """(range, rows, weights, times) of the rows that a task has used: places, weights as half floats, uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, held = vocabulary_b.value, weights_b.value
-        w = Weights(held.classes.copy(), held.words.copy(), held.size, held.prior)
+        v, table = Vocabulary.of(facts_b.value), table_b.value.copy()
 
         def parts():
             for batch in batches:
-                for _, _, words in word_chunks(batch.column(0), True, 2 << 20):
-                    token, row = tokens_of(words)
-                    yield token, row, v.ranks(token)
-
-        touched = learn(w, parts())
-        for name, table, times in (("classes", w.classes, touched[0]), ("words", w.words, touched[1])):
-            each = len(table) // blocks
-            for i in range(blocks):
-                own = slice(i * each, (i + 1) * each)
-                used = np.flatnonzero(times[own])
-                if len(used):
-                    k = times[own][used]
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}{i}"]), *(pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), table[own][used].astype(np.float16), k))], ["block", "rows", "weights", "times"])
+                for _, _, words in word_chunks(batch.column(0), True):
+                    yield tokens_of(words)
+
+        times = learn(v, table, parts())
+        each = len(table) // RANGES
+        for i in range(RANGES):
+            rows = i * each + np.flatnonzero(times[i * each : (i + 1) * each])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), table[rows].astype(np.float16), times[rows]))], ["range", "rows", "weights", "times"])
 
     return run
 
 
-def _averages(each: dict[str, tuple[int, int]]):
-    """From _updates, the mean weights (block, rows, means) by use; each: rows and columns of a block of a table."""
+def _averages(size: int):
+    """From _updates, the mean weights (rows, means) by use; size: rows of a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for block, rows, weights, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shape = each[block.rstrip("0123456789")]
-                if block not in total:
-                    total[block] = np.zeros(shape), np.zeros(shape[0])
-                at, k = np.frombuffer(rows, np.int32), np.frombuffer(times, np.float32)
-                total[block][0][at] += np.frombuffer(weights, np.float16).reshape(-1, shape[1]) * k[:, None]
-                total[block][1][at] += k
-        for block, (sums, times) in total.items():
+            for i, rows, weights, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i not in total:
+                    total[i] = np.zeros((size, BRANCH)), np.zeros(size)
+                at, k = np.frombuffer(rows, np.int32) - i * size, np.frombuffer(times, np.float32)
+                total[i][0][at] += np.frombuffer(weights, np.float16).reshape(-1, BRANCH) * k[:, None]
+                total[i][1][at] += k
+        for i, (sums, times) in total.items():
             used = np.flatnonzero(times)
             means = (sums[used] / times[used, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([means.tobytes()], pa.binary())], ["block", "rows", "means"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in ((used + i * size).astype(np.int32), means)], ["rows", "means"])
 
     return run
 
 
-def train(spark: SparkSession, space: Workspace, docs: DataFrame) -> tuple[Vocabulary, Weights, DataFrame]:
+def train(spark: SparkSession, space: Workspace, docs: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
     """Vocabulary, weights and the counts (word, n) of all tokens of docs(doc_id, text)."""
     counts = space.save(docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # How many words have each count: about the square root of the tokens, at most, and rows above the cut only.
     least, held = 1, 0
     steep = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n"))
-    running = steep.limit(LISTED).toLocalIterator()
-    for r in running:
+    for r in steep.limit(LISTED).toLocalIterator():
         if held + r.k > LISTED:
             least = r.n + 1
             break
         held += r.k
     listed = counts.where(F.col("n") >= least).toArrow()
-    word, n = listed.column("word").to_numpy().view(np.uint64), listed.column("n").to_numpy()
-    order = np.argsort(word)
-    word, n = word[order], n[order]
-    ranked = np.lexsort((word, -n, word != END))
-    ranked = ranked[n[ranked] >= LEAST]
-    top = np.sort(word[ranked])
-    rank = np.argsort(np.argsort(word[ranked]))  # place of each rank among the sorted
-    by_place = np.empty(len(top), np.int64)
-    by_place[rank] = np.arange(len(top))
-    if not len(top):
-        top, by_place = np.array([END]), np.zeros(1, np.int64)
-    v = Vocabulary(total, distinct, word, n, top, by_place, total - int(n[ranked].sum()), distinct - len(ranked))
-    sent, w = spark.sparkContext.broadcast(v), Weights.zero(n[ranked] if len(ranked) else np.ones(1))
-    # Blocks follow the rows, so what a task adds up stays as it is.
-    blocks = BLOCKS * (len(w.words) >> WORD_BITS)
-    each = {name: (len(t) // blocks, t.shape[1]) for name, t in (("classes", w.classes), ("words", w.words))}
+    v = Vocabulary(listed.column("word").to_numpy().view(np.uint64), listed.column("n").to_numpy(), total, distinct)
+    sent, table = spark.sparkContext.broadcast(v.facts()), v.no_weights()
+    parts = min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for i in range(ROUNDS):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select("text")
-        got = part.mapInArrow(_updates(sent, spark.sparkContext.broadcast(w), blocks), "block string, rows binary, weights binary, times binary")
-        got = got.repartition(blocks, "block").mapInArrow(_averages(each), "block string, rows binary, means binary").collect()
+        now = spark.sparkContext.broadcast(table)
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i).select("text")
+        got = part.mapInArrow(_updates(sent, now), "range int, rows binary, weights binary, times binary")
+        got = got.repartition(parts, "range").mapInArrow(_averages(len(table) // RANGES), "rows binary, means binary").collect()
+        table = table.copy()
         for r in got:
-            name = r.block.rstrip("0123456789")
-            size, width = each[name]
-            at = np.frombuffer(r.rows, np.int32) + size * int(r.block[len(name) :])
-            getattr(w, name)[at] = np.frombuffer(r.means, np.float32).reshape(-1, width)
-    return v, w, counts
+            table[np.frombuffer(r.rows, np.int32)] = np.frombuffer(r.means, np.float32).reshape(-1, BRANCH)
+        now.destroy()
+    return v, table, counts
 
 
-def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary, w: Weights, counts: DataFrame) -> DataFrame:
+def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary, table: np.ndarray, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs(doc_id, text)."""
-    v_b, w_b = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(w)
+    facts_b, table_b = spark.sparkContext.broadcast(v.facts()), spark.sparkContext.broadcast(table)
     base_log = float(np.log10(v.total + 0.5 * (v.distinct + 1)))
     tail_log = float(np.log10(v.tail_total + 0.5 * (v.tail_distinct + 1)))
 
@@ -357,21 +327,20 @@ def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary,
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        v, w = v_b.value, w_b.value
+        v, table = Vocabulary.of(facts_b.value), table_b.value
         for batch in batches:
-            for at, stop, words in word_chunks(batch.column(1), True, 2 << 20):
+            for at, stop, words in word_chunks(batch.column(1), True):
                 token, row = tokens_of(words)
                 rows = stop - at
                 code, distinct = pd.factorize(token)
                 n = v.counts(distinct)[code]
-                rank = v.ranks(distinct)[code]
-                tail = rank >= len(v.modelled)
+                tail = (v.places(distinct) == v.tail)[code]
                 known = n > 0
                 half = np.where(known, np.log10(np.maximum(n, 0) + 0.5), 0.0)
                 add = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
                 size = np.bincount(row, minlength=rows)
                 base = add(half) - size * base_log
-                model = add(log_probability(w, token, row, rank) + tail * (half - tail_log))
+                model = add(log_probability(v, table, token, row) + tail * (half - tail_log))
                 rest = np.flatnonzero(~known)
                 cut = np.searchsorted(row[rest], np.arange(rows + 1)).astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(cut), pa.array(token[rest].view(np.int64)))

@@ -361,14 +361,63 @@ def test_language_model_counts_and_gain(spark, docs, monkeypatch, listed):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_sums_to_one():
-    rng = np.random.default_rng(1)
-    v = maxent_lm.WORDS
-    w = maxent_lm.Weights(rng.normal(size=(1 << maxent_lm.CLASS_BITS, maxent_lm.CLASSES + 1)).astype(np.float32), rng.normal(size=(1 << maxent_lm.WORD_BITS, v // maxent_lm.CLASSES)).astype(np.float32))
-    token = np.arange(1000, 1000 + v + 1, dtype=np.uint64)
-    # Each word in turn after the same two words.
-    p = [10 ** maxent_lm.log_probability(w, np.array([5, 6, t], np.uint64), np.zeros(3, int), np.array([v, v, i]))[2] for i, t in enumerate(token)]
-    assert sum(p) == pytest.approx(1, abs=1e-4)
+def brute_log_probability(v, table, tokens, i):
+    """Of token i of one text, path by path, from the description alone."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    start = int(maxent_lm.START)
+    one, two = (tokens[i - k] if i >= k else start for k in (1, 2))
+    skip = next((t for t in reversed(tokens[:i]) if t in v.anchors), start)
+    at = np.flatnonzero(v.modelled == tokens[i])
+    leaf = int(v.place[at[0]]) if len(at) else v.tail
+    found = 0.0
+    for level in range(len(v.tree.node)):
+        node = int(v.tree.node[level][leaf])
+        if node < 0:
+            break
+        z = v.tree.prior[node].astype(float)
+        for k, f in enumerate([one, skip, (one * int(maxent_lm.PAIR) + two) & mask] if level == 0 else [one, skip]):
+            z = z + table[mix((f + k + 1 & mask) ^ (node + 1) * int(maxent_lm.NODE) & mask) * len(table) >> 64]
+        p = np.exp(z) / np.exp(z).sum()
+        found += math.log10(p[v.tree.child[level][leaf]])
+    return found
+
+
+def vocabulary_of(size, seed=1):
+    rng = np.random.default_rng(seed)
+    n = np.sort(rng.zipf(1.3, size).clip(maxent_lm.LEAST, 100_000))
+    return maxent_lm.Vocabulary(np.arange(1000, 1000 + size, dtype=np.uint64), n, int(n.sum()) + 50, size + 40), rng
+
+
+@pytest.mark.parametrize("size", [0, 3, 40, 5000])
+def test_language_model_sums_to_one_and_equals_brute_force(size):
+    v, rng = vocabulary_of(size)
+    table = rng.normal(size=v.no_weights().shape).astype(np.float32)
+    each = np.append(np.arange(1000, 1000 + size, dtype=np.uint64), np.uint64(7))  # the last is no modelled word
+    token = np.stack([np.full(len(each), 1000, np.uint64), np.full(len(each), 6, np.uint64), each], axis=1).ravel()
+    row = np.repeat(np.arange(len(each)), 3)
+    p = maxent_lm.log_probability(v, table, token, row)
+    assert (10 ** p[2::3]).sum() == pytest.approx(1, abs=1e-4)
+    text = rng.choice(each, 40)
+    got = maxent_lm.log_probability(v, table, text, np.zeros(40, int))
+    assert got == pytest.approx([brute_log_probability(v, table, text.tolist(), i) for i in range(40)], abs=1e-4)
+
+
+def test_language_model_updates_follow_the_gradient():
+    v, rng = vocabulary_of(200)
+    text = rng.choice(v.modelled, 3000)
+    row, before = np.zeros(3000, int), v.no_weights()
+    after = before.copy()
+    used = maxent_lm.learn(v, after, iter([(text, row)] * 3))
+    assert maxent_lm.log_probability(v, after, text, row).sum() > maxent_lm.log_probability(v, before, text, row).sum() + 100
+    assert ((used > 0) == (after != 0).any(axis=1)).all()
+    levels = (v.tree.node[:, v.places(text)] >= 0).sum(axis=1)
+    assert used.sum() == 3 * (3 * levels[0] + 2 * levels[1:].sum())
 
 
 def test_language_model_odd_rows(spark, odd, none):
@@ -383,25 +432,13 @@ def test_language_model_chooses_content_words(spark):
     rng = np.random.default_rng(2)
     text = lambda: " ".join(f"a{i} b{i}" for i in rng.integers(0, 600, 40))
     space, rows = Workspace(spark, "test"), [(i, text()) for i in range(2000)] + [(2000, "once")]
-    v, w, counts = maxent_lm.train(spark, space, spark.createDataFrame(rows, "doc_id long, text string"))
-    assert len(v.modelled) == w.size == 1201 and v.tail_total == 1
+    v, table, counts = maxent_lm.train(spark, space, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(v.modelled) == 1201 and v.tail_total == 1
     asked = spark.createDataFrame([(1, " ".join(f"a{i} b{i}" for i in range(300, 600))), (2, " ".join(f"a{i} b{(i + 7) % 600}" for i in range(300, 600)))], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in maxent_lm.score(spark, space, asked, v, w, counts).collect()}
+    got = {r.doc_id: r.score for r in maxent_lm.score(spark, space, asked, v, table, counts).collect()}
     assert got[1] > got[2] + 300 * 0.5
 
 
-def test_language_model_sums_to_one_over_a_larger_vocabulary():
-    rng = np.random.default_rng(1)
-    size = 5000
-    w = maxent_lm.Weights.zero(np.sort(rng.integers(4, 900, size))[::-1])
-    w.classes[:], w.words[:] = rng.normal(size=w.classes.shape), rng.normal(size=w.words.shape)
-    each = np.arange(size + 1)
-    token = np.stack([np.full(size + 1, 5), np.full(size + 1, 6), 1000 + each], axis=1).astype(np.uint64).ravel()
-    rank = np.stack([np.full(size + 1, size), np.full(size + 1, size), each], axis=1).ravel()
-    p = 10 ** maxent_lm.log_probability(w, token, np.repeat(each, 3), rank)[2::3]
-    assert w.depth() == 4 and len(w.words) > 1 << maxent_lm.WORD_BITS and p.sum() == pytest.approx(1, abs=1e-4)
-
-
 # 10
 def test_language_id(spark, odd, none):
     got = QUERIES["op10_zstd_language_id"](spark, "/root/testdata/sf0.01").toPandas()
