@@ -12,8 +12,14 @@ file is the frames in the order of (shard, block).
 
 Tokenising goes by pieces between single spaces that the vocabulary's pre-tokeniser always
 splits at, so each distinct piece is encoded once a worker and looked up afterwards by its 64-bit
-hash; ids equal those of whole texts. Null texts are empty: only the end id. Null doc_ids come
-first; repeated rows are documents of their own.
+hash, checked by length and by the first and last eight bytes; ids equal those of whole texts. A
+text that holds an added token of the vocabulary is one piece, so it goes to the tokeniser whole.
+
+Null texts are empty: only the end id. Null doc_ids come first. Rows of one doc_id are documents of
+their own, in the order of their texts' hashes; equal rows are alike in any order, so partitions may
+cut between them. An empty table gives no frames. A text over 1 MB is a chunk of its own and never
+cut, and a block holds at least one document. Only doc_id and text are read, so further columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -89,6 +95,15 @@ def _letters_only(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return total[ends] - total[starts] == size - ((data[starts] == 32) & (size > 1))
 
 
+def _looks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length, first and last eight bytes of ranges, with zeros where a range is shorter."""
+    wide = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(wide[:8].view(np.uint64), (len(data) + 9,), (1,))
+    size = (ends - starts).astype(np.uint64)
+    cut = np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))
+    return np.stack([size, word[starts + 8] << cut, word[ends] >> cut])
+
+
 def byte_letters() -> dict[int, str]:
     """The character that byte-level vocabularies write for each byte: its own if it is printable in Latin-1, else the next from U+0100 on."""
     out, spare = {}, 256
@@ -111,13 +126,26 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
         self.hash, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.look = np.zeros(0, np.uint32), np.zeros((3, 0), np.uint64)
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start; rows that hold an added token are one piece."""
+        starts, raw, whole = piece_starts(data, offsets), data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                # One that spans two rows only makes them go whole, too.
+                whole.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = raw.find(token, at + 1)
+        for row in whole:
+            starts = starts[(starts <= offsets[row]) | (starts >= offsets[row + 1])]
+        return starts
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the pieces from each start to the next: the entry of each; and entries in use and their counts."""
@@ -126,10 +154,16 @@ class Pieces:
         inverse, distinct = pd.factorize(keys)
         at = np.empty(len(distinct), np.int64)
         at[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+        look = _looks(data, starts, ends)
+        if (look != look[:, at][:, inverse]).any():
+            raise ValueError("two pieces of one hash")
         place = np.searchsorted(self.hash, distinct)
         have = np.zeros(len(distinct), bool)
         inside = place < len(self.hash)
         have[inside] = self.hash[place[inside]] == distinct[inside]
+        if (self.look[:, place[have]] != look[:, at[have]]).any():
+            self.clear()
+            return self.find(data, starts)
         if not have.all():
             raw = data.tobytes()
             new = np.flatnonzero(~have)
@@ -143,6 +177,7 @@ class Pieces:
             first = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
             where = np.searchsorted(self.hash, distinct[new])
+            self.look = np.insert(self.look, where, look[:, at[new]], axis=1)
             self.hash, self.first, self.size = (np.insert(a, where, b) for a, b in ((self.hash, distinct[new]), (self.first, first), (self.size, size)))
             place = np.searchsorted(self.hash, distinct)
         return place[inverse], place, np.bincount(inverse, minlength=len(distinct))
@@ -161,7 +196,7 @@ class Pieces:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows, each closed by the end id, and the number of each row's."""
         rows = len(offsets) - 1
-        starts = piece_starts(data, offsets)
+        starts = self.starts(data, offsets)
         if not len(starts):
             return np.full(rows, END, np.uint32), np.ones(rows, np.int64)
         entry, _, _ = self.find(data, starts)
@@ -277,7 +312,7 @@ def _histogram(path: str):
         for batch in batches:
             total[END] += len(batch)
             for _, _, data, offsets in chunks(batch.column(0)):
-                starts = piece_starts(data, offsets)
+                starts = pieces.starts(data, offsets)
                 if len(starts):
                     _, entry, times = pieces.find(data, starts)
                     size = pieces.size[entry]
@@ -338,7 +373,10 @@ def write_frames(spark: SparkSession, space: Workspace, docs: DataFrame, path: s
     table = shared_table({r.id: r.n for r in counted.collect()} or {END: 1})
     saved = space.save(spark.createDataFrame([(int(i), int(f)) for i, f in table.T], "id long, frequency long").coalesce(1), "frequencies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # Equal rows may fall on either side of a cut, so a doc_id of many rows spreads.
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text"
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at"))
+    ordered = dealt.repartitionByRange(parts, *order[:2], "at").sortWithinPartitions(*order).select("doc_id", "text")
     frames = ordered.mapInArrow(_frames(path, spark.sparkContext.broadcast(table)), "shard int, block long, first long, n_tokens long, frame binary")
     return space.save(frames, "frames"), saved
 

@@ -227,12 +227,14 @@ def test_token_files_equal_the_tokenizer(spark, docs, odd, none):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    for df in (docs, odd):
+    marked = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|>b <|endof text|>"), (None, "<|endof"), (None, "text|>"), (None, "b"), (4, LONG + "<|endoftext|>")], "doc_id long, text string")
+    assert plain.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    for df in (docs, odd, marked):
         frames = token_files.write_frames(spark, Workspace(spark, "test"), df, path)
-        got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_frames(spark, *frames).collect())
+        got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_frames(spark, *frames).collect()), key=lambda r: r[0])
         want, at = [], 0
-        for i, t in sorted(texts_of(df), key=lambda r: (r[0], r[1] or "")):
+        order = [(r.doc_id, r.text) for r in df.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text").collect()]
+        for i, t in order:
             ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
             want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
@@ -257,7 +259,6 @@ def test_pieces_cut_only_where_the_vocabulary_does():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, pieces = Tokenizer.from_file(path), token_files.Pieces(path)
-    plain.encode_special_tokens = True
     texts = ["", "  a  b", "a \n b\n\nc d", "é x y z", "\n", "a\n", " a", "x\ny z ", "日本 語 a b", "don't 's 12 3a\tb c.d, (e)'f'.g", "<|endoftext|> x", "a\u0085 b", " ", "x× ÷y ß-ü"]
     got, sizes = pieces.encode(*token_files_buffers(texts))
     want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
