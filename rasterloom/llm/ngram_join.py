@@ -184,49 +184,52 @@ def _postings(k: int, percent: int, heavy_b, hot: bool):
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and fp: (fp, token, df) for tokens of two classes or more.
+    """From rows (token, fp, ...) sorted by both: (fp, token, df, ...) for tokens of two classes or more.
 
     A list that is still growing at a batch's end waits, at most DF_MOST entries of it: beyond
     these its df counts as DF_MOST and it passes through.
     """
-    wait_t, wait_f, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-    empty = np.zeros(0, np.int64)
+    wait, passing = None, None
 
-    def out(f, t, df):
-        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(t), pa.array(df)], ["fp", "token", "df"])
+    def out(columns, df):
+        t, f, *more = columns
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (f, t, df, *more)], ["fp", "token", "df", *names])
 
-    def emit(t, f):
+    def emit(columns):
+        t = columns[0]
         at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         df = np.diff(np.append(at, len(t)))
         each = np.repeat(df, df)
         keep = each > 1
-        return out(f[keep], t[keep], np.minimum(each[keep], DF_MOST))
+        return out([x[keep] for x in columns], np.minimum(each[keep], DF_MOST))
 
     for batch in batches:
-        t, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(t):
+        columns, names = [c.to_numpy(zero_copy_only=False) for c in batch.columns], batch.schema.names[2:]
+        if not len(batch):
             continue
         if passing is not None:
-            n = int(np.searchsorted(t, passing, side="right"))
+            n = int(np.searchsorted(columns[0], passing, side="right"))
             if n:
-                yield out(f[:n], t[:n], np.full(n, DF_MOST))
-            t, f = t[n:], f[n:]
-            if not len(t):
+                yield out([x[:n] for x in columns], np.full(n, DF_MOST))
+            columns = [x[n:] for x in columns]
+            if not len(columns[0]):
                 continue
             passing = None
-        t, f = np.concatenate([wait_t, t]), np.concatenate([wait_f, f])
+        if wait is not None:
+            columns = [np.concatenate(x) for x in zip(wait, columns, strict=True)]
+        t, f = columns[:2]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (f[1:] != f[:-1])])
-        t, f = t[new], f[new]
-        last = int(np.searchsorted(t, t[-1], side="left"))
+        columns = [x[new] for x in columns]
+        last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
         if last:
-            yield emit(t[:last], f[:last])
-        wait_t, wait_f = t[last:], f[last:]
-        if len(wait_t) >= DF_MOST:
-            passing = wait_t[0]
-            yield out(wait_f, wait_t, np.full(len(wait_t), DF_MOST))
-            wait_t, wait_f = empty, empty
-    if len(wait_t):
-        yield emit(wait_t, wait_f)
+            yield emit([x[:last] for x in columns])
+        wait = [x[last:] for x in columns]
+        if len(wait[0]) >= DF_MOST:
+            passing = wait[0][0]
+            yield out(wait, np.full(len(wait[0]), DF_MOST))
+            wait = None
+    if wait is not None:
+        yield emit(wait)
 
 
 def _rare_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +246,8 @@ def _rare_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(at, len(fp)))
         none = token == np.iinfo(np.int64).min
         light = size - none[at]
-        c = light + hot[at]
-        length = np.where(c >= need[at], c - need[at] + 1, 0)
+        c, least = light + hot[at], np.minimum.reduceat(need, at)
+        length = np.where(c >= least, c - least + 1, 0)
         rank = np.arange(len(fp)) - np.repeat(at, size)
         left = np.maximum(0, length - light)
         keep = (rank < np.repeat(length, size)) & (~none | (np.repeat(left, size) > 0))
@@ -386,13 +389,18 @@ def _sets_of(k: int):
     return run
 
 
-def _post_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, fp) of whole sets, from (fp, sets)."""
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        if sets:
-            fp = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(fp)], ["token", "fp"])
+def _post_sets(percent: int):
+    """(token, fp, need, hot) of whole sets, from (fp, sets): need is T, and no list is left out as frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if sets:
+                size = np.array([len(s) for s in sets])
+                fp, need = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), np.repeat(least_overlap(size, percent), size)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), fp, need, np.zeros_like(need))], ["token", "fp", "need", "hot"])
+
+    return run
 
 
 SEARCHED = "cid binary, other binary, whole boolean, rows long"
@@ -464,11 +472,16 @@ def _texts_of(spark: SparkSession, keyed: DataFrame, wanted: DataFrame) -> DataF
     return held.groupBy("text_key").agg(F.first("text").alias("text"))
 
 
-def _rarest(space: Workspace, posted: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
-    """(token, fp, c, left) of posted(token, fp): the rarest lists that a class of facts(fp, need, hot) has to look at."""
-    shared = posted.repartition(parts, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared_lists, "fp long, token long, df long")
-    kept = facts.join(shared, "fp", "left").where("token is not null or hot > 0").select("fp", "token", "df", "need", "hot")
-    return space.save(kept.repartition(parts, "fp").sortWithinPartitions("fp", F.col("df").asc_nulls_first(), "token").mapInArrow(_rare_prefix, "token long, fp long, c long, left long"), "prefix")
+def _shared(posted: DataFrame, parts: int) -> DataFrame:
+    """(fp, token, df, ...) of posted(token, fp, ...) for tokens of two classes or more."""
+    more = [f"{c} long" for c in posted.columns[2:]]
+    return posted.repartition(parts, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared_lists, ", ".join(["fp long, token long, df long", *more]))
+
+
+def _rarest(space: Workspace, shared: DataFrame, parts: int) -> DataFrame:
+    """(token, fp, c, left): the rarest of the lists shared(fp, token, df, need, hot) that a class has to look at."""
+    ranked = shared.select("fp", "token", "df", "need", "hot").repartition(parts, "fp").sortWithinPartitions("fp", F.col("df").asc_nulls_first(), "token")
+    return space.save(ranked.mapInArrow(_rare_prefix, "token long, fp long, c long, left long"), "prefix")
 
 
 def _meetings(rare: DataFrame) -> DataFrame:
@@ -501,7 +514,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = classes.where("need > 0").groupBy("fp").agg(F.min("need").alias("need"), F.sum("hot").alias("hot"))
-    rare = _rarest(space, text.mapInArrow(_postings(k, percent, heavy, False), "token long, fp long"), facts, parts)
+    shared = _shared(text.mapInArrow(_postings(k, percent, heavy, False), "token long, fp long"), parts)
+    rare = _rarest(space, facts.join(shared, "fp", "left").where("token is not null or hot > 0"), parts)
     # Classes that meet on a rare shingle, or on a frequent one if their prefix reaches that far.
     reach = rare.where("left > 0").select("fp").distinct()
     frequent = space.save(text.mapInArrow(_postings(k, percent, heavy, True), "token long, fp long").distinct().join(reach, "fp", "left_semi"), "frequent")
@@ -521,8 +535,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     work = sets.where(over == 1).withColumn("slices", F.lit(1))
     large = sets.where(over > 1)
     if not large.isEmpty():
-        need = large.groupBy("fp").agg(F.min(F.ceil(F.col("n") * percent / 100)).cast("long").alias("need"), F.lit(0).cast("long").alias("hot"))
-        again = _rarest(space, large.select("fp", "sets").mapInArrow(_post_sets, "token long, fp long"), need, parts)
+        whole = large.select("fp", "sets").mapInArrow(_post_sets(percent), "token long, fp long, need long, hot long")
+        again = _rarest(space, _shared(whole, parts), parts)
         apart = _blocks(space, _meetings(again), "apart")
         large = large.drop("block", "members", "shingles").join(apart, "fp")
         large = large.join(totals(large.drop("sets")), "block").select(sets.columns).withColumn("slices", over)
