@@ -1,14 +1,19 @@
 """Quality rules: base measures and a hashed n-gram logistic regression.
 
-The model sees two blocks of relative frequencies, of word 1- and 2-grams and of byte 3- and
-4-grams of the UTF-8 text, hashed into 2^bits columns each. It is trained by full-batch Adam on
-at most ``sample`` labelled rows (the least by a hash of doc_id, a documented bound), with a
-quarter of them held out for Platt calibration, and scored in Arrow batches: a document's logit
-is the mean of its grams' weights, so no sparse vector is built and memory follows the chunk.
+The model sees two blocks of relative frequencies, of word 1- and 2-grams and of character (code
+point) 3- and 4-grams, hashed into 2^bits columns each. It is trained by full-batch Adam on at most
+``sample`` labelled rows (the least by a hash of doc_id, a documented bound), with a quarter of them
+held out for Platt calibration, in one task: only the weights reach the driver. It is scored in
+Arrow batches: a document's logit is the mean of its grams' weights, so no sparse vector is built
+and memory follows the chunk of texts.
 
 A document is kept when the base rules pass and the calibrated probability reaches the fixed
-threshold. Null or empty texts have zero measures and fail the base rules. Without labels of
-both kinds the model is the smoothed share of good labels.
+threshold. Null or empty texts have zero measures and fail the base rules. Without labels of both
+kinds the model is the smoothed share of good labels. Of labels that repeat for one doc_id the
+greater holds; rows that repeat are rows of the sample each; ties of the hash go to the lesser
+doc_id; a null doc_id has no label. An empty table gives no rows. A text over 1 MB is a chunk of its
+own and read whole. score() returns its own columns only; keep_good() returns those of docs, whatever
+their names are.
 """
 
 from __future__ import annotations
@@ -81,29 +86,39 @@ def base_measures(words: Words) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def grams(words: Words, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(columns, rows) of the word grams and of the byte grams; byte columns follow the word columns."""
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of rows of UTF-8, and the row of each; what is no UTF-8 becomes U+FFFD."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
+        size = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets])
+    except UnicodeDecodeError:
+        rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        points, size = np.frombuffer("".join(rows).encode("utf-32-le"), "<u4"), np.array([len(r) for r in rows], np.int64)
+    return points, np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), size)
+
+
+def grams(words: Words, bits: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For word grams, then for character grams: (columns, rows) parts; character columns follow the word columns."""
     shift, size = np.uint64(64 - bits), np.int64(1 << bits)
     h, mul = words.hash, np.uint64(0xA0761D6478BD642F)
     pair = words.row[1:] == words.row[:-1]
     two = mix64(h[:-1] * mul + h[1:])[pair]
-    word = ((np.concatenate([h, two]) >> shift).astype(np.int64), np.concatenate([words.row, words.row[1:][pair]]))
-    data = words.data.astype(np.uint64)
-    rows = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
-    columns, owners = [], []
+    yield [((h >> shift).astype(np.int64), words.row), ((two >> shift).astype(np.int64), words.row[1:][pair])]
+    points, rows = code_points(words.data, words.offsets)
+    points, parts = points.astype(np.uint64), []
     for k, odd in ((3, 0x9E3779B97F4A7C15), (4, 0xC2B2AE3D27D4EB4F)):
-        m = len(data) - k + 1
+        m = len(points) - k + 1
         if m <= 0:
             continue
-        key = np.zeros(m, np.uint64)
-        for i in range(k):
-            key = (key << np.uint64(8)) | data[i : i + m]
+        # Code points have 21 bits: three fit a key, the fourth is mixed in.
+        key = points[:m] << np.uint64(42) | points[1 : m + 1] << np.uint64(21) | points[2 : m + 2]
+        if k == 4:
+            key = (key ^ points[3:] * mul) + np.uint64(1)
         whole = rows[k - 1 :] == rows[:m]
-        key = ((key + np.uint64(k << 40)) * np.uint64(odd))[whole]
-        columns.append((key >> shift).astype(np.int64) + size)
-        owners.append(rows[:m][whole])
-    none = np.zeros(0, np.int64)
-    return word, (np.concatenate(columns) if columns else none, np.concatenate(owners) if owners else none)
+        key = key[whole] * np.uint64(odd)
+        parts.append(((key >> shift).astype(np.int64) + size, rows[:m][whole]))
+    yield parts
 
 
 @dataclass
@@ -119,8 +134,12 @@ class QualityModel:
     def logits(self, words: Words) -> np.ndarray:
         n = len(words.offsets) - 1
         z = np.full(n, self.bias)
-        for columns, rows in grams(words, self.bits):
-            z += np.bincount(rows, weights=self.weights[columns], minlength=n) / np.maximum(1, np.bincount(rows, minlength=n))
+        for parts in grams(words, self.bits):
+            total, times = np.zeros(n), np.zeros(n)
+            for columns, rows in parts:
+                total += np.bincount(rows, weights=self.weights[columns], minlength=n)
+                times += np.bincount(rows, minlength=n)
+            z += total / np.maximum(1, times)
         return z
 
     def probability(self, words: Words) -> np.ndarray:
@@ -132,7 +151,8 @@ def _sparse_rows(bits: int):
         for batch in batches:
             for at, stop, words in word_chunks(batch.column(2), False):
                 keys, shares = [], []
-                for columns, rows in grams(words, bits):
+                for parts in grams(words, bits):
+                    columns, rows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
                     key, count = np.unique((rows.astype(np.int64) << 32) | columns, return_counts=True)
                     keys.append(key)
                     shares.append(count / np.maximum(1, np.bincount(rows, minlength=stop - at))[key >> 32])
@@ -183,23 +203,39 @@ def platt(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> QualityModel:
-    """Fit on at most `sample` labelled rows of docs(doc_id, text) and labels(doc_id, quality)."""
-    told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = F.broadcast(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("long"), "text").where("text is not null")
-    got = rows.mapInArrow(_sparse_rows(bits), "doc_id long, label long, columns binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "columns").limit(sample).collect()
-    label = np.array([r.label for r in got], np.float64)
-    if len(got) < 8 or label.min() == label.max():
+def fit_model(columns: list[np.ndarray], shares: list[np.ndarray], label: np.ndarray, bits: int) -> QualityModel:
+    """Fit on three quarters of the rows, calibrate on every fourth."""
+    if len(label) < 8 or label.min() == label.max():
         share = (label.sum() + 1) / (len(label) + 2)
         return QualityModel(bits, np.zeros(2 << bits), 0.0, 1.0, float(np.log(share / (1 - share))))
-    columns = [np.frombuffer(r.columns, np.int32) for r in got]
-    shares = [np.frombuffer(r.shares, np.float32) for r in got]
-    held = np.arange(len(got)) % 4 == 3
+    held = np.arange(len(label)) % 4 == 3
     pick = lambda x, keep: [a for a, k in zip(x, keep, strict=True) if k]
     w, b = fit(pick(columns, ~held), pick(shares, ~held), label[~held], bits)
     z = np.array([w[c] @ s + b for c, s in zip(pick(columns, held), pick(shares, held), strict=True)])
-    return QualityModel(bits, w, b, *platt(z, label[held]))
+    return QualityModel(bits, w, float(b), *platt(z, label[held]))
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> QualityModel:
+    """Fit on at most `sample` labelled rows of docs(doc_id, text) and labels(doc_id, quality)."""
+    told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    # `sample` rows at most.
+    chosen = F.broadcast(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("long"), "text").where("text is not null")
+    sparse = rows.mapInArrow(_sparse_rows(bits), "doc_id long, label long, columns binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "columns").limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, shares, label = [], [], []
+        for batch in batches:
+            label += batch.column(1).to_pylist()
+            columns += [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            shares += [np.frombuffer(x, np.float32) for x in batch.column(3).to_pylist()]
+        m = fit_model(columns, shares, np.array(label, np.float64), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (m.bias, m.slope, m.offset))], ["weights", "bias", "slope", "offset"])
+
+    r = sparse.coalesce(1).mapInArrow(run, "weights binary, bias double, slope double, offset double").first()
+    if r is None:
+        return fit_model([], [], np.zeros(0), bits)
+    return QualityModel(bits, np.frombuffer(r.weights), r.bias, r.slope, r.offset)
 
 
 def judge(words: Words, model: QualityModel, threshold: float) -> dict[str, np.ndarray]:
@@ -212,13 +248,15 @@ def judge(words: Words, model: QualityModel, threshold: float) -> dict[str, np.n
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the measures, base_failed, kept and probability of each row of docs(doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Fields, not the object: executors need not have this package.
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     names = [*MEASURES, "base_failed", "kept", "probability"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = QualityModel(**sent.value)
         for batch in batches:
             for at, stop, words in word_chunks(batch.column(1), False):
-                found = judge(words, sent.value, threshold)
+                found = judge(words, model, threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), *(pa.array(found[x]) for x in names)], ["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
@@ -226,12 +264,14 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that pass, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Fields, not the object: executors need not have this package.
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = QualityModel(**sent.value)
         for batch in batches:
-            keep = [judge(words, sent.value, threshold)["kept"] for _, _, words in word_chunks(batch.column(text), False)]
+            keep = [judge(words, model, threshold)["kept"] for _, _, words in word_chunks(batch.column(text), False)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
