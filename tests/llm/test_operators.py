@@ -450,3 +450,77 @@ def test_language_id(spark, odd, none):
     assert [rows[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and rows[4].lang_pred in ("en", "fr", "de")
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(none, F.lit(True))).collect()} == {"und"}
     assert language_id.predict(none, model).count() == 0 and language_id.keep_reliable(odd, model).columns == odd.columns
+
+
+def test_language_id_equals_brute_force(spark, docs):
+    import zstandard
+
+    learned = docs.where(language_id.in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = learned.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("at"), F.xxhash64("text", "doc_id").alias("place")).collect()
+    sample, content = 20, 8000
+    each, found = content // sample, defaultdict(set)
+    count = Counter(r.lang for r in rows)
+    for r in rows:
+        if r.at < min(1 << 40, (sample << 40) // count[r.lang]):
+            start = r.place % max(1, len(r.text) - each + 1)
+            found[r.lang].add((r.at, r.text[start : start + each].lower()))
+    dictionaries = {lang: "\n".join(t.encode()[: each - 1].decode("utf-8", "ignore") for _, t in sorted(x)).encode() for lang, x in found.items()}
+    model = language_id.train(docs, language_id.in_training(), sample, content)
+    assert model.content == dictionaries and min(map(len, dictionaries.values())) > 2000
+    got = {r.doc_id: (r.lang_pred, r.score, r.reliable) for r in language_id.predict(docs, model).collect()}
+    tools = {x: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language_id.LEVEL, write_content_size=False, write_dict_id=False) for x, d in dictionaries.items()}
+    for i, t in texts_of(docs)[:60]:
+        low = (t or "").lower()
+        size = sorted((sum(len(c.compress(low[k : k + language_id.PIECE].encode())) for k in range(0, len(low), language_id.PIECE)), x) for x, c in tools.items())
+        if re.search(r"[^\W\d_]", low):
+            want = size[0][1], 1 - size[0][0] / size[1][0]
+            assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=0.02) and got[i][2] == (got[i][1] >= language_id.LEAST_MARGIN)
+        else:
+            assert got[i] == ("und", 0.0, False)
+
+
+def test_character_grams_follow_code_points():
+    from rasterloom.llm.words import split_words
+
+    texts = ["日本語 x", "", "äb", "abc"]
+    data, offsets = token_files_buffers(texts)
+    points, row = quality.code_points(data, offsets)
+    assert "".join(map(chr, points)) == "".join(texts) and row.tolist() == [i for i, t in enumerate(texts) for _ in t]
+    _, (three, four) = quality.grams(split_words(data, offsets, False), 16)
+    assert three[1].tolist() == [0, 0, 0, 3] and four[1].tolist() == [0, 0]
+    broken = np.frombuffer(b"a\xffbc\xe3\x81", np.uint8)
+    points, row = quality.code_points(broken, np.array([0, 3, 6]))
+    assert "".join(map(chr, points)) == "a\ufffdbc\ufffd" and row.tolist() == [0, 0, 0, 1, 1]
+
+
+def test_quality_fit_equals_plain_gradients():
+    rng = np.random.default_rng(8)
+    columns = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(60)]
+    shares = [np.full(6, 1 / 6, np.float32)] * 60
+    label = np.array([float(5 in c or 7 in c) for c in columns])
+    m = quality.fit_model(columns, shares, label, 5)
+    z = np.array([m.weights[c] @ s + m.bias for c, s in zip(columns, shares, strict=True)])
+    # Nothing that one coordinate could gain: the fit is at the optimum of a convex loss, nearly.
+    assert ((z > 0) == (label > 0))[np.arange(60) % 4 != 3].all() and m.slope > 0
+
+
+def test_null_ids_repeats_and_long_texts(spark):
+    """Null doc_ids, rows that repeat and a text over the chunk size in every operator of documents."""
+    schema, long = "doc_id long, text string, lang string, source string, payload string, media int, chain string", " ".join(f"v{i * 31 % 7919}" for i in range(800_000))
+    rows = [(None, "one two three four five six", "en", "a", "p", 1, "c")] * 2 + [(None, None, None, None, None, None, None), (7, long, "en", "a", "p", 1, "c"), (7, long, "en", "a", "p", 1, "c"), (8, "one two three four five six", "en", "b", "p", 1, "c")]
+    df = spark.createDataFrame(rows, schema)
+    assert len(long) > 4 << 20
+    joined = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in ngram_join.jaccard_components(spark, df).collect())
+    size = len({tuple(w) for w in zip(*(long.split()[k:] for k in range(5)))})
+    assert joined == [("7", size, "7", 1), ("7", size, "7", 1), ("8", 2, "8", 2), ("None", 0, "None", 0), ("None", 2, "8", 2), ("None", 2, "8", 2)]
+    model = quality.train(spark, df, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int"))
+    assert sorted(r.n_words for r in quality.score(df, model).collect()) == [0, 6, 6, 6, 800_000, 800_000]
+    assert quality.keep_good(df, model).columns == df.columns
+    learned = language_id.train(df, language_id.in_training())
+    assert language_id.predict(df, learned).count() == 6 and language_id.keep_reliable(df, learned).columns == df.columns
+    assert mixing.mix(spark, df).count() == 6 and packing.pack(df).agg(F.sum("n_tokens")).first()[0] == 1_600_018
+    space = Workspace(spark, "test")
+    assert maxent_lm.score(spark, space, df, *maxent_lm.train(spark, space, df)).agg(F.sum("n_tokens")).first()[0] == 1_600_024
+    back = transport_stream.digests(transport_stream.store(df)).collect()
+    assert sorted(r.n_bytes for r in back) == sorted(len((r[1] or "").encode()) for r in rows)
+    assert license_rules.scan(df).count() == 6
