@@ -34,8 +34,8 @@ def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"))
+    mixed = mixing.copies(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def op7_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

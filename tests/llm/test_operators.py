@@ -289,24 +289,73 @@ def brute_targets(sizes, most=3):
 def test_mixing_meets_its_targets(spark, none):
     rows = [(i, f"s{i % 4 if i % 10 else 9}" if i % 11 else None, " ".join(["w"] * (1 + i * 37 % 90))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = mixing.mix(spark, df).toPandas()
+    got = mixing.copies(spark, df).toPandas()
     sizes = Counter()
     for _, s, t in rows:
         sizes[s] += len(t.split())
     want = brute_targets(sizes)
-    got["source"] = got["source"].where(got["source"].notna(), None)
-    for source, part in got.groupby(got["source"].fillna("null")):
+    source_of = {i: s for i, s, _ in rows}
+    got["source"] = [source_of[i] or "null" for i in got.doc_id]
+    for source, part in got.groupby("source"):
         key = None if source == "null" else source
-        assert part["__target"].iloc[0] == pytest.approx(want[key]) and part["__source_size"].iloc[0] == sizes[key]
-        assert (part["__copies"] * part["__size"]).sum() == pytest.approx(want[key], rel=0.01)
-    assert got["__copies"].between(0, 3).all()
-    again = mixing.mix(spark, df.repartition(7)).toPandas()
-    assert dict(zip(got.doc_id, got["__copies"], strict=True)) == dict(zip(again.doc_id, again["__copies"], strict=True))
-    assert mixing.mix(spark, none).count() == 0
+        assert part["target"].iloc[0] == pytest.approx(want[key]) and part["source_size"].iloc[0] == sizes[key]
+        assert (part["copies"] * part["size"]).sum() == pytest.approx(want[key], rel=0.01)
+    assert got["copies"].between(0, 3).all()
+    again = mixing.copies(spark, df.repartition(7)).toPandas()
+    assert dict(zip(got.doc_id, got["copies"], strict=True)) == dict(zip(again.doc_id, again["copies"], strict=True))
+    assert mixing.copies(spark, none).count() == 0
+
+
+def test_mixing_ranks_many_sources(spark):
+    rows = [(i, f"host{i * 7919 % 1000:04d}" if i % 100 else None, "w " * (1 + i % 7)) for i in range(2000)]
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    got = mixing.copies(spark, spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)).collect()
+    want, source_of = brute_targets(sizes), {i: s for i, s, _ in rows}
+    assert all(r.target == pytest.approx(want[source_of[r.doc_id]]) for r in got)
+
+
+def brute_balance(mass, target, aims, cap, slack):
+    """Rates by plain descent on the classes' multipliers, sources by bisection."""
+    tilt = np.zeros(len(aims))
+
+    def rates(tilt):
+        out = np.zeros_like(mass)
+        for s in range(len(mass)):
+            lo, hi = -60.0, 60.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                r = np.minimum(cap, np.exp(mid + tilt))
+                lo, hi = (mid, hi) if (mass[s] * r).sum() < target[s] else (lo, mid)
+            out[s] = np.minimum(cap, np.exp(lo + tilt))
+        return out
+
+    for _ in range(4000):
+        slope = (mass * rates(tilt)).sum(axis=0) - aims + slack * tilt
+        tilt -= slope / (mass.sum() + slack)
+        if np.abs(slope).max() < 1e-8 * mass.sum():
+            break
+    return rates(tilt)
+
+
+def test_balance_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    mass = rng.integers(0, 900, (7, 4)).astype(float)
+    mass[2, 1:] = 0
+    target = mass.sum(axis=1) * np.array([0.3, 2.9, 1.0, 3.0, 0.7, 2.0, 1.5])
+    aims = mass.sum(axis=0) * target.sum() / mass.sum()
+    slack = 0.02 * mass.sum()
+    df = spark.createDataFrame([(i, m, t) for i, (m, t) in enumerate(zip(mass.tolist(), target.tolist(), strict=True))], "source int, mass array<double>, target double")
+    got = np.array([r.rates for r in mixing.balance(df, aims.tolist(), 3.0, slack).orderBy("source").collect()])
+    want = brute_balance(mass, target, aims, 3.0, slack)
+    assert (mass * got).sum(axis=1) == pytest.approx(target) and got.max() <= 3
+    assert np.abs((got - want) * mass).max() < 1e-3 * mass.max()
+    assert got[0].std() > 0.001
 
 
 def test_mixing_odd_rows_and_two_families(spark, odd):
-    assert mixing.repeat_copies(mixing.mix(spark, odd)).columns == odd.columns
+    assert mixing.repeat_copies(spark, odd).columns == odd.columns
     space = Workspace(spark, "test")
     cells = spark.createDataFrame([("a", "en", 60.0), ("a", "fr", 40.0), ("b", "en", 30.0), ("b", "fr", 70.0)], "source string, lang string, mass double")
     families = {"source": spark.createDataFrame([("a", 80.0), ("b", 120.0)], "source string, target double"), "lang": spark.createDataFrame([("en", 110.0), ("fr", 90.0)], "lang string, target double")}
@@ -314,6 +363,9 @@ def test_mixing_odd_rows_and_two_families(spark, odd):
     assert r.groupby("source").m.sum().to_dict() == pytest.approx({"a": 80, "b": 120}) and r.groupby("lang").m.sum().to_dict() == pytest.approx({"en": 110, "fr": 90})
     rate = r.set_index(["source", "lang"]).rate
     assert rate["a", "en"] * rate["b", "fr"] == pytest.approx(rate["a", "fr"] * rate["b", "en"])
+    clash = spark.createDataFrame([(i, f"s{i % 2}", "a b c", i, 1, "x") for i in range(40)] + [(None, None, None, None, None, None)] * 2, "doc_id long, source string, text string, size int, copies int, `row` string")
+    out = mixing.repeat_copies(spark, clash)
+    assert out.columns == clash.columns and out.where("doc_id is not null").count() == pytest.approx(40, abs=1)
 
 
 # 7, 9
@@ -518,7 +570,7 @@ def test_null_ids_repeats_and_long_texts(spark):
     assert quality.keep_good(df, model).columns == df.columns
     learned = language_id.train(df, language_id.in_training())
     assert language_id.predict(df, learned).count() == 6 and language_id.keep_reliable(df, learned).columns == df.columns
-    assert mixing.mix(spark, df).count() == 6 and packing.pack(df).agg(F.sum("n_tokens")).first()[0] == 1_600_018
+    assert mixing.copies(spark, df).count() == 6 and packing.pack(df).agg(F.sum("n_tokens")).first()[0] == 1_600_018
     space = Workspace(spark, "test")
     assert maxent_lm.score(spark, space, df, *maxent_lm.train(spark, space, df)).agg(F.sum("n_tokens")).first()[0] == 1_600_024
     back = transport_stream.digests(transport_stream.store(df)).collect()
