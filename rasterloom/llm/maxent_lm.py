@@ -38,18 +38,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .words import Words, mix64, word_chunks
+from .words import Words, word_chunks
 
 #: Words whose counts are broadcast, and how often training holds a word that is modelled.
 LISTED, LEAST = 1 << 20, 8
-BRANCH, ANCHORS, ROW_BITS = 32, 32, 18
+BRANCH, ANCHORS, ROW_BITS = 32, 32, 17
 ROUNDS, BATCH, RATE = 2, 16384, 1.0
 #: Ranges of rows that are averaged apart.
 RANGES = 256
 #: Stand-ins for the end of a text and for what precedes it.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Multipliers that keep features, pairs and nodes apart.
-PAIR, NODE = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)
+PAIR, NODE, MIX = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, distinct = pd.factorize(token)
             held.append(pd.Series(np.bincount(code, minlength=len(distinct)), index=distinct))
             size += len(distinct)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield from flush()
                 held, size = [], 0
     yield from flush()
@@ -172,26 +172,29 @@ def _find(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
 
 
-def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf of each token; the word before it, the two before it, and the last anchor before it in its row."""
+def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray, code: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each token; the word before it, the two before it, and the last anchor before it in its row.
+
+    Rows ascend; token is distinct[code].
+    """
     n = len(token)
-    code, distinct = pd.factorize(token)
     back = []
     for k in (1, 2):
         b = np.full(n, START, np.uint64)
         b[k:] = np.where(row[k:] == row[:-k], token[:-k], START)
         back.append(b)
-    anchor = _find(v.anchors, distinct)[1][code]
-    last = np.maximum.accumulate(np.concatenate([[-1], np.where(anchor, np.arange(n), -1)[:-1]]))
-    begin = np.searchsorted(row, row)
+    here = np.arange(n)
+    head = np.concatenate([[True], row[1:] != row[:-1]])
+    begin = np.maximum.accumulate(np.where(head, here, 0))
+    last = np.maximum.accumulate(np.concatenate([[-1], np.where(_find(v.anchors, distinct)[1][code], here, -1)[:-1]]))
     skip = np.where(last >= begin, token[np.maximum(last, 0)], START)
     return v.places(distinct)[code], back[0], back[0] * PAIR + back[1], skip
 
 
 def _rows(features: list[np.ndarray], node: np.ndarray | int, rows: int) -> list[np.ndarray]:
-    """The table rows of features at nodes."""
+    """The table rows of features, which are hashes themselves, at nodes."""
     group, shift = (np.asarray(node).astype(np.uint64) + np.uint64(1)) * NODE, np.uint64(65 - rows.bit_length())
-    return [(mix64((f + np.uint64(i + 1)) ^ group) >> shift).astype(np.int32) for i, f in enumerate(features)]
+    return [(((f + np.uint64(i + 1)) ^ group) * MIX >> shift).astype(np.int32) for i, f in enumerate(features)]
 
 
 def _softmax(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
@@ -200,35 +203,48 @@ def _softmax(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np
     for r in rows:
         z += np.take(table, r, axis=0)
     np.exp(np.clip(z, -80, 80, out=z), out=z)
-    z *= (1 / (z @ np.ones(BRANCH, np.float32)))[:, None]
+    z *= (1 / np.einsum("ij->i", z))[:, None]
     return z
 
 
-def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
     """Batch by batch and level by level: the tokens whose path goes on, table rows, children, and priors of their nodes."""
-    tree, (leaf, one, pair, skip) = v.tree, histories(v, token, row)
+    tree, (leaf, one, pair, skip) = v.tree, histories(v, token, row, *(pd.factorize(token) if coded is None else coded))
     for at in range(0, len(token), BATCH):
-        part = slice(at, at + BATCH)
-        on, place = np.arange(at, min(at + BATCH, len(token))), leaf[part]
+        on = np.arange(at, min(at + BATCH, len(token)))
+        place, a, b = leaf[on], one[on], skip[on]
         for level, (node, child) in enumerate(zip(tree.node, tree.child, strict=True)):
-            go = np.flatnonzero(node[place] >= 0)
-            if not len(go):
-                break
-            on, place = on[go], place[go]
             here = node[place]
-            features = [one[on], skip[on], pair[on]] if level == 0 else [one[on], skip[on]]
-            yield on, _rows(features, here, len(table)), child[place], np.take(tree.prior, here, axis=0)
+            if level:
+                go = np.flatnonzero(here >= 0)
+                if not len(go):
+                    break
+                on, place, a, b, here = (x[go] for x in (on, place, a, b, here))
+            yield on, _rows([a, b] if level else [a, b, pair[on]], here, len(table)), child[place], np.take(tree.prior, here, axis=0)
 
 
-def log_probability(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token's leaf."""
+def log_probability(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of the probability of each token's leaf; coded: the token's codes and distinct values, if known."""
     out = np.zeros(len(token))
-    for on, rows, child, prior in _paths(v, table, token, row):
+    for on, rows, child, prior in _paths(v, table, token, row, coded):
         p = _softmax(table, rows, prior)[np.arange(len(on)), child]
         out[on] += np.log10(np.maximum(p, 1e-35))
     return out
 
 
+def _run_sums(x: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of x[order] over runs that begin at `at`: short runs place by place, long ones at once."""
+    out = np.take(x, order[at], axis=0)
+    for k in (1, 2, 3):
+        more = np.flatnonzero((size > k) & (size <= 4))
+        out[more] += np.take(x, order[at[more] + k], axis=0)
+    long = size > 4
+    if long.any():
+        s = size[long]
+        out[long] = np.add.reduceat(np.take(x, order[np.repeat(long, size)], axis=0), np.cumsum(s) - s, axis=0)
+    return out
+
+
 def learn(v: Vocabulary, table: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Update the table in place from batches of (token, row); gives how often each row was used."""
     square, used = np.ones(len(table), np.float32), np.zeros(len(table), np.float32)
@@ -240,11 +256,12 @@ def learn(v: Vocabulary, table: np.ndarray, batches: Iterator[tuple[np.ndarray,
                 order = np.argsort(r)
                 ranked = r[order]
                 at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                own = ranked[at]
-                total = np.add.reduceat(np.take(slope, order, axis=0), at, axis=0)
+                own, size = ranked[at], np.diff(np.append(at, len(r)))
+                total = _run_sums(slope, order, at, size)
                 square[own] += np.einsum("ij,ij->i", total, total)
-                table[own] -= total * (RATE / np.sqrt(square[own]))[:, None]
-                used[own] += np.diff(np.append(at, len(r)))
+                total *= (RATE / np.sqrt(square[own]))[:, None]
+                table[own] -= total
+                used[own] += size
     return used
 
 
@@ -340,7 +357,7 @@ def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary,
                 add = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
                 size = np.bincount(row, minlength=rows)
                 base = add(half) - size * base_log
-                model = add(log_probability(v, table, token, row) + tail * (half - tail_log))
+                model = add(log_probability(v, table, token, row, (code, distinct)) + tail * (half - tail_log))
                 rest = np.flatnonzero(~known)
                 cut = np.searchsorted(row[rest], np.arange(rows + 1)).astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(cut), pa.array(token[rest].view(np.int64)))

@@ -418,11 +418,6 @@ def brute_log_probability(v, table, tokens, i):
     """Of token i of one text, path by path, from the description alone."""
     mask = (1 << 64) - 1
 
-    def mix(h):
-        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
-        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
-        return h ^ h >> 31
-
     start = int(maxent_lm.START)
     one, two = (tokens[i - k] if i >= k else start for k in (1, 2))
     skip = next((t for t in reversed(tokens[:i]) if t in v.anchors), start)
@@ -435,7 +430,7 @@ def brute_log_probability(v, table, tokens, i):
             break
         z = v.tree.prior[node].astype(float)
         for k, f in enumerate([one, skip, (one * int(maxent_lm.PAIR) + two) & mask] if level == 0 else [one, skip]):
-            z = z + table[mix((f + k + 1 & mask) ^ (node + 1) * int(maxent_lm.NODE) & mask) * len(table) >> 64]
+            z = z + table[((f + k + 1 & mask) ^ (node + 1) * int(maxent_lm.NODE) & mask) * int(maxent_lm.MIX) % (1 << 64) * len(table) >> 64]
         p = np.exp(z) / np.exp(z).sum()
         found += math.log10(p[v.tree.child[level][leaf]])
     return found
