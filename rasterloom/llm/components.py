@@ -1,60 +1,100 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table: every node sends its neighbours to the least of them.
 
-Every step is one aggregation and one join on node ids. The aggregation combines before the shuffle.
-In the join a hub's edges would meet in one task, so hubs are split off: nodes with over 1/1024 of
-the edge ends, of which there can be 1024 at most, are broadcast to their edges, which stay where
-they are. Nothing else reaches the driver but the number and checksum of the edges, which tell when
-they have settled.
+A round takes the least m(u) of each node u and its neighbours, and puts edges from u and all its
+neighbours to m(u) in the place of u's. Before the shuffle each task replaces the edges that it
+holds, some at a time, by a star forest of the same components, which shortens long chains. It is
+over when all nodes but roots have one edge: the table is a star forest then.
+
+The aggregation combines before the shuffle. In the join a hub's edges would meet in one task, so
+hubs are split off: nodes with over 1/1024 of the edge ends, of which there can be 1024 at most, are
+broadcast to their edges, which stay where they are. Nothing else reaches the driver but two
+numbers a round. Each round's tables are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
 
-HUBS, LEAST_DEGREE = 1024, 512
+HUBS, LEAST_DEGREE, HELD = 1024, 512, 1 << 20
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, for edges (a, b) of nodes 0 to n - 1."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hi, lo): star forests of the same components as the edges (hi, lo), of about HELD edges each."""
+    held, size = [], 0
+
+    def contracted() -> Iterator[pa.RecordBatch]:
+        n = sum(len(x) for x in held)
+        ends = pa.concat_arrays([x.column(i) for i in (0, 1) for x in held]).dictionary_encode()
+        order = pc.array_sort_indices(ends.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = rank[ends.indices.to_numpy(zero_copy_only=False)]
+        root = _roots(code[:n], code[n:], len(order))
+        leaf = np.flatnonzero(root != np.arange(len(order)))
+        if len(leaf):
+            yield pa.RecordBatch.from_arrays([ends.dictionary.take(pa.array(order[x])) for x in (leaf, root[leaf])], ["hi", "lo"])
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= HELD:
+            yield from contracted()
+            held, size = [], 0
+    if size:
+        yield from contracted()
 
 
-def _to_least(space: Workspace, edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """edges(u, v) with the m of least(u, m, degree); hubs by broadcast, the others by a shuffle."""
-    least = space.save(least, "least")
-    hub = F.col("degree") > max(LEAST_DEGREE, ends // HUBS)
-    if least.where(hub).isEmpty():
-        return edges.join(least.select("u", "m"), "u")
+def _to_least(edges: DataFrame, least: DataFrame, hub: Column | None) -> DataFrame:
+    """(v, m) for edges (u, v) with the m of least(u, m, degree); hubs by broadcast, the others by a shuffle."""
+    if hub is None:
+        return edges.join(least.select("u", "m"), "u").select("v", "m")
     # Degrees add up to the edge ends, so there are HUBS rows at most.
     marked = edges.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
     cold = marked.where("hub_m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
-    return cold.union(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+    return cold.select("v", "m").union(marked.where("hub_m is not null").select("v", "hub_m"))
 
 
 def connected_components(space: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for every node of an edge (a, b); root is the component's least node.
+    """Rows (node, root) for every node of an edge (a, b) but a loop; root is the component's least node.
 
-    Loops and repeated edges change nothing; an empty table gives an empty table. Each round's
-    edges are written to the shared folder, which cuts the lineage.
+    Repeated edges change nothing; an empty table gives an empty table.
     """
-    now = space.save(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    before = None
+    kind = edges.schema["a"].dataType.simpleString()
+    forest = lambda df: df.mapInArrow(_forests, f"hi {kind}, lo {kind}").distinct()
+    now = space.save(forest(edges.where("a <> b").select("a", "b")), "edges")
     for _ in range(rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if seen == before or not seen[0]:
-            break
-        before, ends = seen, 2 * seen[0]
-        # Large star: each larger neighbour of u goes to the least of u and its neighbours.
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        star = _to_least(space, both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = space.save(star.where("u <> v").distinct(), "star")
-        # Small star: each lesser neighbour of u, and u, go to the least of them.
-        least = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        met = _to_least(space, star, least, ends)
-        moved = met.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(least.select("u", "m")).distinct()
-        new = space.save(moved, "edges")
-        space.drop(now, star)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+        least = space.save(least, "least")
+        ends, most, open_ = least.agg(F.sum("degree"), F.max("degree"), F.count(F.when((F.col("m") < F.col("u")) & (F.col("degree") > 1), 1))).first()
+        if not open_:
+            space.drop(now)
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        many = max(LEAST_DEGREE, ends // HUBS)
+        moved = _to_least(both, least, F.col("degree") > many if most > many else None).union(least.select("u", "m"))
+        new = space.save(forest(moved.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))), "edges")
+        space.drop(now, least)
         now = new
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
-    roots = now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-    return roots.union(now.select("lo", "lo").distinct())
+    raise RuntimeError(f"the components did not settle in {rounds} rounds")

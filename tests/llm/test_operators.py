@@ -571,3 +571,41 @@ def test_null_ids_repeats_and_long_texts(spark):
     back = transport_stream.digests(transport_stream.store(df)).collect()
     assert sorted(r.n_bytes for r in back) == sorted(len((r[1] or "").encode()) for r in rows)
     assert license_rules.scan(df).count() == 6
+
+
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_components_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
+    monkeypatch.setattr(components, "LEAST_DEGREE", 20)
+    rng = np.random.default_rng(11)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 3000, (1500, 2))] + [(5000, i) for i in range(5001, 5300)] + [(9000 - i, 9001 - i) for i in range(100)] + [(4, 4)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r.node: r.root for r in components.connected_components(Workspace(spark, "test"), df).collect()} == want
+    named = df.select(F.lpad(F.col("a").cast("string"), 8, "0").cast("binary").alias("a"), F.lpad(F.col("b").cast("string"), 8, "0").cast("binary").alias("b"))
+    assert {int(r.node): int(r.root) for r in components.connected_components(Workspace(spark, "test"), named).collect()} == want
+
+
+def test_join_takes_boilerplate_chains_apart(spark):
+    # Texts that share a passage, most of them with one near copy: one block at first.
+    rng = np.random.default_rng(12)
+    shared, rows = [f"p{i}" for i in range(40)], []
+    for i in range(150):
+        body = [f"x{i}y{j}" for j in range(60)]
+        rows.append((2 * i, " ".join(shared + body)))
+        if i % 3:
+            body[int(rng.integers(60))] = "z"
+            rows.append((2 * i + 1, " ".join(shared + body)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), block_docs=16).collect()}
+    assert got == brute_components(rows)

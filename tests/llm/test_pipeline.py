@@ -58,3 +58,18 @@ def test_rows_without_id_stay_in_the_join(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     near = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     assert sorted((r.doc_id or 0) for r in near(spark, docs, DATA).collect()) == [0, 0, 1, 3]
+
+
+def test_other_texts_of_one_id_stay(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a, "x", "s"), (5, a, "x", "s"), (5, b, "x", "s"), (5, b, "x", "s"), (6, "", "x", "s"), (6, None, "x", "s"), (6, None, "x", "s"), (7, b + " fourteen more words that are of no one else", "x", "s")]
+    near = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for parts in (1, 3, 7):
+        got = sorted((r.doc_id, str(r.text)) for r in near(spark, docs.repartition(parts), DATA).collect())
+        assert got == [(3, a), (5, b), (6, ""), (6, "None"), (7, rows[-1][1])]
+
+
+def test_reruns_agree(spark):
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, DATA)) == key(corpus_pipeline.run(spark, DATA))
