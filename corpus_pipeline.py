@@ -26,19 +26,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each component; one row of it where rows repeat.
+    """One document of each component: the one of the least doc_id, of these the one of the least hash of its text.
 
-    A row without doc_id can't stand for a component nor be told from others, so it stays.
+    A document is a doc_id with a text: other texts under the same doc_id have components of their
+    own, and rows that repeat a document go but one (the least by a hash of the row). Documents
+    without words are linked with nothing and stay. A row without doc_id can't stand for a component
+    nor be told from others, so it stays.
     """
-    found = ngram_join.jaccard_components(spark, docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.where("doc_id is null"))
+    found = ngram_join.jaccard_components(spark, docs).where("doc_id is not null")
+    least = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("least")).select("least.*")
+    kept = least.union(found.where("component is null").select("doc_id", "text_key")).distinct().select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).agg(F.min_by(row, F.xxhash64(row)).alias("row"))
+    return once.join(kept, ["id", "key"], "left_semi").select("row.*").unionAll(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so that each source comes to its share of the tokens."""
-    return mixing.repeat_copies(mixing.mix(spark, docs))
+    return mixing.repeat_copies(spark, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     space, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = space.save(stage(spark, docs, sf_dir), f"stage{i}")
+        before, docs = docs, space.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            space.drop(before)
     return docs
