@@ -23,7 +23,8 @@ def op3_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.digests(transport_stream.store(table(spark, sf_dir, "documents")))
+    stored = Workspace(spark, "transport-streams").save(transport_stream.store(table(spark, sf_dir, "documents")), "media")
+    return transport_stream.digests(stored)
 
 
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

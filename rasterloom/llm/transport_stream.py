@@ -2,12 +2,22 @@
 
 ``mux`` stores payloads as one program with one private-data stream: program tables, packetised
 elementary packets of at most ``UNIT`` payload bytes with a timestamp each, random-access points
-every ``RAP_EVERY`` of them, and continuity counters. ``demux`` reads a stored stream: it checks
-section checksums and continuity, finds the stream's packet identifier through the program
-tables, reassembles the elementary packets and returns payload, timestamps and random-access
-points. Both work on whole packet arrays, so the cost per document is a few array operations.
-
-A null media value gives nulls; bytes that are no transport stream raise ValueError.
+every ``RAP_EVERY`` of them, and continuity counters. ``demux`` reads a stored stream: it assembles
+the sections of the program tables and checks the checksum of every copy, drops duplicate packets,
+checks continuity, finds the stream's packet identifier through the program tables, reassembles the
+elementary packets and returns payload, timestamps and random-access points. Both work on whole
+packet arrays, so the cost per document is a few array operations.
+
+Of the association table the first program counts (entries of program 0 name the network), of the
+map its first stream. What can't be read raises ValueError: lost synchronisation, flagged or scrambled
+packets, a damaged or changed table, an elementary packet that is shorter than it says. A packet that
+repeats the one before it once is legal and read once; other breaks of the counters are counted, but
+where a packet announces a discontinuity.
+
+A null text is stored as empty, a null media value gives nulls. Repeated rows are read each; nothing
+is ordered, so there are no ties. An empty table gives no rows. A text of any length is one stream,
+held whole by the task that has it. store() and digests() return their own columns only; read() keeps
+the others, under the name stored_<name> if it is one of those it adds.
 """
 
 from __future__ import annotations
@@ -137,17 +147,59 @@ class Stream:
         return f"program={self.program};pid={self.pid};type={self.stream_type};packets={self.packets};units={len(self.pts)};entries={len(self.entry_points)};cc_errors={self.continuity_errors};pts={self.pts[0] if self.pts else ''}-{self.pts[-1] if self.pts else ''}"
 
 
-def _read_section(packet: np.ndarray, start: int, table: int) -> bytes:
-    raw = packet.tobytes()[start:]
-    raw = raw[1 + raw[0] :]
-    length = 3 + ((raw[1] & 15) << 8 | raw[2])
-    if raw[0] != table or length > len(raw) or crc_mpeg(raw[:length]):
-        raise ValueError(f"section of table {table} is damaged")
-    return raw[8 : length - 4]
+def _whole_sections(rows: np.ndarray, start: np.ndarray, table: int) -> list[bytes]:
+    """Bodies of the sections of a table in packets (rows) with payloads from start on."""
+    found, held = [], None
+
+    def take(raw: bytes) -> bytes | None:
+        """Whole sections off the front; what is left waits for the next packet (None: stuffing)."""
+        while raw and raw[0] != 0xFF:
+            length = 3 + ((raw[1] & 15) << 8 | raw[2]) if len(raw) >= 3 else len(raw) + 1
+            if len(raw) < length:
+                return raw
+            if raw[0] != table or length < 12 or crc_mpeg(raw[:length]):
+                raise ValueError(f"section of table {table} is damaged")
+            found.append(raw[8 : length - 4])
+            raw = raw[length:]
+        return None
+
+    for row, at in zip(rows, start.tolist(), strict=True):
+        raw = row[at:].tobytes()
+        if row[1] & 0x40:
+            if not raw or len(raw) <= raw[0]:
+                raise ValueError(f"section of table {table} is damaged")
+            if held is not None and take(held + raw[1 : 1 + raw[0]]) is not None:
+                raise ValueError(f"section of table {table} is damaged")
+            held = take(raw[1 + raw[0] :])
+        elif held is not None:
+            held = take(held + raw)
+    if held is not None or not found:
+        raise ValueError(f"section of table {table} is damaged" if found or held else f"no packet of table {table}")
+    return found
+
+
+def _table(rows: np.ndarray, start: np.ndarray, table: int, known: dict) -> bytes:
+    """The body that all sections of a table agree on. known: bodies by the bytes of single packets."""
+    if len(rows) and (rows[:, 1] & 0x40).all() and (rows[:, 4:] == rows[0, 4:]).all():
+        # Copies of one packet: one of them tells all.
+        key = (table, int(start[0]), rows[0, 4:].tobytes())
+        if key not in known:
+            known[key] = _whole_sections(rows[:1], start[:1], table)
+        found = known[key]
+    else:
+        found = _whole_sections(rows, start, table)
+    if any(x != found[0] for x in found):
+        raise ValueError(f"table {table} changes within the stream")
+    return found[0]
+
+
+def _entries(body: bytes) -> list[tuple[int, int]]:
+    """(program, packet identifier) of an association table."""
+    return [(body[i] << 8 | body[i + 1], (body[i + 2] & 31) << 8 | body[i + 3]) for i in range(0, len(body) - 3, 4)]
 
 
 def demux(media: bytes, known: dict | None = None) -> Stream:
-    """Read a transport stream of one program with one elementary stream.
+    """Read the first stream of the first program of a transport stream.
 
     known: parsed program tables by their packets' bytes, which streams have in common.
     """
@@ -157,32 +209,47 @@ def demux(media: bytes, known: dict | None = None) -> Stream:
     packets = np.frombuffer(media, np.uint8).reshape(-1, 188)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
+    if (packets[:, 1] & 0x80).any() or (packets[:, 3] & 0xC0).any():
+        raise ValueError("packets are flagged as damaged or scrambled")
+    out = Stream(packets=len(packets))
     pids = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
-    field_, has_payload = packets[:, 3] & 0x20 != 0, packets[:, 3] & 0x10 != 0
+    # Packets by identifier, in order; the counter runs over those with payload.
+    order = np.argsort(pids, kind="stable")
+    order = order[(packets[order, 3] & 0x10 != 0) & (pids[order] != 0x1FFF)]
+    pids, packets = pids[order], packets[order]
+    field_ = packets[:, 3] & 0x20 != 0
     start = np.where(field_, 5 + packets[:, 4].astype(np.int32), 4)
-
-    def once(pid: int, table: int) -> bytes:
-        at = int(np.argmax(pids == pid))
-        if pids[at] != pid:
-            raise ValueError(f"no packet of table {table}")
-        key = (table, packets[at, 4:].tobytes())
-        if key not in known:
-            known[key] = _read_section(packets[at], int(start[at]), table)
-        return known[key]
-
-    pat = once(PAT_PID, 0)
-    program, map_pid = pat[0] << 8 | pat[1], (pat[2] & 31) << 8 | pat[3]
-    pmt = once(map_pid, 2)
+    if len(start) and start.max() > 188:
+        raise ValueError("damaged adaptation field")
+    counter, same = packets[:, 3] & 15, pids[1:] == pids[:-1]
+    repeats = np.zeros(len(packets), bool)
+    again = np.flatnonzero(same & (counter[1:] == counter[:-1])) + 1
+    repeats[again] = (packets[again, 4:] == packets[again - 1, 4:]).all(axis=1)
+    thrice = repeats[1:] & repeats[:-1]
+    told = field_ & (packets[:, 4] > 0) & (packets[:, 5] & 0x80 != 0)
+    broken = same & ~repeats[1:] & ((counter[1:] - counter[:-1]) % 16 != 1) & ~told[1:]
+    out.continuity_errors = int(broken.sum() + thrice.sum())
+    kept = ~repeats
+    pids, packets, start, field_ = pids[kept], packets[kept], start[kept], field_[kept]
+
+    def of(pid: int) -> slice:
+        return slice(*np.searchsorted(pids, [pid, pid + 1]).tolist())
+
+    own = of(PAT_PID)
+    programs = [e for e in _entries(_table(packets[own], start[own], 0, known)) if e[0]]
+    if not programs:
+        raise ValueError("no program")
+    out.program, map_pid = programs[0]
+    own = of(map_pid)
+    pmt = _table(packets[own], start[own], 2, known)
     skip = 4 + ((pmt[2] & 15) << 8 | pmt[3])
-    kind, pid = pmt[skip], (pmt[skip + 1] & 31) << 8 | pmt[skip + 2]
-    out = Stream(program=program, pid=pid, stream_type=kind, packets=len(packets))
-    for one in np.unique(pids):
-        counters = packets[(pids == one) & has_payload, 3] & 15
-        out.continuity_errors += int((np.diff(counters.astype(np.int8)) % 16 != 1).sum())
-    own = (pids == pid) & has_payload
-    mine, begin = packets[own], start[own]
+    if len(pmt) < skip + 5:
+        raise ValueError("no elementary stream")
+    out.stream_type, out.pid = pmt[skip], (pmt[skip + 1] & 31) << 8 | pmt[skip + 2]
+    own = of(out.pid)
+    mine, begin, field_ = packets[own], start[own], field_[own]
     unit = mine[:, 1] & 0x40 != 0
-    entry = unit & field_[own] & (mine[:, 4] > 0) & (mine[:, 5] & 0x40 != 0)
+    entry = unit & field_ & (mine[:, 4] > 0) & (mine[:, 5] & 0x40 != 0)
     stream = mine[np.arange(188) >= begin[:, None]]
     ends = np.cumsum(188 - begin)
     heads = np.flatnonzero(unit)
@@ -192,15 +259,18 @@ def demux(media: bytes, known: dict | None = None) -> Stream:
     parts, size = [], 0
     for k, head in enumerate(heads.tolist()):
         raw = stream[cut[k] : cut[k + 1]].tobytes()
-        length = raw[4] << 8 | raw[5]
-        if raw[:3] != b"\0\0\1" or len(raw) < 6 + length:
+        if len(raw) < 9 or raw[:3] != b"\0\0\1":
+            raise ValueError("damaged elementary packet")
+        # A length of 0 leaves the end open, up to the next start.
+        stop = 6 + (raw[4] << 8 | raw[5]) if raw[4] or raw[5] else len(raw)
+        if not 9 + raw[8] <= stop <= len(raw):
             raise ValueError("damaged elementary packet")
-        if raw[7] & 0x80:
+        if raw[7] & 0x80 and raw[8] >= 5:
             t = raw[9:14]
             out.pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
         if entry[head]:
             out.entry_points.append(size)
-        parts.append(raw[9 + raw[8] : 6 + length])
+        parts.append(raw[9 + raw[8] : stop])
         size += len(parts[-1])
     out.payload = b"".join(parts)
     return out
@@ -232,7 +302,8 @@ READ = "payload binary, program int, pid int, stream_type int, packets long, con
 def read(stored: DataFrame) -> DataFrame:
     """Rows of stored(media, ...) with what demux() finds, as columns payload ... entry_points."""
     names = [x.split()[0] for x in READ.split(", ")]
-    kept = [c for c in stored.columns if c not in (*names, "media")]
+    kept = [c for c in stored.columns if c != "media"]
+    called = [f"stored_{c}" if c in names else c for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -240,9 +311,9 @@ def read(stored: DataFrame) -> DataFrame:
             found = [None if m is None else demux(m, known) for m in (x.as_py() for x in batch.column("media"))]
             values = [[None if s is None else getattr(s, n) for s in found] for n in names]
             kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [*called, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name in kept)
+    schema = ", ".join(f"`{name}` {stored.schema[c].dataType.simpleString()}" for c, name in zip(kept, called, strict=True))
     return stored.select(*kept, "media").mapInArrow(run, f"{schema + ', ' if kept else ''}{READ}")
 
 
@@ -255,6 +326,9 @@ def digests(stored: DataFrame) -> DataFrame:
             rows = []
             for m in batch.column(2):
                 media = m.as_py()
+                if media is None:
+                    rows.append((None,) * 6)
+                    continue
                 s = demux(media, known)
                 rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), s.feature()))
             columns = zip(*rows, strict=True) if rows else [[]] * 6

@@ -208,16 +208,72 @@ def test_transport_stream_damage_is_seen():
     whole = transport_stream.demux(media)
     assert len(whole.pts) == 4 and whole.entry_points == [0]
     lost = media[: 188 * 20] + media[188 * 21 :]
+    for broken in (b"x" + media[1:], media[:-1], lost, media[188:], b""):
+        with pytest.raises(ValueError):
+            transport_stream.demux(broken)
+
+
+def packets_of(media):
+    return [media[i : i + 188] for i in range(0, len(media), 188)]
+
+
+def test_transport_stream_checks_every_table_copy():
+    payload = bytes(range(192)) * 64 * 20  # 20 units, so three copies of the tables
+    parts = packets_of(transport_stream.mux(payload))
+    copies = [i for i, p in enumerate(parts) if p[1] & 31 == 0 and p[2] == 0]
+    assert len(copies) == 3 and transport_stream.demux(b"".join(parts)).payload == payload
+    for i in (*copies, *(c + 1 for c in copies)):
+        damaged = [bytes([*p[:10], p[10] ^ 4, *p[11:]]) if k == i else p for k, p in enumerate(parts)]
+        with pytest.raises(ValueError):
+            transport_stream.demux(b"".join(damaged))
+
+
+def test_transport_stream_duplicates_and_breaks():
+    payload = bytes(range(192)) * 100
+    parts = packets_of(transport_stream.mux(payload))
+    twice = transport_stream.demux(b"".join([*parts[:9], parts[9], *parts[9:]]))
+    assert twice.payload == payload and twice.continuity_errors == 0
+    thrice = transport_stream.demux(b"".join([*parts[:9], parts[9], parts[9], *parts[9:]]))
+    assert thrice.payload == payload and thrice.continuity_errors == 1
+    # An open length: a lost packet shortens the payload and breaks the count once, unless it is announced.
+    one = packets_of(transport_stream.mux(payload[: 192 * 10]))
+    head = bytearray(one[2])
+    at = head.index(b"\0\0\1\xbd")
+    head[at + 4 : at + 6] = b"\0\0"
+    gone = transport_stream.demux(b"".join([*one[:2], bytes(head), *one[3:5], *one[6:]]))
+    assert gone.continuity_errors == 1 and len(gone.payload) == 192 * 10 - 184
+    # Packets of other identifiers, null packets and those without payload change nothing.
+    other = b"\x47\x1f\xff\x10" + bytes(184)
+    empty = b"\x47\x01\x01\x20\xb7\x00" + b"\xff" * 182
+    assert transport_stream.demux(b"".join([other, *parts[:5], empty, other, *parts[5:]])).payload == payload
+    flagged = [bytes([p[0], p[1] | 0x80, *p[2:]]) if i == 7 else p for i, p in enumerate(parts)]
     with pytest.raises(ValueError):
-        transport_stream.demux(b"x" + media[1:])
-    try:
-        assert transport_stream.demux(lost).continuity_errors == 1
-    except ValueError:
-        pass
-    table = bytearray(media)
-    table[8] ^= 1
+        transport_stream.demux(b"".join(flagged))
+
+
+def test_transport_stream_long_sections_and_the_network_entry():
+    payload = b"x" * 192
+    parts = packets_of(transport_stream.mux(payload))
+    entry = bytes([0, 1, 0xE0 | transport_stream.PMT_PID >> 8, transport_stream.PMT_PID & 255])
+    network = bytes([0, 0, 0xE0, 0x10])
+    pat = transport_stream._section(0, 1, network + entry + bytes([0, 9, 0xE1, 0xF0]) * 60)
+    body = bytes([0]) + pat  # the pointer, then a section over two packets
+    first = b"\x47\x40\x00\x10" + body[:184]
+    rest = body[184:]
+    second = b"\x47\x00\x00\x11" + rest + b"\xff" * (184 - len(rest))
+    got = transport_stream.demux(b"".join([first, second, *parts[1:]]))
+    assert got.payload == payload and got.program == 1
     with pytest.raises(ValueError):
-        transport_stream.demux(bytes(table))
+        transport_stream.demux(b"".join([first, *parts[1:]]))
+
+
+def test_transport_stream_nulls_and_clashing_columns(spark):
+    media = transport_stream.mux(b"a" * 192)
+    stored = spark.createDataFrame([(1, 5, media, "mine", 7), (2, None, None, None, None)], "doc_id long, n_bytes long, media binary, payload string, pts int")
+    rows = transport_stream.digests(stored).orderBy("doc_id").collect()
+    assert rows[0].payload_bytes == 192 and rows[1].payload_bytes is None and rows[1].feature is None
+    back = transport_stream.read(stored).orderBy("doc_id").collect()
+    assert (back[0].stored_payload, back[0].stored_pts, bytes(back[0].payload)) == ("mine", 7, b"a" * 192) and back[1].payload is None
 
 
 # 5
