@@ -435,13 +435,43 @@ def test_sql_twins(spark, name):
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
 
 
+def wrapped(text, prefix="", width=72):
+    import textwrap
+
+    return "\n".join("\n".join(prefix + x for x in textwrap.wrap(p, width)) or prefix for p in text.split("\n\n") for p in (p, ""))
+
+
+def test_license_notices_wrapped_and_plain(spark):
+    rules, rows, want = license_rules, [], {}
+    assert all(re.search(rules.HINTS, s) for s in rules.SENTENCES)
+    for licence, texts in rules.NOTICES.items():
+        for text in texts:
+            for title in ("", *(t + "\n\n" for t in rules.TITLES.get(licence, ()))):
+                for shape in (text, wrapped(text), wrapped(text, "# "), wrapped(text, " * ", 60), "Copyright (c) 2020 Some One\n" + wrapped(text)):
+                    i = len(rows)
+                    rows.append((i, "Some prose\n\n" + title + shape + "\n\nint main()"))
+                    want[i] = licence
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, x in got.items() if x != (1, want[i])} == {}
+
+
 def test_license_rules(spark, odd, none):
-    plain = license_rules.SENTENCES
-    assert all(re.search(license_rules.HINTS, s) for s in plain.values())
-    mit = "\n".join([plain["mit-title-bare"], plain["mit-grant"] + ":", plain["mit-notice"] + ".", plain["mit-warranty"] + "."])
-    rows = [(1, "Hi.\nReleased under the MIT License.\nx"), (2, mit), (3, mit.replace("the above", "an above")), (4, "Licensed under the Apache License, Version 2.0. All rights reserved.")]
-    got = {r.doc_id: (r.n_known, r.n_matches, r.licenses) for r in license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (1, 1, "MIT"), 2: (4, 1, "MIT"), 3: (3, 0, ""), 4: (2, 2, "Apache-2.0;Proprietary")}
+    mit = "MIT License\n\nCopyright (c) 2020 Some One. All rights reserved.\n\n" + wrapped(license_rules.MIT)
+    rows = [
+        (1, "Hi.\nReleased under the MIT License.\nx"),
+        (2, mit),
+        (3, mit.replace("The above", "An above").replace("hereby", "there")),
+        (4, "Licensed under the Apache License, Version 2.0. All rights reserved."),
+        (5, "no stop at this line\nLicensed under CC-BY-4.0\nnor at this one"),
+        (6, mit + "\n\n" + wrapped(license_rules.BSD_3, "// ")),
+        (7, "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+        (8, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ]
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, "MIT"), 2: (1, "MIT"), 3: (1, "Proprietary"), 4: (2, "Apache-2.0;Proprietary"), 5: (1, "CC-BY-4.0"), 6: (2, "BSD-3-Clause;MIT"), 7: (1, "Apache-2.0"), 8: (1, "GPL-3.0")}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {r[0]: (r[3], r[4]) for r in con.execute(license_rules.oracle()).fetchall()} == got
     assert all(r.licenses == "" for r in license_rules.scan(odd).collect()) and license_rules.scan(none).count() == 0
 
 
