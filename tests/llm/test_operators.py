@@ -184,6 +184,7 @@ def test_packing_is_optimal_and_within_budget(spark, docs, odd, none):
     got = packing.pack(docs, buckets=4, budget=2000, shard_docs=50).toPandas()
     sizes = {i: len(words(t)) for i, t in texts_of(docs)}
     assert dict(zip(got.doc_id, got.n_tokens, strict=True)) == sizes
+    assert got.padding.sum() == brute_padding(list(sizes.values()), 4)
     short = packing.pack(docs.where(mixing.word_count(F.col("text")) <= 300), buckets=3).toPandas()
     assert short.padding.sum() == brute_padding([s for s in sizes.values() if s <= 300], 3)
     batches = got.groupby(["bucket", "shard", "batch"]).agg(n=("doc_id", "size"), b=("bucket_len", "first"), top=("n_tokens", "max"))
@@ -191,6 +192,18 @@ def test_packing_is_optimal_and_within_budget(spark, docs, odd, none):
     assert packing.pack(odd).count() == len(ROWS) and packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 3, 5, 8])
+def test_bounds_are_optimal_at_all_lengths(buckets):
+    rng = np.random.default_rng(buckets)
+    for top, n in ((12, 9), (3000, 60), (5_000_000, 60)):
+        lengths = rng.integers(0, top, n).tolist() + [0, top]
+        count = Counter(lengths)
+        distinct = sorted(count)
+        bounds = packing.optimal_bounds(distinct, [count[x] for x in distinct], buckets)
+        padding = sum(min(b for b in bounds if b >= x) - x for x in lengths)
+        assert len(bounds) <= buckets and padding == brute_padding(lengths, min(buckets, len(distinct)))
+
+
 # 4
 def test_transport_streams_round_trip(spark, docs, odd, none):
     stored = transport_stream.store(odd)
