@@ -7,9 +7,15 @@ is the method-of-moments estimate over its units; its mean is the parent's poste
 page without a rule is blocked when the lower bound of its host's posterior blocked share (the
 mean less Z standard deviations) is over THRESHOLD.
 
-All counts pre-aggregate by host; the levels above are sums of hosts, and only six numbers reach
-the driver. Null urls and urls without :// have empty host and path; a host without labels takes
-its parent's posterior. Repeated rows count each; an empty table gives no rows.
+Outcomes are the pages' rule verdicts unless a labelled table is given; from rules alone the
+reputation learns no more than where the rules fire. All counts pre-aggregate by host into a written
+table; the levels above are sums of hosts, and only six numbers reach the driver, so the pages are
+read twice: for the hosts, and for the result.
+
+Null urls and urls without :// have empty host and path; a host without labels takes its parent's
+posterior. A null page_id stays. Repeated rows count each; an empty table gives no rows. A tie of a
+bound with the threshold allows; rules of one length go by code points. Urls of any length are read
+whole. Only page_id and url are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Workspace
+
 #: (verdict, rule): fixed values.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Public suffixes of two labels: fixed values, a parameter of the operator.
@@ -63,15 +71,21 @@ def strength(units: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, p * (1 - p) / variance - 1)) if variance > 0 else STRONGEST
 
 
-def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """page_id, host, path, rule, verdict of each row of pages(page_id, url)."""
+def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES, labels: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict of each row of pages(page_id, url).
+
+    labels: outcomes (url, verdict: block or allow) to learn from in the place of the rules' verdicts.
+    """
     host, path = url_parts(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
-    ruled = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    ruled = pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    outcomes = ruled.select("host", F.col("ruled").alias("says"))
+    if labels is not None:
+        outcomes = outcomes.select("host", F.lit(None).cast("string").alias("says")).union(labels.select(host.alias("host"), F.col("verdict").alias("says")))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domain, suffix = levels(F.col("host"), two_label)
-    hosts = ruled.groupBy("host").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
+    hosts = outcomes.groupBy("host").agg(F.count("says").alias("n"), F.count(F.when(F.col("says") == "block", 1)).alias("bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
+    hosts = Workspace(pages.sparkSession, "host-reputation").save(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     k_host, k_domain, k_suffix = strength(hosts), strength(domains), strength(suffixes)

@@ -493,6 +493,58 @@ def test_url_filter_odd_rows(spark):
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in host_reputation.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).fillna("-", ["rule"]).collect())
     assert [g[:4] for g in got] == [(1, "", "", "-"), (2, "", "", "-"), (3, "", "", "-"), (4, "a.com", "/en/x", "com/en/"), (5, "a.com", "", "-"), (6, "notexample.com", "/en/7", "com/en/"), (7, "www.example.com", "/en/77", "example.com/en/7"), (7, "www.example.com", "/en/77", "example.com/en/7")]
     assert host_reputation.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    wide = spark.createDataFrame([(None, "h://a.com/en/1", "own", "own", 5, 6)], "page_id long, url string, host string, verdict string, n int, bad int")
+    assert [tuple(r) for r in host_reputation.filter_urls(wide).collect()] == [(None, "a.com", "/en/1", "com/en/", "block")]
+
+
+def test_url_reputation_from_labels(spark):
+    pages = spark.createDataFrame([(1, "h://bad.example/x"), (2, "h://sub.bad.example/x"), (3, "h://good.example/x"), (4, "h://new.test/x")], "page_id long, url string")
+    labels = [(f"h://bad.example/{i}", "block") for i in range(40)] + [(f"h://good.example/{i}", "allow") for i in range(40)] + [(f"h://s{i % 9}.bad.example/{i}", "block") for i in range(90)]
+    told = spark.createDataFrame(labels, "url string, verdict string")
+    got = {r.page_id: r.verdict for r in host_reputation.filter_urls(pages, labels=told).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_url_bounds_equal_brute_force(spark):
+    """Posterior bounds by plain sums, level by level."""
+    rows = [(r.url or "", r.page_id) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in host_reputation.filter_urls(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
+    n, bad = Counter(), Counter()
+    for _, i in rows:
+        host, rule, verdict = got[i]
+        n[host] += rule is not None
+        bad[host] += rule is not None and verdict == "block"
+    up = lambda x: ".".join(x.split(".")[-2:])
+    top = lambda x: x.split(".")[-1]
+
+    def level(of):
+        a, b = Counter(), Counter()
+        for h in {got[i][0] for _, i in rows}:
+            a[of(h)] += n[h]
+            b[of(h)] += bad[h]
+        return a, b
+
+    def strength(a, b):
+        units = [(a[x], b[x]) for x in a if a[x]]
+        if not units:
+            return 1.0
+        total, p = sum(x for x, _ in units), sum(y for _, y in units) / sum(x for x, _ in units)
+        room = total - sum(x * x for x, _ in units) / total
+        spread = sum(y * y / x for x, y in units) - total * p * p - (len(units) - 1) * p * (1 - p)
+        v = spread / room if room > 0 else 0
+        return min(1000.0, max(1.0, p * (1 - p) / v - 1)) if v > 0 else 1000.0
+
+    hosts, domains, tops = level(lambda h: h), level(up), level(top)
+    kh, kd, ks = (strength(*x) for x in (hosts, domains, tops))
+    prior = (sum(bad.values()) + 1) / (sum(n.values()) + 2)
+    for _, i in rows:
+        h, rule, verdict = got[i]
+        if rule is None:
+            at_top = (tops[1][top(h)] + ks * prior) / (tops[0][top(h)] + ks)
+            at_domain = (domains[1][up(h)] + kd * at_top) / (domains[0][up(h)] + kd)
+            mean = (bad[h] + kh * at_domain) / (n[h] + kh)
+            bound = mean - host_reputation.Z * math.sqrt(mean * (1 - mean) / (n[h] + kh + 1))
+            assert verdict == ("block" if bound > host_reputation.THRESHOLD else "allow")
 
 
 # 8
