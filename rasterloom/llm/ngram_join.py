@@ -561,3 +561,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     full = signed.where("n > 0").join(ids, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links", "component", "text_key")
     none = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("component"), "text_key")
     return full.union(none)
+
+
+def oracle(k: int = 5, percent: int = 80) -> str:
+    """doc_id, n_shingles, component_id, class_size and n_links in DuckDB SQL: all pairs that share a shingle, links followed to the end."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') l FROM documents),
+    g AS MATERIALIZED (SELECT r, unnest(CASE WHEN len(l) >= {k} THEN list_distinct(list_transform(range(1, len(l) - {k - 2}), lambda i: array_to_string(l[i : i + {k - 1}], ' '))) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) s FROM w),
+    n AS MATERIALIZED (SELECT r, count(*) n FROM g GROUP BY r),
+    p AS (SELECT a.r x, b.r y, count(*) c FROM g a JOIN g b USING (s) WHERE a.r <> b.r GROUP BY ALL),
+    links AS MATERIALIZED (SELECT x, y, c = a.n AND c = b.n same FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+    reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    least AS (SELECT x, min(doc_id) least FROM reach JOIN w ON w.r = y GROUP BY x),
+    counted AS (SELECT x, count(*) n_links, count(*) FILTER (same) copies FROM links GROUP BY x)
+    SELECT doc_id, coalesce(n, 0)::BIGINT n_shingles, least(doc_id, least)::BIGINT component_id, (1 + coalesce(copies, 0))::BIGINT class_size, coalesce(n_links, 0)::BIGINT n_links
+    FROM w LEFT JOIN n USING (r) LEFT JOIN least ON least.x = r LEFT JOIN counted ON counted.x = r"""

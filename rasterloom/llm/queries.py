@@ -10,7 +10,7 @@ from .shared import Workspace, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents")).drop("component", "text_key")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def op10_zstd_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_length_bucket_packing, op4_transport_streams, op5_rans_token_files, op6_entropy_mixing, op7_license_sentence_rules, op8_maxent_lm, op9_host_reputation, op10_zstd_language_id)}
-ORACLES = {"op3_length_bucket_packing": packing.oracle(), "op7_license_sentence_rules": license_rules.oracle(), "op9_host_reputation": host_reputation.oracle()}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.oracle(), "op3_length_bucket_packing": packing.oracle(), "op7_license_sentence_rules": license_rules.oracle(), "op9_host_reputation": host_reputation.oracle()}
