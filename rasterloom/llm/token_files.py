@@ -12,7 +12,7 @@ file is the frames in the order of (shard, block).
 
 Tokenising goes by pieces between single spaces that the vocabulary's pre-tokeniser always
 splits at, so each distinct piece is encoded once a worker and looked up afterwards by its 64-bit
-hash, checked by length and by the first and last eight bytes; ids equal those of whole texts. A
+hash, checked by a second one of length and both ends; ids equal those of whole texts. A
 text that holds an added token of the vocabulary is one piece, so it goes to the tokeniser whole.
 
 Null texts are empty: only the end id. Null doc_ids come first. Rows of one doc_id are documents of
@@ -96,12 +96,12 @@ def _letters_only(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def _looks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Length, first and last eight bytes of ranges, with zeros where a range is shorter."""
+    """A second hash of ranges: of length, first and last eight bytes (zeros where a range is shorter)."""
     wide = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
     word = np.lib.stride_tricks.as_strided(wide[:8].view(np.uint64), (len(data) + 9,), (1,))
     size = (ends - starts).astype(np.uint64)
     cut = np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))
-    return np.stack([size, word[starts + 8] << cut, word[ends] >> cut])
+    return (word[starts + 8] << cut) * np.uint64(0x9E3779B97F4A7C15) + (word[ends] >> cut) * np.uint64(0xC2B2AE3D27D4EB4F) + size
 
 
 def byte_letters() -> dict[int, str]:
@@ -132,7 +132,7 @@ class Pieces:
 
     def clear(self) -> None:
         self.hash, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.look = np.zeros(0, np.uint32), np.zeros((3, 0), np.uint64)
+        self.ids, self.look = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start; rows that hold an added token are one piece."""
@@ -155,13 +155,13 @@ class Pieces:
         at = np.empty(len(distinct), np.int64)
         at[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
         look = _looks(data, starts, ends)
-        if (look != look[:, at][:, inverse]).any():
+        if (look != look[at][inverse]).any():
             raise ValueError("two pieces of one hash")
         place = np.searchsorted(self.hash, distinct)
         have = np.zeros(len(distinct), bool)
         inside = place < len(self.hash)
         have[inside] = self.hash[place[inside]] == distinct[inside]
-        if (self.look[:, place[have]] != look[:, at[have]]).any():
+        if (self.look[place[have]] != look[at[have]]).any():
             self.clear()
             return self.find(data, starts)
         if not have.all():
@@ -176,10 +176,10 @@ class Pieces:
             size = np.array([len(x) for x in lists], np.int64)
             first = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
-            where = np.searchsorted(self.hash, distinct[new])
-            self.look = np.insert(self.look, where, look[:, at[new]], axis=1)
-            self.hash, self.first, self.size = (np.insert(a, where, b) for a, b in ((self.hash, distinct[new]), (self.first, first), (self.size, size)))
-            place = np.searchsorted(self.hash, distinct)
+            where = place[new]
+            added = ((self.hash, distinct[new]), (self.look, look[at[new]]), (self.first, first), (self.size, size))
+            self.hash, self.look, self.first, self.size = (np.insert(a, where, b) for a, b in added)
+            place += np.searchsorted(distinct[new], distinct)
         return place[inverse], place, np.bincount(inverse, minlength=len(distinct))
 
     def lookup(self, pieces: list[bytes], simple: np.ndarray) -> list[list[int]]:
@@ -203,12 +203,13 @@ class Pieces:
         size, first = self.size[entry], self.first[entry]
         row = np.searchsorted(offsets, starts, side="right") - 1
         per_row = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
+        # Where the ids of pieces lie; an end id follows each row.
         total = int(size.sum())
-        before = np.cumsum(size) - size
-        source = np.arange(total) + np.repeat(first - before, size)
-        out = np.full(total + rows, END, np.uint32)
-        out[np.arange(total) + np.repeat(row, size)] = self.ids[source]
-        return out, per_row
+        source = np.ones(total, np.int32)
+        begin = np.cumsum(size) - size
+        source[begin] = np.diff(first, prepend=0) - np.append(0, size[:-1] - 1)
+        ids = self.ids[np.cumsum(source, out=source)]
+        return np.insert(ids, np.cumsum(per_row - 1), END), per_row
 
 
 def pieces_of(path: str) -> Pieces:
