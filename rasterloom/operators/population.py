@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def standardise(rows: DataFrame, group: str, value: str) -> DataFrame:
     """rows with zscore by group, population deviation; null where the group has none."""
@@ -18,16 +20,60 @@ def reachability(synthetic: DataFrame, real: DataFrame, group: str, value: str,
     return real.join(span, group).groupBy(group, "lo", "hi").agg(F.avg(F.col(value).between(F.col("lo"), F.col("hi")).cast("double")).alias("share"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], slices: int = 256) -> list[float | None]:
+    """Exact quantiles of a whole column, interpolated linearly between order statistics; nulls when there are none.
+
+    Counts by distinct value are cut into slices at approximate quantiles. The counts of the slices tell
+    in which the wanted places lie, and only these are sorted, so nothing wider than a slice meets in one task.
+    """
+    counts = written(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    cuts = counts.agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10000)).first()[0]
+    if not cuts:
+        return [None] * len(shares)
+    cuts = sorted(set(cuts))
+    slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v")))
+    placed = counts.withColumn("slice", slice_of)
+    base, total = {}, 0
+    for r in sorted(placed.groupBy("slice").agg(F.sum("c").alias("n")).collect()):
+        base[r["slice"]] = total, total + r["n"]
+        total += r["n"]
+    places = sorted({k for q in shares for k in (int(q * (total - 1)), min(total - 1, int(q * (total - 1)) + 1))})
+    wanted = {k: next(s for s, (a, b) in base.items() if a <= k < b) for k in places}
+    run = placed.where(F.col("slice").isin(*set(wanted.values()))).withColumn("to", F.sum("c").over(Window.partitionBy("slice").orderBy("v")))
+    start = F.element_at(F.create_map(*(F.lit(x) for s in set(wanted.values()) for x in (s, base[s][0]))), F.col("slice"))
+    held = F.filter(F.array(*map(F.lit, places)), lambda k: (k < start + F.col("to")) & (k >= start + F.col("to") - F.col("c")))
+    at = {k: r["v"] for r in run.select("v", F.explode(held).alias("k")).collect() for k in [r["k"]]}
+    out = []
+    for q in shares:
+        low = int(q * (total - 1))
+        a, b = at[low], at[min(total - 1, low + 1)]
+        out.append(a + (q * (total - 1) - low) * (b - a))
+    return out
+
+
+def best_names(a: DataFrame, key: str, tokens: str, b: DataFrame, other: str, others: str, least: float) -> DataFrame:
+    """(key, other, score): for each row of a the row of b whose tokens are most alike (Jaccard), first by `other` on ties, from `least` on.
+
+    Rows meet on a shared token, so overlaps are counts of an equi-join; without one the score is 0.
+    """
+    x = a.where(F.size(tokens) > 0).select(key, F.size(tokens).alias("na"), F.explode(tokens).alias("token"))
+    y = b.where(F.size(others) > 0).select(other, F.size(others).alias("nb"), F.explode(others).alias("token"))
+    both = x.join(y, "token").groupBy(key, other).agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    scored = both.select(key, other, F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy(key).agg(F.min(F.struct(-F.col("score"), F.col(other))).alias("best"))
+    return best.select(key, F.col(f"best.{other}").alias(other), (-F.col("best.col1")).alias("score"))
+
+
 def tempered_weights(ratios: DataFrame, temper: float = 0.5, cap: float = 0.98) -> DataFrame:
     """ratios(key, r) with w: r^temper, capped at a percentile, normalised to 1."""
     powered = ratios.withColumn("__w", F.pow("r", F.lit(temper)))
-    limit = powered.agg(F.percentile("__w", F.lit(cap)).alias("__cap"))
-    capped = powered.join(F.broadcast(limit)).withColumn("__w", F.least("__w", "__cap"))
+    (limit,) = quantiles(powered, "__w", [cap])
+    capped = powered.withColumn("__w", F.least("__w", F.lit(limit)))
     total = capped.agg(F.sum("__w").alias("__total"))
-    return capped.join(F.broadcast(total)).withColumn("w", F.col("__w") / F.col("__total")).drop("__w", "__cap", "__total")
+    return capped.join(F.broadcast(total)).withColumn("w", F.col("__w") / F.col("__total")).drop("__w", "__total")
 
 
-def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, slices: int = 256) -> DataFrame:
+def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, slices: int = 64) -> DataFrame:
     """(group, v, fa, fb, next): both empirical distributions at each distinct value, and the next value.
 
     Counts by distinct value pre-aggregate. A group's values are then cut into slices at approximate
@@ -36,7 +82,8 @@ def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, sl
     """
     key = [group] if group else []
     both = a.select(*key, F.col(value).alias("v"), F.lit(1).alias("in_a")).unionByName(b.select(*key, F.col(value).alias("v"), F.lit(0).alias("in_a")))
-    by_value = both.where("v is not null").groupBy(*key, "v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb"))
+    # Written, as the cuts, the sums and the shares all start from it.
+    by_value = written(both.where("v is not null").groupBy(*key, "v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb")))
     cuts = by_value.groupBy(*key).agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10000).alias("__cuts"))
     placed = (by_value.join(cuts, group) if group else by_value.crossJoin(cuts)).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= F.col("v")))).drop("__cuts")
     sums = placed.groupBy(*key, "__slice").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("__first"))
@@ -64,8 +111,8 @@ def energy_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def quantile_bin_ratio(target: DataFrame, fitted: DataFrame, value: str, bins: int, strength: float, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """fitted with w: each row's share of its target-quantile bin, ratio^strength, clipped, normalised."""
     edges = [i / bins for i in range(1, bins)]
-    cut = target.agg(F.percentile(value, F.array(*map(F.lit, edges))).alias("__q"))
-    binned = fitted.join(F.broadcast(cut)).withColumn("bin", F.size(F.filter("__q", lambda q: q <= F.col(value)))).drop("__q")
+    cut = F.array(*map(F.lit, quantiles(target, value, edges)))
+    binned = fitted.withColumn("bin", F.size(F.filter(cut, lambda q: q <= F.col(value))))
     counts = binned.groupBy("bin").agg(F.count("*").alias("__n"))
     whole = counts.agg(F.sum("__n").alias("__all"))
     ratio = counts.join(F.broadcast(whole)).withColumn("__r", F.least(F.lit(high), F.greatest(F.lit(low), F.pow(F.lit(1.0 / bins) / (F.col("__n") / F.col("__all")), F.lit(strength)))))

@@ -30,6 +30,29 @@ def nearest_segment(points: DataFrame, key: str, lines: DataFrame, reach: float)
     return best.select(key, "b.line", "b.i", "b.distance")
 
 
+def crossings(lines: DataFrame, cell: float) -> DataFrame:
+    """(line, i, j): segments i < j of one line(line, i, ax, ay, bx, by) that cross, touching apart.
+
+    Segments are cut at multiples of `cell` along x and stand, piece by piece, in every cell that their
+    piece's box meets, so pairs come from equi-joins on cells; a pair that meets in several counts once.
+    """
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    column = lines.withColumn("cx", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    # The piece within the column; upright segments are their own piece.
+    flat = F.col("bx") == F.col("ax")
+    at = lambda x: F.when(flat, F.lit(None)).otherwise(F.col("ay") + (x - F.col("ax")) / (F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay")))
+    left, right = at(F.greatest(low, F.col("cx") * F.lit(cell))), at(F.least(high, (F.col("cx") + 1) * F.lit(cell)))
+    ends = F.least("ay", "by"), F.greatest("ay", "by")
+    # A little wider, against rounding at the cuts.
+    bottom, top = F.coalesce(F.least(left, right), ends[0]) - 1e-6, F.coalesce(F.greatest(left, right), ends[1]) + 1e-6
+    placed = column.withColumn("cy", F.explode(F.sequence(F.floor(bottom / cell), F.floor(top / cell))))
+    a, b = placed.alias("a"), placed.alias("b")
+    side = lambda p, x, y: (F.col(f"{p}.bx") - F.col(f"{p}.ax")) * (F.col(y) - F.col(f"{p}.ay")) - (F.col(f"{p}.by") - F.col(f"{p}.ay")) * (F.col(x) - F.col(f"{p}.ax"))
+    u, v = side("a", "b.ax", "b.ay") * side("a", "b.bx", "b.by"), side("b", "a.ax", "a.ay") * side("b", "a.bx", "a.by")
+    met = a.join(b, (F.col("a.line") == F.col("b.line")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.i") < F.col("b.i")))
+    return met.where((u < 0) & (v < 0)).select("a.line", "a.i", F.col("b.i").alias("j")).distinct()
+
+
 def padded_box(points: DataFrame, group: str, pad: float, least: float, aspect: float) -> DataFrame:
     """(group, x0, y0, x1, y1): boxes of points(px, py), padded on each side, at least so wide and high, no longer than aspect."""
     b = points.groupBy(group).agg(F.min("px").alias("a"), F.max("px").alias("b"), F.min("py").alias("c"), F.max("py").alias("d"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Neighbours in scan order: four orthogonal, four diagonal.
+#: Neighbours in scan order, which settles ties: four orthogonal, four diagonal. Fixed values.
 NEIGHBOURS = ((0, -1), (-1, 0), (1, 0), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1))
 
 
@@ -80,13 +80,40 @@ def pairs_at(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return asked.join(there, ["tile", "nx", "ny"]).select("tile", "lag", "a", "b")
 
 
-def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """points(tile, px, py) with v: blend of the four cells around, x first; null where one is missing."""
-    at = points.withColumn("__x", F.floor("px").cast("int")).withColumn("__y", F.floor("py").cast("int"))
-    for name, dx, dy in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("d", 1, 1)):
-        there = cells.select("tile", (F.col("x") - dx).alias("__x"), (F.col("y") - dy).alias("__y"), F.col("z").alias(f"__{name}"))
-        at = at.join(there, ["tile", "__x", "__y"], "left")
-    u, v = F.col("px") - F.col("__x"), F.col("py") - F.col("__y")
+def blocks(cells: DataFrame) -> DataFrame:
+    """cells with their tile's extent (x0, y0, x1, y1) and the corners of the 2 x 2 block from each cell: a, b beside, c below, d both.
+
+    Blocks at the last column or row repeat it; a corner that is missing within the extent is null.
+    """
+    extent = cells.groupBy("tile").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    out = cells.join(extent, "tile").withColumn("a", F.col("z")).withColumn("__right", _beside("z", "x", 1))
+    out = out.withColumn("b", F.when(F.col("x") == F.col("x1"), F.col("a")).otherwise(F.col("__right")))
+    last = F.col("y") == F.col("y1")
+    out = out.withColumn("__below", _beside("a", "y", 1)).withColumn("__across", _beside("b", "y", 1))
+    out = out.withColumn("c", F.when(last, F.col("a")).otherwise(F.col("__below"))).withColumn("d", F.when(last, F.col("b")).otherwise(F.col("__across")))
+    return out.drop("__right", "__below", "__across")
+
+
+def bilinear(cells: DataFrame, points: DataFrame, how: str = "linear") -> DataFrame:
+    """points(tile, px, py) with v: the four cells around blended, x first; null where one is missing.
+
+    Places outside the tile's extent count as the nearest on its edge. how="nearest" takes the cell
+    whose centre is nearest, halves upwards.
+    """
+    grid = blocks(cells)
+    extent = grid.groupBy("tile").agg(*(F.first(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")))
+    hold = lambda c, low, high: F.least(F.greatest(F.col(c), F.col(low)), F.col(high))
+    at = points.join(extent, "tile").withColumn("__px", hold("px", "__x0", "__x1")).withColumn("__py", hold("py", "__y0", "__y1"))
+    if how == "nearest":
+        cell = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    else:
+        cell = lambda c: F.floor(c).cast("int")
+    at = at.withColumn("__x", cell("__px")).withColumn("__y", cell("__py"))
+    there = grid.select("tile", F.col("x").alias("__x"), F.col("y").alias("__y"), *(F.col(c).alias(f"__{c}") for c in "abcd"))
+    at = at.join(there, ["tile", "__x", "__y"], "left")
+    if how == "nearest":
+        return at.select(*points.columns, F.col("__a").alias("v"))
+    u, v = F.col("__px") - F.col("__x"), F.col("__py") - F.col("__y")
     low = F.col("__a") + u * (F.col("__b") - F.col("__a"))
     high = F.col("__c") + u * (F.col("__d") - F.col("__c"))
     return at.withColumn("v", low + v * (high - low)).select(*points.columns, "v")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import polyline, population, topk
+from ..operators import polyline, population, spatial, topk
 from ..sources.tables import LINES, SERIES, polylines, table
 
 QUERIES: dict = {}
@@ -140,14 +140,15 @@ def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t NOT IN (" + ", ".join(f"'{s}'" for s in (*scalars.STOP, "")) + ")))"
 
 
-@query(f"""WITH a AS (SELECT p_partkey, {_TOKENS.format("p_name")} ta FROM part), b AS (SELECT p_brand AS brand, {_TOKENS.format("min(p_name)")} tb FROM part GROUP BY 1)
-SELECT p_partkey, brand, round(CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE END, 6) AS score FROM a, b WHERE p_partkey % 7 = 1""".replace(" WHERE p_partkey % 7 = 1", ""))
+@query(f"""WITH a AS (SELECT p_partkey, {_TOKENS.format("p_name")} ta FROM part), b AS (SELECT p_brand AS brand, {_TOKENS.format("min(p_name)")} tb FROM part GROUP BY 1),
+c AS (SELECT p_partkey, brand, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE, 6) AS score FROM a, b WHERE len(ta) > 0 AND len(tb) > 0)
+SELECT * FROM c WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, brand) = 1""")
 def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the brands' first names for each part, if it is like enough."""
     part = table(spark, sf_dir, "part")
     a = part.select("p_partkey", scalars.name_tokens(F.col("p_name")).alias("ta"))
-    # A few dozen brands: the stated names that all others are held against.
     b = part.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_name").alias("n")).select("brand", scalars.name_tokens(F.col("n")).alias("tb"))
-    return a.crossJoin(F.broadcast(b)).select("p_partkey", "brand", r6(scalars.jaccard(F.col("ta"), F.col("tb"))).alias("score"))
+    return population.best_names(a, "p_partkey", "ta", b, "brand", "tb", 0.34).select("p_partkey", "brand", r6("score").alias("score"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum, max(json_extract(props, '$.k')::BIGINT) AS k_max FROM events GROUP BY 1")
@@ -191,7 +192,9 @@ def union_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT avg((l_discount <= 0.10)::INT) d, quantile_cont(l_quantity, 0.5) q, count(*) FILTER (l_quantity < 0) bad FROM lineitem)
 SELECT 'discount_share' AS gate, round(d, 6) AS value, d >= 0.95 AS pass FROM s UNION ALL SELECT 'quantity_p50', round(q, 6), q <= 30 FROM s UNION ALL SELECT 'violations', bad, bad = 0 FROM s""")
 def gates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").agg(F.avg((F.col("l_discount") <= 0.10).cast("double")).alias("d"), F.percentile("l_quantity", F.lit(0.5)).alias("q"), F.count(F.when(F.col("l_quantity") < 0, 1)).alias("bad"))
+    li = table(spark, sf_dir, "lineitem")
+    (median,) = population.quantiles(li, "l_quantity", [0.5])
+    s = li.agg(F.avg((F.col("l_discount") <= 0.10).cast("double")).alias("d"), F.lit(median).alias("q"), F.count(F.when(F.col("l_quantity") < 0, 1)).alias("bad"))
     gates = F.array(*(F.struct(F.lit(n).alias("gate"), r6(F.col(c).cast("double")).alias("value"), ok.alias("pass")) for n, c, ok in (("discount_share", "d", F.col("d") >= 0.95), ("quantity_p50", "q", F.col("q") <= 30), ("violations", "bad", F.col("bad") == 0))))
     return s.select(F.inline(gates))
 
@@ -259,9 +262,6 @@ def ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT a.line, a.i, b.i j, ((a.bx - a.ax) * (b.ay - a.ay) - (a.b_y - a.ay) * (b.ax - a.ax)) * ((a.bx - a.ax) * (b.b_y - a.ay) - (a.b_y - a.ay) * (b.bx - a.ax)) u, ((b.bx - b.ax) * (a.ay - b.ay) - (b.b_y - b.ay) * (a.ax - b.ax)) * ((b.bx - b.ax) * (a.b_y - b.ay) - (b.b_y - b.ay) * (a.bx - b.ax)) v FROM q a JOIN q b ON b.line = a.line AND b.i > a.i)
 SELECT line, count(*) FILTER (u < 0 AND v < 0) AS crossings FROM c GROUP BY line""")
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = polylines(spark, sf_dir).select("line", "i", F.col("px").alias("ax"), F.col("py").alias("ay"), F.lead("px").over(polyline.along()).alias("bx"), F.lead("py").over(polyline.along()).alias("by")).where("bx is not null")
-    a, b = s.alias("a"), s.alias("b")
-    side = lambda p, x, y: (F.col(f"{p}.bx") - F.col(f"{p}.ax")) * (F.col(y) - F.col(f"{p}.ay")) - (F.col(f"{p}.by") - F.col(f"{p}.ay")) * (F.col(x) - F.col(f"{p}.ax"))
-    u, v = side("a", "b.ax", "b.ay") * side("a", "b.bx", "b.by"), side("b", "a.ax", "a.ay") * side("b", "a.bx", "a.by")
-    pairs = a.join(b, (F.col("a.line") == F.col("b.line")) & (F.col("b.i") > F.col("a.i")))
-    return pairs.groupBy("a.line").agg(F.count(F.when((u < 0) & (v < 0), 1)).alias("crossings"))
+    lines = spatial.segments(polylines(spark, sf_dir))
+    crossed = spatial.crossings(lines, cell=16.0).groupBy("line").agg(F.count("*").alias("crossings"))
+    return lines.select("line").distinct().join(crossed, "line", "left").select("line", F.coalesce("crossings", F.lit(0)).alias("crossings"))

@@ -83,11 +83,11 @@ def slope_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("tile", r6("mean").alias("mean"), *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("median", "p90", "p95"))), *(r6(n).alias(n) for n in ("skew", "frac_flat", "frac_steep")))
 
 
-@query(f"""WITH {SLOPE}, b AS (SELECT tile, least(floor(least(degrees(atan(slope)), 90 - 1e-9) / 3), 29)::INT bin FROM s), c AS (SELECT tile, bin, count(*) k FROM b GROUP BY ALL), t AS (SELECT tile, sum(k) n FROM c GROUP BY tile)
+@query(f"""WITH {SLOPE}, b AS (SELECT tile, floor(least(degrees(atan(slope)), 45 - 1e-9) / 1.5)::INT bin FROM s), c AS (SELECT tile, bin, count(*) k FROM b GROUP BY ALL), t AS (SELECT tile, sum(k) n FROM c GROUP BY tile)
 SELECT t.tile, q.bin::INT AS bin, round(coalesce(k, 0) / n, 6) AS share FROM t CROSS JOIN (SELECT unnest(range(30)) bin) q LEFT JOIN c ON c.tile = t.tile AND c.bin = q.bin""")
 def slope_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = 30
-    found = stencil.slope(raster(spark, sf_dir)).select("tile", F.least(F.floor(F.least(F.degrees(F.atan("slope")), F.lit(90 - 1e-9)) / 3), F.lit(bins - 1)).cast("int").alias("bin"))
+    found = stencil.slope(raster(spark, sf_dir)).select("tile", F.floor(F.least(F.degrees(F.atan("slope")), F.lit(45 - 1e-9)) / 1.5).cast("int").alias("bin"))
     counts = found.groupBy("tile").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("bin") == i, 1)).alias(f"b{i}") for i in range(bins)))
     return counts.select("tile", "n", F.posexplode(F.array(*(F.col(f"b{i}") for i in range(bins)))).alias("bin", "k")).select("tile", "bin", r6(F.col("k") / F.col("n")).alias("share"))
 
@@ -215,15 +215,36 @@ def d8_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.receivers(raster(spark, sf_dir))
 
 
-@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.5::DOUBLE + 0.25::DOUBLE px, j * 2.5::DOUBLE + 0.6::DOUBLE py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)),
-q AS (SELECT p.*, floor(px)::INT x0, floor(py)::INT y0 FROM p), b AS (SELECT q.*, a.z a, b.z b, c.z c, d.z d FROM q LEFT JOIN r a ON a.tile = q.tile AND a.x = x0 AND a.y = y0 LEFT JOIN r b ON b.tile = q.tile AND b.x = x0 + 1 AND b.y = y0 LEFT JOIN r c ON c.tile = q.tile AND c.x = x0 AND c.y = y0 + 1 LEFT JOIN r d ON d.tile = q.tile AND d.x = x0 + 1 AND d.y = y0 + 1)
-SELECT tile, round(px, 6) AS px, round(py, 6) AS py, round((a + (px - x0) * (b - a)) + (py - y0) * ((c + (px - x0) * (d - c)) - (a + (px - x0) * (b - a))), 6) AS v FROM b""")
+#: Blend of the four cells around (px, py) of p(tile, px, py, ...) in SQL, held within 0 to 31, where all cells are present.
+BLEND = """q AS (SELECT p.*, least(greatest(px, 0), 31) hx, least(greatest(py, 0), 31) hy FROM p), k AS (SELECT q.*, floor(hx)::INT x0, floor(hy)::INT y0, least(floor(hx) + 1, 31)::INT x1, least(floor(hy) + 1, 31)::INT y1 FROM q),
+b AS (SELECT k.*, a.z a, b.z b, c.z c, d.z d FROM k LEFT JOIN r a ON a.tile = k.tile AND a.x = x0 AND a.y = y0 LEFT JOIN r b ON b.tile = k.tile AND b.x = x1 AND b.y = y0 LEFT JOIN r c ON c.tile = k.tile AND c.x = x0 AND c.y = y1 LEFT JOIN r d ON d.tile = k.tile AND d.x = x1 AND d.y = y1),
+v AS (SELECT *, (a + (hx - x0) * (b - a)) + (hy - y0) * ((c + (hx - x0) * (d - c)) - (a + (hx - x0) * (b - a))) AS v FROM b)"""
+
+
+@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.75::DOUBLE - 1.25::DOUBLE px, j * 2.875::DOUBLE - 0.5::DOUBLE py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)), {BLEND}
+SELECT tile, round(px, 6) AS px, round(py, 6) AS py, round(v, 6) AS v FROM v""")
 def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places over the edges of the tiles, too."""
     cells = raster(spark, sf_dir)
-    places = cells.select("tile").distinct().withColumn("px", F.explode(F.array(*(F.lit(i * 1.5 + 0.25) for i in range(20))))).withColumn("py", F.explode(F.array(*(F.lit(j * 2.5 + 0.6) for j in range(12)))))
+    places = cells.select("tile").distinct().withColumn("px", F.explode(F.array(*(F.lit(i * 1.75 - 1.25) for i in range(20))))).withColumn("py", F.explode(F.array(*(F.lit(j * 2.875 - 0.5) for j in range(12)))))
     return stencil.bilinear(cells, places).select("tile", r6("px").alias("px"), r6("py").alias("py"), r6("v").alias("v"))
 
 
+_WINDOW = [(i, j, 15.5 + (i - 4.5) * 2.6, 15.5 + (j - 4.5) * 3.8) for i in range(10) for j in range(10)]
+
+
+@query(f"""WITH {RASTER}, p AS (SELECT tile, i, j, px, py FROM (SELECT DISTINCT tile FROM r), (VALUES {", ".join(f"({i}, {j}, {x}::DOUBLE, {y}::DOUBLE)" for i, j, x, y in _WINDOW)}) o(i, j, px, py)), {BLEND}
+SELECT v.tile, i::INT AS i, j::INT AS j, round(v, 6) AS v, n.z > 27 AS high FROM v LEFT JOIN r n ON n.tile = v.tile AND n.x = floor(hx + 0.5) AND n.y = floor(hy + 0.5)""")
+def centred_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window around the middle of each tile at another spacing, over the edges: heights blended, a mask by nearest cell."""
+    cells = raster(spark, sf_dir)
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(x).alias("px"), F.lit(y).alias("py")) for i, j, x, y in _WINDOW))
+    places = cells.select("tile").distinct().select("tile", F.inline(each))
+    heights = stencil.bilinear(cells, places).select("tile", "i", "j", r6("v").alias("v"))
+    mask = stencil.bilinear(cells, places, "nearest").select("tile", "i", "j", (F.col("v") > 27).alias("high"))
+    return heights.join(mask, ["tile", "i", "j"])
+
+
 @query(f"WITH {RASTER} SELECT tile, (x - 8)::INT AS x, (y - 8)::INT AS y, round(z, 6) AS z FROM r WHERE x BETWEEN 8 AND 23 AND y BETWEEN 8 AND 23")
 def window_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).where("x between 8 and 23 and y between 8 and 23").select("tile", (F.col("x") - 8).alias("x"), (F.col("y") - 8).alias("y"), r6("z").alias("z"))

@@ -155,10 +155,10 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.segments(polylines(spark, sf_dir).where("i <= 4"))
+    return spatial.segments(polylines(spark, sf_dir))
 
 
-_NEAR = f"""{LINES}, s AS (SELECT line, i, px ax, py ay, lead(px) OVER w bx, lead(py) OVER w cy FROM l WHERE i <= 4 WINDOW w AS (PARTITION BY line ORDER BY i)), q AS (SELECT *, power(bx - ax, 2) + power(cy - ay, 2) AS d FROM s WHERE bx IS NOT NULL), p AS (SELECT s_suppkey, (s_suppkey % 40) / 10.0::DOUBLE AS px, (s_suppkey % 97)::DOUBLE AS py FROM supplier),
+_NEAR = f"""{LINES}, s AS (SELECT line, i, px ax, py ay, lead(px) OVER w bx, lead(py) OVER w cy FROM l WINDOW w AS (PARTITION BY line ORDER BY i)), q AS (SELECT *, power(bx - ax, 2) + power(cy - ay, 2) AS d FROM s WHERE bx IS NOT NULL), p AS (SELECT s_suppkey, (s_suppkey % 40) / 10.0::DOUBLE AS px, (s_suppkey % 97)::DOUBLE AS py FROM supplier),
 t AS (SELECT s_suppkey, line, i, px, py, ax, ay, bx, cy, CASE WHEN d > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (cy - ay)) / d)) ELSE 0 END u FROM p, q), m AS (SELECT s_suppkey, line, i, round(sqrt(power(px - (ax + u * (bx - ax)), 2) + power(py - (ay + u * (cy - ay)), 2)), 6) AS distance FROM t)
 SELECT s_suppkey, line, i::INT AS i, distance FROM m WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, line, i) = 1"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,13 @@ def scratch(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="rasterloom-")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table written in the shared folder and read again: what starts from it doesn't compute it anew."""
+    path = f"{scratch(df.sparkSession)}/rasterloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells (tile, x, y, z): mean quantity on a 32 x 32 lattice of parts and orders, by flags."""
     li = table(spark, sf_dir, "lineitem")
