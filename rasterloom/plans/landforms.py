@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import kernels
+from pyspark.sql import functions as F
+
+from ..operators import features, kernels
 from ..operators import landforms as measure
-from ..sources.tables import raster
+from ..sources.tables import raster, written
 
 QUERIES: dict = {}
 #: Sequential or spectral tile measures, so no SQL; tests hold them against analytic surfaces.
@@ -98,3 +100,20 @@ def variogram_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([{"model": name, **measure.fit_variogram(lag, gamma, name == "spherical")} for name in ("exponential", "spherical")])
 
     return kernels.per_tile(raster(spark, sf_dir), fits, "model string, variogram_nugget double, variogram_sill double, variogram_range double")
+
+
+@query
+def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table, written sorted by tile and read again: scalars, and the vectors by their lengths and sums."""
+    cells = raster(spark, sf_dir).withColumn("water", F.col("z") > 30).withColumn("tree", F.col("z") < 20)
+    found = written(features.feature_table(cells, CELL).orderBy("tile"))
+    return found.select("tile", *features.SCALARS, *(F.size(v).alias(f"{v}_size") for v in features.VECTORS), F.aggregate("slope_hist", F.lit(0.0), lambda a, x: a + x).alias("slope_hist_sum"))
+
+
+@query
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the feature table, a row for each place on its shared axis."""
+    found = features.feature_table(raster(spark, sf_dir), CELL)
+    axes = spark.createDataFrame(list(features.axis_rows()), "vector string, place int, at double")
+    long = found.unpivot("tile", list(features.VECTORS), "vector", "v").select("tile", "vector", F.posexplode("v").alias("place", "value"))
+    return long.join(F.broadcast(axes), ["vector", "place"]).select("tile", "vector", "place", "at", "value")
