@@ -1,13 +1,14 @@
 """Connected components of an edge table: every node sends its neighbours to the least of them.
 
-A round takes the least m(u) of each node u and its neighbours, and puts edges from u and all its
-neighbours to m(u) in the place of u's. Before the shuffle each task replaces the edges that it
-holds, some at a time, by a star forest of the same components, which shortens long chains. It is
-over when all nodes but roots have one edge: the table is a star forest then.
+Edges are dealt to as many tasks as they fill with HELD each, and each task puts a star forest of
+the same components in the place of its edges; what fits one task is done with that. Else rounds
+follow: a round takes the least m(u) of each node u and its neighbours, puts edges from u and all its
+neighbours to m(u) in the place of u's, and contracts again. It is over when all nodes but roots
+have one edge: the table is a star forest then.
 
 The aggregation combines before the shuffle. In the join a hub's edges would meet in one task, so
 hubs are split off: nodes with over 1/1024 of the edge ends, of which there can be 1024 at most, are
-broadcast to their edges, which stay where they are. Nothing else reaches the driver but two
+broadcast to their edges, which stay where they are. Nothing else reaches the driver but a few
 numbers a round. Each round's tables are written to the shared folder, which cuts the lineage.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace
 
-HUBS, LEAST_DEGREE, HELD = 1024, 512, 1 << 20
+HUBS, LEAST_DEGREE, HELD = 1024, 512, 1 << 18
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -82,8 +83,15 @@ def connected_components(space: Workspace, edges: DataFrame, rounds: int = 60) -
     Repeated edges change nothing; an empty table gives an empty table.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    forest = lambda df: df.mapInArrow(_forests, f"hi {kind}, lo {kind}").distinct()
-    now = space.save(forest(edges.where("a <> b").select("a", "b")), "edges")
+
+    def contracted(edges: DataFrame, count: int) -> DataFrame:
+        tasks = count // HELD + 1
+        forests = edges.repartition(tasks).mapInArrow(_forests, f"hi {kind}, lo {kind}")
+        return space.save(forests if tasks == 1 else forests.distinct(), "edges")
+
+    raw = space.save(edges.where("a <> b").select("a", "b"), "raw")
+    now = contracted(raw, raw.count())
+    space.drop(raw)
     for _ in range(rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
@@ -94,7 +102,7 @@ def connected_components(space: Workspace, edges: DataFrame, rounds: int = 60) -
             return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
         many = max(LEAST_DEGREE, ends // HUBS)
         moved = _to_least(both, least, F.col("degree") > many if most > many else None).union(least.select("u", "m"))
-        new = space.save(forest(moved.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))), "edges")
+        new = contracted(moved.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")), 2 * ends)
         space.drop(now, least)
         now = new
     raise RuntimeError(f"the components did not settle in {rounds} rounds")

@@ -724,7 +724,7 @@ def test_null_ids_repeats_and_long_texts(spark):
     assert license_rules.scan(df).count() == 6
 
 
-@pytest.mark.parametrize("held", [1 << 20, 5])
+@pytest.mark.parametrize("held", [1 << 20, 500])
 def test_components_equal_brute_force(spark, monkeypatch, held):
     monkeypatch.setattr(components, "HELD", held)
     monkeypatch.setattr(components, "LEAST_DEGREE", 20)
