@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, bounded_batches
 from .words import chunks, hash_ranges
 
-SCALE, LANES, GAP, BLOCK_TOKENS, END = 18, 1024, 128, 1 << 18, 0
+SCALE, LANES, GAP, BLOCK_TOKENS, END = 18, 2048, 64, 1 << 18, 0
 LOW = np.uint64(1 << 31)
 HEAD = "<4sHHIIIII"
 MAGIC = b"RLT1"
@@ -370,6 +370,7 @@ def _frames(path: str, table_b):
 
 def write_frames(spark: SparkSession, space: Workspace, docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write docs(doc_id, text) in ascending doc_id order: the frames, and the table (id, frequency)."""
+    docs = bounded_batches(docs)
     counted = docs.select("text").mapInArrow(_histogram(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     table = shared_table({r.id: r.n for r in counted.collect()} or {END: 1})
     saved = space.save(spark.createDataFrame([(int(i), int(f)) for i, f in table.T], "id long, frequency long").coalesce(1), "frequencies")
