@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 SAMPLE, CONTENT, LANGUAGES, PIECE, LEVEL, LEAST_MARGIN = 400, 110_000, 256, 2048, 6, 0.01
 UNKNOWN = "und"
 
@@ -92,7 +94,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             lang, score = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([x != UNKNOWN and s >= LEAST_MARGIN for x, s in found], pa.bool_())], ["doc_id", "lang_pred", "score", "reliable"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, reliable boolean")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, reliable boolean")
 
 
 def keep_reliable(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -108,7 +110,7 @@ def keep_reliable(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [model.classify(x.as_py(), compressors) for x in batch.column(text)]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= LEAST_MARGIN for lang, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def in_training(spark: SparkSession | None = None) -> Column:

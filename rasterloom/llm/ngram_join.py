@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Workspace
+from .shared import Workspace, bounded_batches
 from .words import shingle_sets, word_chunks
 
 #: Frequent shingles that stand last in the order: at most so many, each in so many documents or more.
@@ -502,7 +502,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     component names the component also where ids repeat or are null (null: the empty set), and
     text_key is xxhash64 of the text. The two bounds change the work of a task, not the result.
     """
-    space = Workspace(spark, "ngram-join")
+    space, docs = Workspace(spark, "ngram-join"), bounded_batches(docs)
     text, key = docs.select("text"), F.xxhash64("text").alias("text_key")
     counts = text.mapInArrow(_heavy_counts(k), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     top = counts.where(F.col("df") >= HEAVY_DF).orderBy(F.desc("df"), "token").limit(HEAVY_MOST).select("token").collect()

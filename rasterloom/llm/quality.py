@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import Words, hash_ranges, mix64, word_chunks
 
 SAMPLE, BITS, THRESHOLD = 2000, 16, 0.5
@@ -220,7 +221,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
     # `sample` rows at most.
     chosen = F.broadcast(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("long"), "text").where("text is not null")
+    rows = bounded_batches(docs).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("long"), "text").where("text is not null")
     sparse = rows.mapInArrow(_sparse_rows(bits), "doc_id long, label long, columns binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "columns").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
                 found = judge(words, model, threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), *(pa.array(found[x]) for x in names)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,4 +276,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

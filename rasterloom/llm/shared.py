@@ -26,6 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows and bytes of the Arrow batches that Python gets, against 10000 rows and 64 MB by default.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on makes smaller Arrow batches, unless it has sizes of its own: whole texts are large rows."""
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.max"
+    for key, default, own in ((f"{most}RecordsPerBatch", "10000", BATCH_ROWS), (f"{most}BytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(key, default) in (default, default.rstrip("b"), "64MB"):
+            conf.set(key, str(own))
+    return df
+
+
 class Workspace:
     """Intermediate tables of one query run."""
 

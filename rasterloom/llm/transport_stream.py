@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import bounded_batches
 from .words import buffers
 
 BLOCK = 192
@@ -293,7 +294,7 @@ def store(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), pa.array(np.diff(offsets[at : stop + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
                 at = stop
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 READ = "payload binary, program int, pid int, stream_type int, packets long, continuity_errors long, pts array<long>, entry_points array<long>"
