@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import designs, files, landforms, populations, rasters, reports, waters
+from .plans import designs, files, landforms, layouts, populations, rasters, reports, waters
 
-MODULES = (populations, rasters, landforms, files, designs, reports, waters)
+MODULES = (populations, rasters, landforms, files, designs, reports, waters, layouts)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
