@@ -31,6 +31,33 @@ def hash_unit(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+#: Sobol dimensions after the first: degree, coefficients of the primitive polynomial, first odd numbers. Fixed values.
+SOBOL = ((1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3)), (4, 4, (1, 3, 5, 13)))
+
+
+def direction_numbers(dim: int, bits: int = 32) -> list[int]:
+    """By the polynomial's recurrence; dimension 0 is the bit-reversed count."""
+    if dim == 0:
+        return [1 << bits - 1 - k for k in range(bits)]
+    degree, polynomial, start = SOBOL[dim - 1]
+    m = list(start)
+    for k in range(degree, bits):
+        new = m[k - degree] ^ m[k - degree] << degree
+        for j in range(1, degree):
+            if polynomial >> degree - 1 - j & 1:
+                new ^= m[k - j] << j
+        m.append(new)
+    return [x << bits - 1 - k for k, x in enumerate(m)]
+
+
+def sobol(n: Column, dim: int, scramble: int = 0) -> Column:
+    """The n-th point's coordinate in [0, 1), digits flipped by a scramble; each row on its own, so points spread over any partitions."""
+    out = F.lit(scramble).cast("bigint")
+    for k, v in enumerate(direction_numbers(dim)):
+        out = out.bitwiseXOR(F.when(F.shiftright(n.cast("bigint"), k).bitwiseAND(F.lit(1)) == 1, F.lit(v).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return out / F.lit(4294967296.0)
+
+
 def cumulative(weights: DataFrame, key: str, weight: str, slices: int = 1024) -> DataFrame:
     """weights with low and high, the share of weight before a row and with it, in the order of an integer key."""
     placed = weights.withColumn("__slice", F.floor(F.col(key) / slices))

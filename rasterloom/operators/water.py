@@ -177,25 +177,26 @@ def hull_mask(points: np.ndarray, shape: tuple[int, int], grow: int) -> np.ndarr
     return mask
 
 
-def route(lines: list[tuple[int | None, np.ndarray]], centre: np.ndarray, most: int = 18, jump: float = 400.0, out_of_turn: float = 140.0) -> list[int]:
-    """Indices of lines (ref, points in metres) chained end to start, sorted by ref, null last.
+def chained(start: np.ndarray, end: np.ndarray, number: np.ndarray, centre: np.ndarray, most: int = 18, jump: float = 400.0, out_of_turn: float = 140.0) -> np.ndarray:
+    """Places of lines (start, end in metres, number or NaN) that make one round, by number, those without last.
 
-    It starts from the line of ref 1 (any, without one) whose start is nearest the centre and takes
-    the nearest start each time, one that is not next in number costing more. A jump ends it
-    unless the number is next. So few lines as fit are all taken, in their own order.
+    Costs stand in a matrix, from each line's end to each start, more where the number isn't the next. The
+    round follows the least cost from the line of number 1 (or any) nearest the centre; it breaks
+    off where that is a jump out of turn. Few enough lines are all taken, as they come.
     """
-    if len(lines) <= most:
-        return list(range(len(lines)))
-    first = [i for i, (ref, _) in enumerate(lines) if ref == 1] or range(len(lines))
-    chain = [min(first, key=lambda i: float(np.hypot(*(lines[i][1][0] - centre))))]
-    left = set(range(len(lines))) - set(chain)
-    while left and len(chain) < most:
-        ref, points = lines[chain[-1]]
-        gap = {i: float(np.hypot(*(lines[i][1][0] - points[-1]))) for i in left}
-        in_turn = {i: ref is not None and lines[i][0] == ref + 1 for i in left}
-        best = min(sorted(left), key=lambda i: gap[i] + (0.0 if in_turn[i] else out_of_turn))
-        if gap[best] > jump and not in_turn[best]:
+    n = len(start)
+    if n <= most:
+        return np.arange(n)
+    gap = np.hypot(*(start[None] - end[:, None]).transpose(2, 0, 1))
+    in_turn = number[None] == number[:, None] + 1
+    cost = gap + np.where(in_turn, 0.0, out_of_turn)
+    from_centre = np.hypot(*(start - centre).T)
+    at = int(np.argmin(np.where(number == 1, from_centre, np.inf) if (number == 1).any() else from_centre))
+    taken = [at]
+    while len(taken) < min(n, most):
+        cost[:, at] = np.inf
+        following = int(np.argmin(cost[at]))
+        if gap[at, following] > jump and not in_turn[at, following]:
             break
-        chain.append(best)
-        left.remove(best)
-    return sorted(chain, key=lambda i: (lines[i][0] is None, lines[i][0] or 0))
+        taken.append(at := following)
+    return np.array(taken)[np.argsort(number[taken], kind="stable")]

@@ -41,6 +41,20 @@ def latin_hypercube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", "dim", F.round((F.col("rank") - 1 + ranking.hash_unit(F.concat(F.lit("u"), "key"))) / F.col("n"), 9).alias("u"))
 
 
+def _sobol_sql(dim: int) -> str:
+    out = "0::BIGINT"
+    for k, v in enumerate(ranking.direction_numbers(dim)):
+        out = f"xor({out}, CASE WHEN (n >> {k}) & 1 = 1 THEN {v}::BIGINT ELSE 0::BIGINT END)"
+    return out
+
+
+@query("WITH p AS (SELECT p_partkey - 1 AS n FROM part) SELECT n + 1 AS p_partkey, " + ", ".join(f"round(({_sobol_sql(d)}) / 4294967296.0::DOUBLE, 9) AS u{d}" for d in range(5)) + " FROM p")
+def sobol_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point of the Sobol sequence for each part."""
+    n = F.col("p_partkey") - 1
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(ranking.sobol(n, d), 9).alias(f"u{d}") for d in range(5)))
+
+
 _CDF = "c AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) / (sum(p_size) OVER ())::DOUBLE AS high, (sum(p_size) OVER (ORDER BY p_partkey) - p_size) / (sum(p_size) OVER ())::DOUBLE AS low FROM part)"
 
 
@@ -99,28 +113,49 @@ def standardisation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Fitted models: rows only; tests hold them against NumPy or planted structure.
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"m{i}") for i in range(6)))
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Vectors as columns m0, m1, ..., all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    names = [f"m{i}" for i in range(len(vectors.select("embedding").first()[0]))]
+    return vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names))), names
 
 
 @query()
 def pca_scree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.principal_components(_features(spark, sf_dir), [f"m{i}" for i in range(6)])
+    return models.principal_components(*_features(spark, sf_dir))
+
+
+@query()
+def hull_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of some vectors within the hull of the others, on their first two components."""
+    rows, names = _features(spark, sf_dir)
+    return models.hull_coverage(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), names)
+
+
+@query()
+def ward_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of the nations by their customers' balances and counts, and their suppliers'."""
+    side = lambda t, p: table(spark, sf_dir, t).groupBy(F.col(f"{p}_nationkey").alias("nation")).agg(F.avg(f"{p}_acctbal").alias(f"{p}_mean"), F.count("*").cast("double").alias(f"{p}_n"))
+    both = side("customer", "c").join(side("supplier", "s"), "nation")
+    return models.ward(both, "nation", ["c_mean", "c_n", "s_mean", "s_n"])
 
 
 @query()
 def mixture_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.mixture_bic(_features(spark, sf_dir), [f"m{i}" for i in range(3)], range(1, 4))
+    """Mixtures on the first eight components, with their silhouettes."""
+    scores = models.component_scores(*_features(spark, sf_dir), "vec_id", 8)
+    return models.mixture_bic(scores, [f"pc{i}" for i in range(8)], range(1, 4))
 
 
 @query()
 def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _features(spark, sf_dir)
+    rows, names = _features(spark, sf_dir)
     real, synthetic = rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0")
-    return models.density_ratio(real, synthetic, [f"m{i}" for i in range(4)], "vec_id")
+    return models.density_ratio(real, synthetic, names, "vec_id")
 
 
 @query()
 def emulator_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _features(spark, sf_dir).withColumn("y", F.col("m0") + 2 * F.col("m1") * F.col("m1"))
-    return models.emulator_r2(rows, ["m0", "m1", "m2"], "y", "vec_id", folds=3)
+    rows, names = _features(spark, sf_dir)
+    rows = rows.withColumn("y", F.col("m0") + 2 * F.col("m1") * F.col("m1"))
+    return models.emulator_r2(rows, names, "y", "vec_id", folds=3)

@@ -285,7 +285,7 @@ def corridor_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same hash in SQL, on HUGEINT.
-NOISE_SQL = """n0 AS (SELECT s_suppkey % 4 AS seed, x, y FROM (SELECT DISTINCT s_suppkey % 4 AS s_suppkey FROM supplier), (SELECT unnest(range(64)) x), (SELECT unnest(range(64)) y)),
+NOISE_SQL = """n0 AS (SELECT s_suppkey AS seed, x, y FROM supplier, (SELECT unnest(range(16)) x), (SELECT unnest(range(16)) y)),
 h1 AS (SELECT *, ((xor(seed::BIGINT, 2654435769::BIGINT))::HUGEINT + x::HUGEINT * 2246822507) % 4294967296 AS a FROM n0),
 h2 AS (SELECT *, (xor(a::BIGINT, a::BIGINT >> 15)::HUGEINT + y::HUGEINT * 3266489909) % 4294967296 AS b FROM h1),
 h3 AS (SELECT *, (xor(b::BIGINT, b::BIGINT >> 13)::HUGEINT * 668265263) % 4294967296 AS c FROM h2),
@@ -293,9 +293,9 @@ h AS (SELECT seed::BIGINT AS seed, x::BIGINT AS x, y::BIGINT AS y, xor(c::BIGINT
 
 
 def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).alias("seed")).distinct()
-    side = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
-    return seeds.withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
+    """A 16 x 16 lattice for each supplier's key as seed."""
+    side = F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")).withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
 
 
 @query(f"WITH {NOISE_SQL} SELECT seed, x, y, hash FROM h")
@@ -306,7 +306,7 @@ def noise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _G = [f"list_extract([{', '.join(repr(g[i]) for g in noise.GRADIENTS)}], (hash & 7)::INT + 1)" for i in (0, 1)]
 
 
-@query(f"""WITH {NOISE_SQL.replace("range(64)", "range(18)")}, p AS (SELECT seed, i, j, i * 0.25::DOUBLE AS px, j * 0.25::DOUBLE AS py FROM (SELECT DISTINCT seed FROM h), (SELECT unnest(range(64)) i), (SELECT unnest(range(64)) j)),
+@query(f"""WITH {NOISE_SQL.replace("range(16)", "range(6)")}, p AS (SELECT seed, i, j, i * 0.25::DOUBLE AS px, j * 0.25::DOUBLE AS py FROM (SELECT DISTINCT seed FROM h), (SELECT unnest(range(16)) i), (SELECT unnest(range(16)) j)),
 q AS (SELECT *, floor(px)::BIGINT x0, floor(py)::BIGINT y0 FROM p),
 k AS (SELECT q.*, dx, dy, ({_G[0]} * (px - x0 - dx) + {_G[1]} * (py - y0 - dy)) AS v FROM q, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy), h WHERE h.seed = q.seed AND h.x = x0 + dx AND h.y = y0 + dy),
 w AS (SELECT seed, i, j, any_value(px - x0) tx, any_value(py - y0) ty, sum(v) FILTER (dx = 0 AND dy = 0) a, sum(v) FILTER (dx = 1 AND dy = 0) b, sum(v) FILTER (dx = 0 AND dy = 1) c, sum(v) FILTER (dx = 1 AND dy = 1) d FROM k GROUP BY seed, i, j),
@@ -317,10 +317,18 @@ def perlin_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("seed", "i", "j", (r6(noise.perlin(F.col("i") * 0.25, F.col("j") * 0.25, F.col("seed"))) + 0.0).alias("v"))
 
 
-@query()
+_FBM = """o AS (SELECT unnest(range(3)) o), p AS (SELECT s_suppkey seed, i, j, o, (s_suppkey + o * 2654435769::BIGINT) % 4294967296 AS sd, i * 0.1::DOUBLE * power(2, o) px, j * 0.1::DOUBLE * power(2, o) py, power(0.5, o) amp FROM supplier, o, (SELECT unnest(range(16)) i), (SELECT unnest(range(16)) j)),
+q AS (SELECT *, floor(px)::BIGINT x0, floor(py)::BIGINT y0 FROM p), k0 AS (SELECT q.*, dx, dy, x0 + dx cx, y0 + dy cy FROM q, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)),
+k1 AS (SELECT *, ((xor(sd::BIGINT, 2654435769::BIGINT))::HUGEINT + cx::HUGEINT * 2246822507) % 4294967296 a FROM k0), k2 AS (SELECT *, (xor(a::BIGINT, a::BIGINT >> 15)::HUGEINT + cy::HUGEINT * 3266489909) % 4294967296 b FROM k1), k3 AS (SELECT *, (xor(b::BIGINT, b::BIGINT >> 13)::HUGEINT * 668265263) % 4294967296 c FROM k2), h AS (SELECT *, xor(c::BIGINT, c::BIGINT >> 16) hash FROM k3)"""
+
+
+@query(f"""WITH {_FBM}, k AS (SELECT *, ({_G[0]} * (px - x0 - dx) + {_G[1]} * (py - y0 - dy)) v FROM h),
+w AS (SELECT seed, i, j, o, any_value(amp) amp, any_value(px - x0) tx, any_value(py - y0) ty, sum(v) FILTER (dx = 0 AND dy = 0) a, sum(v) FILTER (dx = 1 AND dy = 0) b, sum(v) FILTER (dx = 0 AND dy = 1) c, sum(v) FILTER (dx = 1 AND dy = 1) d FROM k GROUP BY seed, i, j, o),
+e AS (SELECT *, tx * tx * tx * (tx * (tx * 6.0 - 15.0) + 10.0) eu, ty * ty * ty * (ty * (ty * 6.0 - 15.0) + 10.0) ev FROM w)
+SELECT seed, i::INT AS i, j::INT AS j, round(sum(amp * ((a + eu * (b - a)) + ev * ((c + eu * (d - c)) - (a + eu * (b - a))))) * sqrt(2.0::DOUBLE) / 1.75, 6) + 0.0 AS v FROM e GROUP BY ALL""")
 def fbm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _lattice(spark, sf_dir).select("seed", F.col("x").cast("int").alias("i"), F.col("y").cast("int").alias("j"))
-    return at.select("seed", "i", "j", r6(noise.fbm(F.col("i") * 0.1, F.col("j") * 0.1, F.col("seed"))).alias("v"))
+    return at.select("seed", "i", "j", (r6(noise.fbm(F.col("i") * 0.1, F.col("j") * 0.1, F.col("seed"))) + 0.0).alias("v"))
 
 
 # Sequential tile algorithms: rows only; tests hold them against analytic surfaces.
@@ -330,9 +338,24 @@ def _cells(**grids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"x": x.ravel().astype(np.int32), "y": y.ravel().astype(np.int32), **{k: v.ravel() for k, v in grids.items()}})
 
 
-@query()
+#: Components of cells over 27, neighbours at corners included, named by their first cell in row order.
+LABELS = f"""{RASTER}, m AS (SELECT tile, x, y, y * 32 + x id FROM r WHERE z > 27), reach AS (SELECT tile, id s, id t FROM m UNION SELECT reach.tile, reach.s, b.id FROM reach JOIN m a ON a.tile = reach.tile AND a.id = reach.t JOIN m b ON b.tile = a.tile AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1),
+lab AS (SELECT tile, s id, min(t) root FROM reach GROUP BY ALL), shape AS (SELECT lab.tile, root, count(*) n, var_pop(x) a, var_pop(y) b, covar_pop(x, y) c FROM lab JOIN m ON m.tile = lab.tile AND m.id = lab.id GROUP BY ALL),
+bodies AS (SELECT tile, root, n, CASE WHEN n < 4 THEN 1.0 ELSE sqrt((a + b + sqrt(power(a - b, 2) + 4 * c * c)) / 2 / greatest((a + b - sqrt(power(a - b, 2) + 4 * c * c)) / 2, 1e-9)) END e FROM shape)"""
+
+
+@query(f"WITH RECURSIVE {LABELS} SELECT tile, dense_rank() OVER (PARTITION BY tile ORDER BY root)::INT AS label, n::INT AS cells, round(least(e, 999), 6) AS elongation FROM bodies")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.per_tile(raster(spark, sf_dir), lambda z: kernels.component_shapes(kernels.label_components(np.nan_to_num(z, nan=-1.0) > 27)), "label int, cells int, elongation double")
+    return kernels.per_tile(raster(spark, sf_dir), lambda z: kernels.component_shapes(kernels.label_components(np.nan_to_num(z, nan=-1.0) > 27)), "label int, cells int, elongation double").withColumn("elongation", r6(F.least("elongation", F.lit(999.0))))
+
+
+@query(f"""WITH RECURSIVE {LABELS}, k AS (SELECT * FROM bodies WHERE n >= 3), s AS (SELECT tile, count(*) bodies, sum(n) total, max(n) most, sum(n) FILTER (e > 3.5) long, list(n ORDER BY n) sizes FROM k GROUP BY tile)
+SELECT tile, bodies, round(most / total::DOUBLE, 6) AS most_share, (sizes[len(sizes) // 2 + 1] * 36.0)::DOUBLE AS median_m2, round(coalesce(long, 0) / total::DOUBLE, 6) AS streamlike FROM s""")
+def water_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of three cells or more by tile: the largest's share, the upper median of their areas, the share in long ones."""
+    found = kernels.per_tile(raster(spark, sf_dir), lambda z: kernels.component_shapes(kernels.label_components(np.nan_to_num(z, nan=-1.0) > 27)), "label int, cells int, elongation double").where("cells >= 3")
+    s = found.groupBy("tile").agg(F.count("*").alias("bodies"), F.sum("cells").alias("total"), F.max("cells").alias("most"), F.sum(F.when(F.col("elongation") > 3.5, F.col("cells")).otherwise(0)).alias("long"), F.sort_array(F.collect_list("cells")).alias("sizes"))
+    return s.select("tile", "bodies", r6(F.col("most") / F.col("total")).alias("most_share"), (F.get("sizes", F.floor(F.col("bodies") / 2).cast("int")) * 36.0).alias("median_m2"), r6(F.col("long") / F.col("total")).alias("streamlike"))
 
 
 @query()

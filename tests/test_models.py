@@ -86,3 +86,33 @@ def test_empirical_distributions_by_slices(spark):
         p, q = np.sort(a[odd::2]), np.sort(b[odd::2])
         at = np.union1d(p, q)
         assert ks[g] == pytest.approx(np.abs(np.searchsorted(p, at, "right") / len(p) - np.searchsorted(q, at, "right") / len(q)).max())
+
+
+def test_sobol_points_fill_evenly(spark):
+    n = 256
+    got = np.array([list(r) for r in spark.range(n).select(*(ranking.sobol(F.col("id"), d) for d in range(6))).collect()])
+    # Every dimension has one point in each of n slices, every pair of the first two one in each cell of a 16 x 16 grid.
+    assert all(sorted((got[:, d] * n).astype(int)) == list(range(n)) for d in range(6))
+    cells = (got[:, :2] * 16).astype(int)
+    assert len({tuple(c) for c in cells}) == n
+    assert ranking.direction_numbers(1, 4) == [8, 12, 10, 15]
+
+
+def test_ward_equals_brute_force(spark):
+    x = RNG.normal(size=(12, 2)) * [1, 3]
+    got = models.ward(frame(spark, k=np.arange(12), a=x[:, 0], b=x[:, 1]), "k", ["a", "b"]).toPandas()
+    z = (x - x.mean(0)) / x.std(0)
+    clusters = {i: [i] for i in range(12)}
+    for r in got.sort_values("step").itertuples():
+        cost = lambda p, q: 2 * len(p) * len(q) / (len(p) + len(q)) * ((z[p].mean(0) - z[q].mean(0)) ** 2).sum()
+        best = min(cost(clusters[i], clusters[j]) for i in clusters for j in clusters if i < j)
+        assert r.height == pytest.approx(np.sqrt(best)) and r.height == pytest.approx(np.sqrt(cost(clusters[r.a], clusters[r.b])))
+        clusters[12 + r.step] = clusters.pop(r.a) + clusters.pop(r.b)
+        assert r.size == len(clusters[12 + r.step])
+
+
+def test_hull_coverage_of_planted_points(spark):
+    a = RNG.uniform(-1, 1, size=(3000, 2))
+    b = np.concatenate([RNG.uniform(-0.4, 0.4, size=(30, 2)), np.full((10, 2), 5.0) + RNG.normal(size=(10, 2))])
+    got = models.hull_coverage(frame(spark, x=a[:, 0], y=a[:, 1]), frame(spark, x=b[:, 0], y=b[:, 1]), ["x", "y"]).first()
+    assert (got.real, got.inside) == (40, 30)

@@ -97,9 +97,13 @@ def test_largest_component():
     assert water.largest_component(mask) == 2 and water.largest_component(mask & False) == 0
 
 
-def test_route_follows_numbers_and_stops_at_jumps():
+def test_rounds_follow_numbers_and_stop_at_jumps():
+    def chained(lines):
+        number = np.array([np.nan if n is None else float(n) for n, _ in lines])
+        return water.chained(np.array([p[0] for _, p in lines]), np.array([p[-1] for _, p in lines]), number, np.zeros(2)).tolist()
+
     lines = [(i + 1, np.array([[i * 100.0, 0.0], [i * 100.0 + 90, 0.0]])) for i in range(20)]
-    assert water.route(lines, np.zeros(2)) == list(range(18))
+    assert chained(lines) == list(range(18))
     other = [(i + 1, p + [0.0, 5000.0]) for i, (_, p) in enumerate(lines)]
-    assert water.route(lines[:12] + other[:3] + [(None, p + [9e4, 0.0]) for _, p in lines[:5]], np.zeros(2)) == list(range(12))
-    assert water.route(lines[:3], np.zeros(2)) == [0, 1, 2]
+    assert chained(lines[:12] + other[:3] + [(None, p + [9e4, 0.0]) for _, p in lines[:5]]) == list(range(12))
+    assert chained(lines[:3]) == [0, 1, 2]
