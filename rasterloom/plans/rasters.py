@@ -426,7 +426,7 @@ def seed_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", noise.mix_seed(F.col("s_suppkey").cast("long") * 2654435761, 3).alias("seed"))
 
 
-def _worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def worlds_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = terrain.Shape(octaves=3, stretch=1.4, angle=0.6, warp=80.0, ridged=-0.2, power=1.3, patchiness=0.25)
     points = _lattice(spark, sf_dir).select("seed", (F.col("x") * 31.25).alias("px"), (F.col("y") * 31.25).alias("py"))
     return terrain.hardness(terrain.heights(points, shape).withColumn("tile", F.col("seed").cast("string")), "tile", shape)
@@ -434,13 +434,13 @@ def _worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def terrain_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _worlds(spark, sf_dir).select("tile", "px", "py", r6("z").alias("z"), r6("hardness").alias("hardness"))
+    return worlds_of(spark, sf_dir).select("tile", "px", "py", r6("z").alias("z"), r6("hardness").alias("hardness"))
 
 
 @query()
 def terrain_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated worlds through the whole erosion pass: heights, hardness, then one Arrow group a world."""
-    worlds = _worlds(spark, sf_dir).select("tile", (F.col("px") / 31.25).cast("int").alias("x"), (F.col("py") / 31.25).cast("int").alias("y"), "z", "hardness")
+    worlds = worlds_of(spark, sf_dir).select("tile", (F.col("px") / 31.25).cast("int").alias("x"), (F.col("py") / 31.25).cast("int").alias("y"), "z", "hardness")
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         hard = kernels.grid_of(rows.assign(z=rows.hardness))
