@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import to_segment
-from .noise import times, u32
+from .noise import bind, times, u32
 from .scalars import clamp
 
 #: Metres a degree of latitude of the layout's survey frame, which differ from those of local_metres: fixed values.
@@ -147,15 +147,20 @@ def segment_distance(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
 
 def bend(ax: Column, ay: Column, bx: Column, by: Column, length: Column, share: Column, side: Column, most: float = 55.0) -> Column:
     """The vertex (x, y) and turn in degrees of a line from a to b of this length whose first leg has this share; null if it turns too much."""
-    d = _positive(F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2)))
-    first, second = share * length, (1 - share) * length
-    inner = clamp((first * first + second * second - d * d) / _positive(2 * first * second), -1.0, 1.0)
-    turn = 180 - F.degrees(F.acos(inner))
-    along = (d * d + first * first - second * second) / (2 * d)
-    off = side * F.sqrt(F.greatest(first * first - along * along, F.lit(0.0)))
-    ux, uy = (bx - ax) / d, (by - ay) / d
-    found = F.struct((ax + ux * along - uy * off).alias("x"), (ay + uy * along + ux * off).alias("y"), turn.alias("turn"))
-    return F.when((d > 1) & (length >= d) & (turn <= most), found)
+    def found(v: Column) -> Column:
+        d = _positive(F.sqrt(F.pow(v["bx"] - v["ax"], 2) + F.pow(v["by"] - v["ay"], 2)))
+        return bind(F.struct(v["ax"].alias("ax"), v["ay"].alias("ay"), d.alias("d"), ((v["bx"] - v["ax"]) / d).alias("ux"), ((v["by"] - v["ay"]) / d).alias("uy"), (share * v["length"]).alias("first"), ((1 - share) * v["length"]).alias("second"), v["length"].alias("length")), vertex)
+
+    def vertex(v: Column) -> Column:
+        d, first, second = v["d"], v["first"], v["second"]
+        inner = clamp((first * first + second * second - d * d) / _positive(2 * first * second), -1.0, 1.0)
+        turn = 180 - F.degrees(F.acos(inner))
+        along = (d * d + first * first - second * second) / (2 * d)
+        off = side * F.sqrt(F.greatest(first * first - along * along, F.lit(0.0)))
+        made = F.struct((v["ax"] + v["ux"] * along - v["uy"] * off).alias("x"), (v["ay"] + v["uy"] * along + v["ux"] * off).alias("y"), turn.alias("turn"))
+        return F.when((d > 1) & (v["length"] >= d) & (turn <= most), made)
+
+    return bind(F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), length.alias("length")), found)
 
 
 def two_bends(ax: Column, ay: Column, bx: Column, by: Column, length: Column, shares: tuple[float, float], aim: float, side: Column, most: float = 55.0) -> Column:
@@ -163,14 +168,24 @@ def two_bends(ax: Column, ay: Column, bx: Column, by: Column, length: Column, sh
 
     The first leg leaves a by `aim` radians off the straight line; the second vertex is a bend of the rest.
     """
-    d = _positive(F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2)))
-    one, two, three = shares[0] * length, (shares[1] - shares[0]) * length, (1 - shares[1]) * length
-    ux, uy = (bx - ax) / d, (by - ay) / d
-    x1, y1 = ax + (ux * math.cos(aim) - uy * math.sin(aim)) * one, ay + (ux * math.sin(aim) + uy * math.cos(aim)) * one
-    c = F.sqrt(F.pow(bx - x1, 2) + F.pow(by - y1, 2))
-    rest = bend(x1, y1, bx, by, two + three, two / _positive(two + three), side, most)
-    x2, y2 = rest["x"], rest["y"]
-    inside = clamp(((x1 - ax) * (x2 - x1) + (y1 - ay) * (y2 - y1)) / _positive(one * F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))), -1.0, 1.0)
-    turn = F.degrees(F.acos(inside))
-    fits = (d > 1) & (length >= d) & (c < two + three) & (c > F.abs(two - three) + 1e-9) & rest.isNotNull() & (turn <= most)
-    return F.when(fits, F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.greatest(turn, rest["turn"]).alias("turn")))
+    def first(v: Column) -> Column:
+        d = _positive(F.sqrt(F.pow(v["bx"] - v["ax"], 2) + F.pow(v["by"] - v["ay"], 2)))
+        ux, uy, one = (v["bx"] - v["ax"]) / d, (v["by"] - v["ay"]) / d, shares[0] * v["length"]
+        x1, y1 = v["ax"] + (ux * math.cos(aim) - uy * math.sin(aim)) * one, v["ay"] + (ux * math.sin(aim) + uy * math.cos(aim)) * one
+        return bind(F.struct(*(v[c].alias(c) for c in ("ax", "ay", "bx", "by", "length")), d.alias("d"), x1.alias("x1"), y1.alias("y1")), second)
+
+    def second(v: Column) -> Column:
+        length = v["length"]
+        two, three = (shares[1] - shares[0]) * length, (1 - shares[1]) * length
+        rest = bend(v["x1"], v["y1"], v["bx"], v["by"], two + three, F.lit((shares[1] - shares[0]) / (1 - shares[0])), side, most)
+        c = F.sqrt(F.pow(v["bx"] - v["x1"], 2) + F.pow(v["by"] - v["y1"], 2))
+        fits = (v["d"] > 1) & (length >= v["d"]) & (c < two + three) & (c > F.abs(two - three) + 1e-9)
+        return bind(F.struct(*(v[c].alias(c) for c in ("ax", "ay", "x1", "y1")), F.when(fits, rest).alias("rest")), third)
+
+    def third(v: Column) -> Column:
+        x2, y2, dx, dy = v["rest"]["x"], v["rest"]["y"], v["x1"] - v["ax"], v["y1"] - v["ay"]
+        out = F.sqrt(F.pow(x2 - v["x1"], 2) + F.pow(y2 - v["y1"], 2)) * F.sqrt(dx * dx + dy * dy)
+        turn = F.degrees(F.acos(clamp((dx * (x2 - v["x1"]) + dy * (y2 - v["y1"])) / _positive(out), -1.0, 1.0)))
+        return F.when(v["rest"].isNotNull() & (turn <= most), F.struct(v["x1"], v["y1"], x2.alias("x2"), y2.alias("y2"), F.greatest(turn, v["rest"]["turn"]).alias("turn")))
+
+    return bind(F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), length.alias("length")), first)

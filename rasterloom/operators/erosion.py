@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .kernels import accumulate, fill_depressions, steepest
+from .kernels import accumulate, diffuse, fill_depressions, steepest
 from .stencil import NEIGHBOURS
 from .water import downstream
 
@@ -66,8 +66,6 @@ def erode(z: np.ndarray, cell: float, intensity: float, deposition: float, diffu
     hardness is in [-1, 1]: hard cells resist by `contrast`. Mass is kept: what is eroded is
     deposited, or exported where the forest ends (the border and the mask).
     """
-    from .kernels import diffuse
-
     a0, shape = cell * cell, z.shape
     z = z.astype(float).ravel()
     top, relief = np.nanmax(z), max(np.nanmax(z) - np.nanmin(z), 1e-9)

@@ -144,7 +144,7 @@ def ward_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixtures on the first eight components, with their silhouettes."""
     scores = models.component_scores(*_features(spark, sf_dir), "vec_id", 8)
-    return models.mixture_bic(scores, [f"pc{i}" for i in range(8)], range(1, 4))
+    return models.mixture_bic(scores, [f"pc{i}" for i in range(8)], range(1, 4), starts=3)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layouts, scalars
+from ..functions.geometry import banded
 from ..operators import corridors, stencil
 from ..sources.tables import RASTER, raster, table
 from .rasters import SLOPE
@@ -196,17 +197,15 @@ def sql_table2(x: str, y: str, rows, columns, values) -> str:
     return out
 
 
-_KNOBS = "k AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE amplitude, 200 + l_extendedprice::DOUBLE / 20 period, 0.45 + l_tax::DOUBLE * 5 gain, 0.2 + l_discount::DOUBLE * 40 power, l_linenumber::DOUBLE intensity FROM lineitem), e AS (SELECT *, CASE WHEN power >= 1 THEN power ELSE 1 / greatest(power, 1e-6) END strong FROM k)"
+_KNOBS = "k AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE * 0.93711 + l_extendedprice::DOUBLE / 7919 amplitude, 200 + l_extendedprice::DOUBLE / 20 period, 0.45 + l_tax::DOUBLE * 5 gain, 0.2 + l_discount::DOUBLE * 40 power, l_linenumber::DOUBLE intensity FROM lineitem), e AS (SELECT *, CASE WHEN power >= 1 THEN power ELSE 1 / greatest(power, 1e-6) END strong FROM k)"
 _SKEW = sql_table1("strong", layouts.STRENGTHS, layouts.STRENGTH_SKEW)
 
 
 @query(f"""WITH {_KNOBS}, f AS (SELECT *, greatest({sql_table2("period", "gain", layouts.PERIODS, layouts.GAINS, layouts.RELIEF)}, 0.05) a, greatest({sql_table1("strong", layouts.STRENGTHS, layouts.STRENGTH_RELIEF)}, 0.05) b, greatest({sql_table2("intensity", "period", layouts.INTENSITIES, layouts.EROSION_PERIODS, layouts.KEPT)}, 0.1) c FROM e), g AS (SELECT *, greatest(amplitude * a * b * c, 0) relief FROM f)
 SELECT l_orderkey, l_linenumber, round(relief, 6) AS relief, CASE WHEN relief < 20 THEN 'lowland' WHEN relief < 65 THEN 'rolling' ELSE 'mountain' END AS mode, round(CASE WHEN power >= 1 THEN {_SKEW} ELSE -({_SKEW}) END, 6) AS skew, least(7, greatest(3, ceil(ln(greatest(period / 30.0, 2.0)) / {0.6931471805599453}) + 1))::INT AS octaves, round(0.10 * period, 6) AS warp, round(1.15 * period, 6) AS warp_period FROM g""")
 def knob_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.geometry import banded
-
     f = lambda c: F.col(c).cast("double")
-    k = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", f("l_quantity").alias("amplitude"), (200 + f("l_extendedprice") / 20).alias("period"), (0.45 + f("l_tax") * 5).alias("gain"), (0.2 + f("l_discount") * 40).alias("power"), f("l_linenumber").alias("intensity"))
+    k = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (f("l_quantity") * 0.93711 + f("l_extendedprice") / 7919).alias("amplitude"), (200 + f("l_extendedprice") / 20).alias("period"), (0.45 + f("l_tax") * 5).alias("gain"), (0.2 + f("l_discount") * 40).alias("power"), f("l_linenumber").alias("intensity"))
     k = k.withColumn("relief", layouts.relief_estimate(*(F.col(c) for c in ("amplitude", "period", "gain", "power", "intensity"))))
     return k.select("l_orderkey", "l_linenumber", r6("relief").alias("relief"), banded(F.col("relief"), 20, 65).alias("mode"), r6(layouts.skew_estimate(F.col("power"))).alias("skew"), layouts.octaves(F.col("period")).cast("int").alias("octaves"), r6(0.10 * F.col("period")).alias("warp"), r6(1.15 * F.col("period")).alias("warp_period"))
 

@@ -221,16 +221,16 @@ b AS (SELECT k.*, a.z a, b.z b, c.z c, d.z d FROM k LEFT JOIN r a ON a.tile = k.
 v AS (SELECT *, (a + (hx - x0) * (b - a)) + (hy - y0) * ((c + (hx - x0) * (d - c)) - (a + (hx - x0) * (b - a))) AS v FROM b)"""
 
 
-@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.75::DOUBLE - 1.25::DOUBLE px, j * 2.875::DOUBLE - 0.5::DOUBLE py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)), {BLEND}
+@query(f"""WITH {RASTER}, p AS (SELECT tile, i * 1.7319::DOUBLE - 1.2513::DOUBLE px, j * 2.8837::DOUBLE - 0.5171::DOUBLE py FROM (SELECT DISTINCT tile FROM r), (SELECT unnest(range(20)) i), (SELECT unnest(range(12)) j)), {BLEND}
 SELECT tile, round(px, 6) AS px, round(py, 6) AS py, round(v, 6) AS v FROM v""")
 def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places over the edges of the tiles, too."""
     cells = raster(spark, sf_dir)
-    places = cells.select("tile").distinct().withColumn("px", F.explode(F.array(*(F.lit(i * 1.75 - 1.25) for i in range(20))))).withColumn("py", F.explode(F.array(*(F.lit(j * 2.875 - 0.5) for j in range(12)))))
+    places = cells.select("tile").distinct().withColumn("px", F.explode(F.array(*(F.lit(i * 1.7319 - 1.2513) for i in range(20))))).withColumn("py", F.explode(F.array(*(F.lit(j * 2.8837 - 0.5171) for j in range(12)))))
     return stencil.bilinear(cells, places).select("tile", r6("px").alias("px"), r6("py").alias("py"), r6("v").alias("v"))
 
 
-_WINDOW = [(i, j, 15.5 + (i - 4.5) * 2.6, 15.5 + (j - 4.5) * 3.8) for i in range(10) for j in range(10)]
+_WINDOW = [(i, j, 15.5 + (i - 4.5) * 2.6137, 15.5 + (j - 4.5) * 3.8219) for i in range(10) for j in range(10)]
 
 
 @query(f"""WITH {RASTER}, p AS (SELECT tile, i, j, px, py FROM (SELECT DISTINCT tile FROM r), (VALUES {", ".join(f"({i}, {j}, {x}::DOUBLE, {y}::DOUBLE)" for i, j, x, y in _WINDOW)}) o(i, j, px, py)), {BLEND}
