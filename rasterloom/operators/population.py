@@ -73,7 +73,7 @@ def tempered_weights(ratios: DataFrame, temper: float = 0.5, cap: float = 0.98)
     return capped.join(F.broadcast(total)).withColumn("w", F.col("__w") / F.col("__total")).drop("__w", "__total")
 
 
-def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, slices: int = 64) -> DataFrame:
+def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, each: int = 50_000) -> DataFrame:
     """(group, v, fa, fb, next): both empirical distributions at each distinct value, and the next value.
 
     Counts by distinct value pre-aggregate. A group's values are then cut into slices at approximate
@@ -84,6 +84,8 @@ def running_shares(a: DataFrame, b: DataFrame, group: str | None, value: str, sl
     both = a.select(*key, F.col(value).alias("v"), F.lit(1).alias("in_a")).unionByName(b.select(*key, F.col(value).alias("v"), F.lit(0).alias("in_a")))
     # Written, as the cuts, the sums and the shares all start from it.
     by_value = written(both.where("v is not null").groupBy(*key, "v").agg(F.sum("in_a").alias("na"), F.sum(1 - F.col("in_a")).alias("nb")))
+    # About so many values a slice and group.
+    slices = min(1024, max(8, by_value.count() // each))
     cuts = by_value.groupBy(*key).agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10000).alias("__cuts"))
     placed = (by_value.join(cuts, group) if group else by_value.crossJoin(cuts)).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= F.col("v")))).drop("__cuts")
     sums = placed.groupBy(*key, "__slice").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("__first"))
