@@ -40,6 +40,16 @@ KNOBS = {
 }
 #: Jitter of a draw in unit space, how far lowland periods shrink, and the median cover of deep lowland. Fixed values.
 JITTER, SHRINK, LOWLAND_COVER = 0.03, 0.5, 22.0
+#: Water by relief: fixed values. Where lowland ends and rolling ground begins (m); the odds of a dry world (at a
+#: relief, its logarithm's slope) and of one large lake (most, from, to); the median cover in per cent at two reliefs; the
+#: spread of its logarithm and how much less it is in lowland; bounds of the cover and how lowland moves them.
+LOWLAND, DRY, LAKE = (16.0, 30.0), (38.0, -2.44, 1.46), (0.14, 40.0, 80.0)
+COVER, SPREAD, COVER_LOW, COVER_HIGH, LAKE_COVER = ((13.0, 3.2), (38.0, 2.2)), (0.9, 0.62), (0.3, 11.7), (12.0, 15.0), (9.0, 6.0)
+#: Rivers from outside, larger and smaller: the share of worlds up to it, median and spread of the area's logarithm, its bounds, the least cover.
+RIVERS = ((0.01, 1.8e8, 0.5, (1.0e8, 3.5e8), 5.5), (0.18, 2.0e7, 0.8, (8.0e6, 8.0e7), 4.0))
+#: Area where streams begin (median, spread of its logarithm, weights of the cover's and of its own draw, bounds), runoff's
+#: spread and bounds, and the least area of a body (flat, more on high ground, from, to).
+STREAM, RUNOFF, BODY = (8.0e5, 0.6, (-0.4, 0.9165), (2.0e5, 5.0e6)), (0.35, (0.5, 2.2)), (4000.0, 4000.0, 45.0, 85.0)
 #: Threes (and fives) of a nine with their weights; weights of orders that open or close with a three or repeat one. Fixed values.
 MIXES = ((2, 0.62), (1, 0.20), (3, 0.13), (0, 0.03), (4, 0.02))
 OPENER_3, CLOSER_3, TWICE_3, TWICE_5, TRIES = 0.15, 0.45, 0.10, 0.35, 64
@@ -67,7 +77,7 @@ def decoded(unit: Callable[[str], Column]) -> dict[str, Column]:
 
 def lowland(log_relief: Column) -> Column:
     """1 in deep lowland, 0 from rolling ground on."""
-    return 1 - smoothstep(math.log(16.0), math.log(30.0), log_relief)
+    return 1 - smoothstep(*map(math.log, LOWLAND), log_relief)
 
 
 def shrunk_period(amplitude: Column, period: Column, gain: Column, power: Column, intensity: Column) -> Column:
@@ -79,25 +89,28 @@ def shrunk_period(amplitude: Column, period: Column, gain: Column, power: Column
 def water(key: Column, relief: Column) -> dict[str, Column]:
     """Cover, river and channel draws of a world of this relief; every draw is made, whichever branch holds."""
     log = F.log(relief)
-    low, cover_z, channel_z = lowland(log), normal(key, "cover"), normal(key, "channel")
-    dry = uniform(key, "dry") < sigmoid(-2.44 + 1.46 * (log - math.log(38.0)))
-    lake = uniform(key, "lake") < 0.14 * smoothstep(40.0, 80.0, relief)
-    base = 3.2 - smoothstep(math.log(13.0), math.log(38.0), log)
-    median = F.log(base) + (math.log(LOWLAND_COVER) - F.log(base)) * low
-    drawn = F.exp(median + (0.9 - 0.62 * low) * cover_z)
-    drawn = F.least(F.greatest(drawn, 0.3 + 11.7 * low), 12.0 + 15.0 * low)
-    cover = F.when(lake, 9 + 6 * uniform(key, "lake_cover")).when(dry, 0.0).otherwise(drawn)
-    river_u, river_z = uniform(key, "river"), normal(key, "river_size")
-    open_ = (cover > 0) & ~lake
-    major, minor = open_ & (river_u < 0.01), open_ & (river_u >= 0.01) & (river_u < 0.18)
-    river = F.when(major, clamp(F.exp(math.log(1.8e8) + 0.5 * river_z), 1.0e8, 3.5e8)).when(minor, clamp(F.exp(math.log(2.0e7) + 0.8 * river_z), 8.0e6, 8.0e7)).otherwise(0.0)
+    low, cover_z = lowland(log), normal(key, "cover")
+    dry = uniform(key, "dry") < sigmoid(DRY[1] + DRY[2] * (log - math.log(DRY[0])))
+    lake = uniform(key, "lake") < LAKE[0] * smoothstep(*LAKE[1:], relief)
+    (near, first), (far, second) = COVER
+    usual = F.log(first + (second - first) * smoothstep(math.log(near), math.log(far), log))
+    drawn = F.exp(usual + (math.log(LOWLAND_COVER) - usual) * low + (SPREAD[0] - SPREAD[1] * low) * cover_z)
+    drawn = F.least(F.greatest(drawn, COVER_LOW[0] + COVER_LOW[1] * low), COVER_HIGH[0] + COVER_HIGH[1] * low)
+    cover = F.when(lake, LAKE_COVER[0] + LAKE_COVER[1] * uniform(key, "lake_cover")).when(dry, 0.0).otherwise(drawn)
+    which, size = uniform(key, "river"), normal(key, "river_size")
+    river, covered = F.lit(0.0), cover
+    for share, median, spread, bounds, least in reversed(RIVERS):
+        here = (cover > 0) & ~lake & (which < share)
+        river = F.when(here, clamp(F.exp(math.log(median) + spread * size), *bounds)).otherwise(river)
+        covered = F.when(here, F.greatest(cover, F.lit(least))).otherwise(covered)
+    own, mine = STREAM[2]
     return {
-        "coverage": F.when(major, F.greatest(cover, F.lit(5.5))).when(minor, F.greatest(cover, F.lit(4.0))).otherwise(cover) / 100,
+        "coverage": covered / 100,
         "lake_course": lake,
         "river_area": river,
-        "stream_area_min": clamp(F.exp(math.log(8.0e5) + 0.6 * (-0.4 * cover_z + 0.9165 * channel_z)), 2.0e5, 5.0e6),
-        "runoff": clamp(F.exp(0.35 * normal(key, "runoff")), 0.5, 2.2),
-        "min_body_area": 4000 + 4000 * smoothstep(45.0, 85.0, relief),
+        "stream_area_min": clamp(F.exp(math.log(STREAM[0]) + STREAM[1] * (own * cover_z + mine * normal(key, "channel"))), *STREAM[3]),
+        "runoff": clamp(F.exp(RUNOFF[0] * normal(key, "runoff")), *RUNOFF[1]),
+        "min_body_area": BODY[0] + BODY[1] * smoothstep(*BODY[2:], relief),
     }
 
 
