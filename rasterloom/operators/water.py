@@ -200,3 +200,53 @@ def chained(start: np.ndarray, end: np.ndarray, number: np.ndarray, centre: np.n
             break
         taken.append(at := following)
     return np.array(taken)[np.argsort(number[taken], kind="stable")]
+
+
+def outside_river(z: np.ndarray, cell: float, inflow: float) -> tuple[np.ndarray, np.ndarray]:
+    """The flat cells of the longest way down from a border cell, and the drained area with an inflow added along it.
+
+    Heights are filled first, so each way ends at the border. Ties go to the first cell in row order.
+    """
+    filled = fill_depressions(z)
+    to, area = downstream(steepest(filled)), accumulate(filled) * cell * cell
+    # How many steps are left from each cell: ways double in length until all have ended.
+    here = np.arange(len(to))
+    steps, reach = (to != here).astype(int), to
+    while (reach != to[reach]).any():
+        steps, reach = steps + steps[reach], reach[reach]
+    h, w = z.shape
+    border = np.zeros((h, w), bool)
+    border[[0, -1]], border[:, [0, -1]] = True, True
+    at = int(np.argmax(np.where(border.ravel(), steps, -1)))
+    path = [at]
+    while to[path[-1]] != path[-1]:
+        path.append(int(to[path[-1]]))
+    out = area.ravel().copy()
+    out[path] += inflow
+    return np.array(path), out.reshape(h, w)
+
+
+def site_scores(z: np.ndarray, cell: float, wet: np.ndarray, flat: float = 0.12, radius: int = 5) -> np.ndarray:
+    """How good a place is: higher than its surroundings, level within a step, away from water; NaN on water and steep ground."""
+    gy, gx = np.gradient(z, cell)
+    slope = np.hypot(gx, gy)
+    steepest_near = np.max([np.roll(np.pad(slope, 1, mode="edge"), s, (0, 1))[1:-1, 1:-1] for s in [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]], axis=0)
+    total, count = np.pad(z, radius), np.pad(np.ones_like(z), radius)
+    for axis in (0, 1):
+        total, count = (np.lib.stride_tricks.sliding_window_view(a, 2 * radius + 1, axis=axis).sum(-1) for a in (total, count))
+    prominence = z - total / count
+    away = np.minimum(chamfer(wet), 10.0) / 10.0 if wet.any() else np.ones_like(z)
+    score = prominence / (np.abs(prominence).max() + 1e-9) + (1 - np.minimum(steepest_near / (flat * 4), 1)) + away
+    return np.where(wet, np.nan, score)
+
+
+def sites(score: np.ndarray, apart: float, closer: float, most: int, enough: int) -> np.ndarray:
+    """Places by falling score, thinned; where there are under `enough`, those of a second pass that may lie closer follow."""
+    first = thinned(score, apart, most)
+    if len(first) >= enough:
+        return first
+    y, x = np.divmod(first, score.shape[1])
+    rest, (ys, xs) = score.copy(), np.indices(score.shape)
+    for a, b in zip(y, x, strict=True):
+        rest[np.hypot(ys - a, xs - b) < closer] = np.nan
+    return np.concatenate([first, thinned(rest, closer, most - len(first))])

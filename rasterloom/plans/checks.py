@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import kernels, polyline, spatial, water
+from ..functions import noise
+from ..operators import kernels, polyline, spatial, stencil, water
 from ..operators.landforms import fill_nearest
 from ..sources.tables import RASTER, polylines, raster, scratch, table
 from . import layouts, rasters
@@ -126,6 +127,72 @@ def lake_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(sums, "tile", "left").select("tile", r6(F.coalesce(F.col("q") / F.col("n"), F.lit(0.0))).alias("fit_share"), r6(F.coalesce(F.col("t") / F.col("n"), F.lit(0.0))).alias("basin_share"), F.coalesce("largest_m2", F.array().cast("array<double>")).alias("largest_m2"))
 
 
+# Heights with detail.
+def _noise_sql(seed: int, scale: float, octaves: int) -> str:
+    """(i, j, v) of lattice noise over the places of lat(i, j), as a query."""
+    g = rasters._G
+    norm = sum(0.5**o for o in range(octaves))
+    return f"""(WITH p AS (SELECT i, j, o, ({seed} + o * 2654435769::BIGINT) % 4294967296 AS sd, i * {scale}::DOUBLE * power(2, o) px, j * {scale}::DOUBLE * power(2, o) py, power(0.5, o) amp FROM lat, (SELECT unnest(range({octaves})) o)), q AS (SELECT *, floor(px)::BIGINT x0, floor(py)::BIGINT y0 FROM p),
+k0 AS (SELECT q.*, dx, dy, x0 + dx cx, y0 + dy cy FROM q, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)), k1 AS (SELECT *, ((xor(sd::BIGINT, 2654435769::BIGINT))::HUGEINT + cx::HUGEINT * 2246822507) % 4294967296 a FROM k0), k2 AS (SELECT *, (xor(a::BIGINT, a::BIGINT >> 15)::HUGEINT + cy::HUGEINT * 3266489909) % 4294967296 b FROM k1),
+k3 AS (SELECT *, (xor(b::BIGINT, b::BIGINT >> 13)::HUGEINT * 668265263) % 4294967296 c FROM k2), h AS (SELECT *, xor(c::BIGINT, c::BIGINT >> 16) hash FROM k3), k AS (SELECT *, ({g[0]} * (px - x0 - dx) + {g[1]} * (py - y0 - dy)) v FROM h),
+w AS (SELECT i, j, o, any_value(amp) amp, any_value(px - x0) tx, any_value(py - y0) ty, sum(v) FILTER (dx = 0 AND dy = 0) a, sum(v) FILTER (dx = 1 AND dy = 0) b, sum(v) FILTER (dx = 0 AND dy = 1) c, sum(v) FILTER (dx = 1 AND dy = 1) d FROM k GROUP BY i, j, o),
+e AS (SELECT *, tx * tx * tx * (tx * (tx * 6.0 - 15.0) + 10.0) eu, ty * ty * ty * (ty * (ty * 6.0 - 15.0) + 10.0) ev FROM w) SELECT i, j, sum(amp * ((a + eu * (b - a)) + ev * ((c + eu * (d - c)) - (a + eu * (b - a))))) * sqrt(2.0::DOUBLE) / {norm} AS v FROM e GROUP BY i, j)"""
+
+
+_EASE = lambda low, high, x: f"power(least(1.0, greatest(0.0, ({x} - {low}) / {high - low!r})), 2) * (3.0 - 2.0 * least(1.0, greatest(0.0, ({x} - {low}) / {high - low!r})))"
+_AT = "SELECT tile, i, j, i * 0.9713::DOUBLE AS px, j * 0.9713::DOUBLE AS py FROM lat, (SELECT DISTINCT tile FROM s)"
+_BLENDS = {"zm": "z", "sl": "slope", "lk": "greatest(z - 29, 0) / 10", "wt": "(z > 32)::INT"}
+
+
+@query(f"""WITH {rasters.SLOPE}, lat AS (SELECT i, j FROM (SELECT unnest(range(32)) i), (SELECT unnest(range(32)) j)), {", ".join(f"c_{n} AS (SELECT tile, x, y, {e} AS z FROM s), {n} AS (SELECT * FROM (WITH p AS ({_AT}), {layouts.blend(f'c_{n}')} SELECT tile, i, j, v FROM v))" for n, e in _BLENDS.items())}, dt AS (SELECT * FROM {_noise_sql(7, 0.37, 2)}), pt AS (SELECT * FROM {_noise_sql(9, 0.11, 1)})
+SELECT zm.tile, i::INT AS i, j::INT AS j, round(zm.v + 1.3 * (0.2 + 0.8 * {_EASE(2.0, 9.0, "sl.v")}) * (1 - {_EASE(0.02, 0.10, "lk.v")}) * greatest(1 - wt.v, 0) * greatest(1 + 0.5 * pt.v, 0) * dt.v, 6) AS z FROM zm JOIN sl USING (tile, i, j) JOIN lk USING (tile, i, j) JOIN wt USING (tile, i, j) JOIN dt USING (i, j) JOIN pt USING (i, j)""")
+def composed_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blended heights at another spacing, with detail on slopes and none on water."""
+    cells = stencil.slope(raster(spark, sf_dir)).select("tile", "x", "y", "z", "slope")
+    side = F.sequence(F.lit(0), F.lit(31))
+    places = cells.select("tile").distinct().withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).withColumn("px", F.col("i") * 0.9713).withColumn("py", F.col("j") * 0.9713)
+    out, values = None, {"zm": F.col("z"), "sl": F.col("slope"), "lk": F.greatest(F.col("z") - 29, F.lit(0.0)) / 10, "wt": (F.col("z") > 32).cast("double")}
+    for name, value in values.items():
+        part = stencil.bilinear(cells.select("tile", "x", "y", value.alias("z")), places).select("tile", "i", "j", F.col("v").alias(name))
+        out = part if out is None else out.join(part, ["tile", "i", "j"])
+    at = lambda scale, seed, octaves: noise.fbm(F.col("i") * scale, F.col("j") * scale, F.lit(seed), octaves)
+    lattice = spark.range(32 * 32).select((F.col("id") % 32).cast("int").alias("i"), F.floor(F.col("id") / 32).cast("int").alias("j"))
+    grain = lattice.select("i", "j", at(0.37, 7, 2).alias("dt"), at(0.11, 9, 1).alias("pt"))
+    z = noise.composed(*(F.col(c) for c in ("zm", "sl", "lk", "wt", "dt", "pt")), 1.3, 0.2, 0.5, (2.0, 9.0))
+    return out.join(grain, ["i", "j"]).select("tile", "i", "j", r6(z).alias("z"))
+
+
+@query()
+def river_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outside river by tile: the border cell with the longest way down, and the drained area along it."""
+    import numpy as np
+
+    def run(z):
+        import pandas as pd
+
+        path, area = water.outside_river(fill_nearest(z), 6.0, 5000.0)
+        y, x = np.divmod(path, z.shape[1])
+        return pd.DataFrame({"step": np.arange(len(path), dtype=np.int32), "x": x.astype(np.int32), "y": y.astype(np.int32), "area": area.ravel()[path]})
+
+    return kernels.per_tile(raster(spark, sf_dir), run, "step int, x int, y int, area double")
+
+
+@query()
+def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites by tile: level, prominent, dry places apart from each other; a second, closer pass where there are few."""
+    import numpy as np
+
+    def run(z):
+        import pandas as pd
+
+        score = water.site_scores(fill_nearest(z), 6.0, np.nan_to_num(z) > 31)
+        sites = water.sites(score, 5.0, 3.0, 24, 16)
+        y, x = np.divmod(sites, z.shape[1])
+        return pd.DataFrame({"rank": np.arange(1, len(sites) + 1, dtype=np.int32), "x": x.astype(np.int32), "y": y.astype(np.int32), "score": score.ravel()[sites]})
+
+    return kernels.per_tile(raster(spark, sf_dir), run, "rank int, x int, y int, score double")
+
+
 # Tables of features and factors.
 _SIDES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
 _STANDARD = "SELECT l_returnflag AS clip, feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT l_returnflag, unnest(['l_discount', 'l_quantity', 'l_tax']) AS feature, unnest([l_discount, l_quantity, l_tax]::DOUBLE[]) AS v FROM lineitem) GROUP BY ALL HAVING stddev_pop(v) > 0"

@@ -107,3 +107,34 @@ def test_rounds_follow_numbers_and_stop_at_jumps():
     other = [(i + 1, p + [0.0, 5000.0]) for i, (_, p) in enumerate(lines)]
     assert chained(lines[:12] + other[:3] + [(None, p + [9e4, 0.0]) for _, p in lines[:5]]) == list(range(12))
     assert chained(lines[:3]) == [0, 1, 2]
+
+
+def test_outside_river_takes_the_longest_way():
+    y, x = np.mgrid[0:30, 0:30]
+    z = 100 - 1.0 * x + 0.5 * np.abs(y - 15.0)
+    path, area = water.outside_river(z, 10.0, 7e5)
+    to = water.downstream(kernels.steepest(kernels.fill_depressions(z)))
+
+    def steps(i):
+        n = 0
+        while to[i] != i:
+            i, n = to[i], n + 1
+        return n
+
+    border = [i for i in range(900) if i // 30 in (0, 29) or i % 30 in (0, 29)]
+    assert len(path) - 1 == max(map(steps, border)) and path[0] in border
+    plain = kernels.accumulate(kernels.fill_depressions(z)).ravel() * 100.0
+    assert (area.ravel()[path] - plain[path] == 7e5).all() and (np.delete(area.ravel(), path) == np.delete(plain, path)).all()
+
+
+def test_sites_are_dry_level_and_apart():
+    y, x = np.mgrid[0:40, 0:40]
+    z = 3 * np.exp(-((x - 10) ** 2 + (y - 10) ** 2) / 30) + 2 * np.exp(-((x - 30) ** 2 + (y - 28) ** 2) / 30)
+    wet = (x - 30) ** 2 + (y - 10) ** 2 < 16
+    score = water.site_scores(z, 6.0, wet)
+    assert np.isnan(score[wet]).all() and np.nanargmax(score) in {yy * 40 + xx for yy in range(8, 13) for xx in range(8, 13)}
+    got = water.sites(score, 12.0, 4.0, 20, 18)
+    ys, xs = np.divmod(got, 40)
+    gaps = [np.hypot(ys[i] - ys[j], xs[i] - xs[j]) for i in range(len(got)) for j in range(i)]
+    few = water.thinned(score, 12.0, 20)
+    assert len(got) == 20 > len(few) and min(gaps) >= 4 and (got[: len(few)] == few).all() and not wet.ravel()[got].any()
