@@ -59,10 +59,15 @@ def sobol(n: Column, dim: int, scramble: int = 0) -> Column:
 
 
 def cumulative(weights: DataFrame, key: str, weight: str, slices: int = 1024) -> DataFrame:
-    """weights with low and high, the share of weight before a row and with it, in the order of an integer key."""
-    placed = weights.withColumn("__slice", F.floor(F.col(key) / slices))
+    """weights with low and high, the share of weight before a row and with it, in the order of an integer key.
+
+    Slices are of `slices` keys, or of more where that would make over 65536 of them.
+    """
+    least, most = weights.agg(F.min(key), F.max(key)).first()
+    width = max(slices, -(-(most - least + 1) // 65536)) if least is not None else slices
+    placed = weights.withColumn("__slice", F.floor(F.col(key) / width))
     sums = placed.groupBy("__slice").agg(F.sum(weight).alias("__s"))
-    # One row for every `slices` keys goes through this window.
+    # 65536 rows at most go through this window.
     over = Window.orderBy("__slice")
     before = sums.select("__slice", (F.sum("__s").over(over) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__all"))
     run = F.sum(weight).over(Window.partitionBy("__slice").orderBy(key)) + F.col("__before")

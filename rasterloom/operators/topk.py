@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Templates that are sent to every world.
+TEMPLATES = 4096
+
+
 def template_matches(worlds: DataFrame, templates: DataFrame, offsets: list[int], length: int) -> DataFrame:
     """(template_id, vec_id, off, mse): the best offset of each pair by mean-removed squared error.
 
     worlds (vec_id, v: array<double>), templates (template_id, t: array<double>). The sums run
-    inside the arrays, so a pair is one row and never a row for each element.
+    inside the arrays, so a pair is one row and never a row for each element. Over TEMPLATES templates raise.
     """
+    if templates.limit(TEMPLATES + 1).count() > TEMPLATES:
+        raise ValueError("too many templates to send to every world")
+
     def add(a, f):
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
 
     t = templates.select("template_id", "t", add(F.col("t"), lambda x: x).alias("st"), add(F.col("t"), lambda x: x * x).alias("stt"))
     w = worlds.select("vec_id", F.explode(F.array(*map(F.lit, offsets))).alias("off"), "v").select("vec_id", "off", F.slice("v", F.col("off") + 1, length).alias("g"))
     w = w.select("vec_id", "off", "g", add(F.col("g"), lambda x: x).alias("sg"), add(F.col("g"), lambda x: x * x).alias("sgg"))
-    # Every world meets every template: the templates are the few stated queries.
+    # Every world meets every template, of which there are TEMPLATES at most.
     both = w.crossJoin(F.broadcast(t))
     sgt = add(F.zip_with("g", "t", lambda a, b: a * b), lambda x: x)
     mse = F.greatest((F.col("sgg") - 2 * sgt + F.col("stt")) / length - F.pow((F.col("sg") - F.col("st")) / length, 2), F.lit(0.0))

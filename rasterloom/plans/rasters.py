@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import noise
 from ..operators import erosion as erode
 from ..operators import kernels, stencil, terrain
-from ..sources.tables import RASTER, raster, table
+from ..sources.tables import RASTER, SUPPLIER_TILES, raster, supplier_tiles, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -69,6 +69,22 @@ def tile_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile", F.col("lo.x").alias("min_x"), F.col("lo.y").alias("min_y"), F.col("hi.x").alias("max_x"), F.col("hi.y").alias("max_y"))
 
 
+@query(f"WITH {SLOPE.replace(RASTER, SUPPLIER_TILES)} SELECT tile, count(*) AS n_cells, round(avg(slope), 6) AS mean_slope, round(max(slope), 6) AS steepest, round(avg((slope < 6)::INT), 6) AS play_share FROM s GROUP BY tile")
+def supplier_tile_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes on a raster whose tiles grow in number with the data."""
+    s = stencil.slope(supplier_tiles(spark, sf_dir))
+    return s.groupBy("tile").agg(F.count("*").alias("n_cells"), r6(F.avg("slope")).alias("mean_slope"), r6(F.max("slope")).alias("steepest"), r6(F.avg((F.col("slope") < 6).cast("double"))).alias("play_share"))
+
+
+@query()
+def supplier_tile_drainage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled heights and drained cells on the same raster, one Arrow group a tile: the most that one cell drains."""
+    from ..operators.landforms import fill_nearest
+
+    most = lambda z: pd.DataFrame({"cells": [z.size], "most": [float(np.nanmax(kernels.accumulate(kernels.fill_depressions(fill_nearest(z)))))]})
+    return kernels.per_tile(supplier_tiles(spark, sf_dir), most, "cells int, most double")
+
+
 @query(f"WITH {SLOPE} SELECT tile, x, y, round(gx, 6) AS gx, round(gy, 6) AS gy, round(slope, 6) AS slope FROM s")
 def slope_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.slope(raster(spark, sf_dir)).select("tile", "x", "y", r6("gx").alias("gx"), r6("gy").alias("gy"), r6("slope").alias("slope"))

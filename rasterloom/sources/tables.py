@@ -37,6 +37,12 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("tile"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), (F.col("l_orderkey") % SIDE).cast("int").alias("y")).agg(F.avg("l_quantity").alias("z"))
 
 
+def supplier_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells (tile, x, y, z) of 16 x 16 lattices, a tile for every ten suppliers: their number grows with the data."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.floor(F.col("l_suppkey") / 10).cast("string").alias("tile"), (F.col("l_partkey") % 16).cast("int").alias("x"), (F.col("l_orderkey") % 16).cast("int").alias("y")).agg(F.avg("l_quantity").alias("z"))
+
+
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices (line, i, px, py): a user's events in time order, at (place, value)."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -50,5 +56,6 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB SQL, as common table expressions.
 RASTER = "r AS (SELECT l_returnflag || l_linestatus AS tile, (l_partkey % 32)::INT AS x, (l_orderkey % 32)::INT AS y, avg(l_quantity) AS z FROM lineitem GROUP BY ALL)"
+SUPPLIER_TILES = "r AS (SELECT (l_suppkey // 10)::VARCHAR AS tile, (l_partkey % 16)::INT AS x, (l_orderkey % 16)::INT AS y, avg(l_quantity) AS z FROM lineitem GROUP BY ALL)"
 LINES = "l AS (SELECT user_id AS line, row_number() OVER w AS i, (row_number() OVER w)::DOUBLE AS px, value AS py FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 SERIES = "e AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
