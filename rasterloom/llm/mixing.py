@@ -30,7 +30,7 @@ gives no rows. repeat_copies() returns the columns of docs, whatever their names
 from __future__ import annotations
 
 from functools import reduce
-from math import exp, log
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,33 +95,47 @@ def _solve(rows: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] if a[i][i] else 0.0 for i in range(n)]
 
 
-def _log_rate(masses: list[Column], target: Column, tilt: list[float], cap: float) -> Column:
-    """A source's multiplier: at it, min(cap, exp(multiplier + tilt)) times the masses add up to the target."""
-    order = sorted(range(len(tilt)), key=lambda j: -tilt[j])
-    found = F.lit(700.0)  # every class at the cap
-    for k in reversed(range(len(order))):
-        at_cap = reduce(lambda a, b: a + b, (masses[j] for j in order[:k]), F.lit(0.0))
-        free = reduce(lambda a, b: a + b, (masses[j] * F.lit(exp(tilt[j])) for j in order[k:]))
-        left = target - F.lit(cap) * at_cap
-        value = F.when((free > 0) & (left > 0), F.log(left / free))
-        found = F.when(value + F.lit(tilt[order[k]]) <= F.lit(log(cap)), value).otherwise(found)
-    return F.when(target > 0, found).otherwise(F.lit(-700.0))
+def _bind(value: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _log_rate(tilt: Column, many: int, cap: float) -> Column:
+    """A source's multiplier: at it, min(cap, exp(multiplier + tilt)) times its mass by class adds up to its target.
+
+    With the k classes of the greatest tilts at the cap the rest's equation is closed; the first k that holds is right.
+    """
+    falling = F.array_sort(F.zip_with("mass", tilt, lambda m, t: F.struct((-t).alias("t"), m.cast("double").alias("m"))))
+
+    def with_capped(p: Column, k: Column) -> Column:
+        at_cap = _sum(F.transform(F.slice(p, F.lit(1), k), lambda x: x["m"]))
+        free = _sum(F.transform(F.slice(p, k + 1, F.lit(many) - k), lambda x: x["m"] * F.exp(-x["t"])))
+        sums = F.struct((F.col("target") - F.lit(cap) * at_cap).alias("left"), free.alias("free"))
+        value = _bind(sums, lambda v: F.when((v["free"] > 0) & (v["left"] > 0), F.log(v["left"] / v["free"])))
+        return _bind(value, lambda v: F.when(v - F.get(p, k)["t"] <= log(cap), v))
+
+    tried = _bind(falling, lambda p: F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: with_capped(p, k)))
+    # Every class is at the cap where none holds.
+    return F.when(F.col("target") > 0, F.coalesce(F.get(F.filter(tried, lambda x: x.isNotNull()), F.lit(0)), F.lit(700.0))).otherwise(F.lit(-700.0))
 
 
 def balance(sources: DataFrame, aims: list[float], cap: float, slack: float, close: float = 1e-10, rounds: int = 100) -> DataFrame:
     """sources(mass, target, ...) with a column rates: mass and rates are arrays by class.
 
-    aims: the classes' targets; slack: tokens that a class may miss for a tilt by one (0: none).
+    aims: the classes' targets; slack: tokens that a class may miss for a tilt by one (0: none). The
+    multipliers come into the plan as one array, so that every round runs the same generated code.
     """
     many = len(aims)
-    masses = [F.get("mass", F.lit(j)).cast("double") for j in range(many)]
     tilt, whole, step, last = [0.0] * many, max(1.0, sum(aims)), [0.0] * many, None
 
     def rated(tilt: list[float], rows: DataFrame) -> DataFrame:
-        """rows with logs and rates, step by step, so that no expression is written out many times."""
-        logs = F.transform(F.array(*map(F.lit, tilt)), lambda t: F.col("own") + t)
-        rates = F.transform("logs", lambda x: F.when(x >= log(cap), F.lit(cap)).otherwise(F.exp(x)))
-        return rows.withColumn("own", _log_rate(masses, F.col("target"), tilt, cap)).withColumn("logs", logs).withColumn("rates", rates).drop("own")
+        tilts = F.array(*map(F.lit, tilt))
+        logs = rows.withColumn("own", _log_rate(tilts, many, cap)).withColumn("logs", F.transform(tilts, lambda t: F.col("own") + t))
+        return logs.withColumn("rates", F.transform("logs", lambda x: F.when(x >= log(cap), F.lit(cap)).otherwise(F.exp(x)))).drop("own")
 
     def sums(tilt: list[float]):
         cell = lambda c, i: F.get(c, F.lit(i))
@@ -129,8 +143,8 @@ def balance(sources: DataFrame, aims: list[float], cap: float, slack: float, clo
         rows = rows.withColumn("moved", F.zip_with("mass", "rates", lambda m, r: m * r))
         rows = rows.withColumn("free", F.zip_with("moved", "logs", lambda m, x: F.when(x < log(cap), m).otherwise(0.0)))
         # The dual's value given the sources' constraints: their KL against the tilted mass.
-        kl = (cell("moved", i) * (F.log(cell("rates", i)) - F.lit(t) - 1) for i, t in enumerate(tilt))
-        rows = rows.select("moved", "free", F.aggregate("free", F.lit(0.0), lambda a, x: a + x).alias("all"), reduce(lambda a, b: a + b, kl).alias("value"))
+        part = F.zip_with("rates", F.array(*map(F.lit, tilt)), lambda r, t: F.log(r) - t - 1)
+        rows = rows.select("moved", "free", _sum(F.col("free")).alias("all"), _sum(F.zip_with("moved", part, lambda m, x: m * x)).alias("value"))
         across = [F.sum(F.when(F.col("all") > 0, cell("free", i) * cell("free", j) / F.col("all")).otherwise(0.0)) for i in range(many) for j in range(i + 1)]
         return rows.agg(F.sum("value"), *(F.sum(cell("moved", i)) for i in range(many)), *(F.sum(cell("free", i)) for i in range(many)), *across).first()
 
