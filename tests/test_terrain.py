@@ -65,3 +65,20 @@ def test_hardness_is_bounded(spark):
     cells = terrain.heights(points(spark), terrain.Shape(octaves=2)).withColumn("tile", F.lit("a"))
     got = [r.hardness for r in terrain.hardness(cells, "tile", terrain.Shape()).collect()]
     assert len(got) == 40 and all(-1 <= h <= 1 for h in got) and len(set(got)) > 30
+
+
+def test_hardness_sends_no_cells_to_the_driver(spark):
+    # Rows exploded from a small table look few to Spark, so a join would broadcast them.
+    side = F.sequence(F.lit(0), F.lit(15))
+    cells = spark.range(8).select(F.col("id").alias("seed"), F.explode(side).alias("i")).select("seed", F.explode(side).alias("j"), "i")
+    placed = cells.select("seed", (F.col("i") * 31.25).alias("px"), (F.col("j") * 31.25).alias("py"), (F.col("i") * 3.0 + F.col("seed")).alias("z"))
+    hard = terrain.hardness(placed, "seed", terrain.Shape())
+    assert "Broadcast" not in hard._jdf.queryExecution().toString()
+    got = hard.collect()
+    assert len(got) == 8 * 256 and all(-1 <= r.hardness <= 1 for r in got)
+    # Each height stands 16 times in a world, so the 2nd and 98th percentiles are the least and greatest: 0 and 45 m.
+    thick = 45 / 4
+    r = next(r for r in got if r.seed == 0 and r.px == 93.75 and r.py == 62.5)
+    x, y, seed = np.array([93.75]), np.array([62.5]), np.array([0])
+    want = 0.6 * terrain.fbm(x / terrain.HARD_PERIOD, y / terrain.HARD_PERIOD, terrain.mix_seed(seed, terrain.HARD), 2) + 0.4 * terrain.perlin(np.array([r.z / thick]), np.array([0.5]), terrain.mix_seed(seed, terrain.STRATA))
+    assert r.hardness == pytest.approx(want[0])
