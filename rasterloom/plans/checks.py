@@ -47,7 +47,8 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tile, line, violation): a row for each rule broken."""
     found = lambda name, broken, what: layouts.QUERIES[name](spark, sf_dir).where(broken).select("tile", "line", F.lit(what).alias("violation"))
     close = layouts.QUERIES["close_lines"](spark, sf_dir)
-    both = close.select("line").union(close.select("other")).distinct().crossJoin(raster(spark, sf_dir).select("tile").distinct())
+    # Pairs are found once, for both of their lines.
+    both = close.select(F.explode(F.array("line", "other")).alias("line")).distinct().crossJoin(raster(spark, sf_dir).select("tile").distinct())
     parts = [found("corridor_grades", "not ok", "too steep"), found("corridor_water", "not water_ok", "through water"), found("blind_starts", "blind", "blind start"), found("plane_vectors", "not in_box", "out of the square"), both.select("tile", "line", F.lit("too close").alias("violation"))]
     out = parts[0]
     for part in parts[1:]:
