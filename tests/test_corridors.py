@@ -5,6 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from rasterloom import catalogue
 from rasterloom.functions import layouts
 from rasterloom.operators import corridors
 
@@ -32,3 +33,9 @@ def test_segment_gaps_are_segment_distances(spark):
     rows = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(p.T, q.T)], "a double, b double, c double, d double, e double, f double, g double, h double")
     want = [r.x for r in rows.select(layouts.segment_distance(tuple(map(F.col, "abcd")), tuple(map(F.col, "efgh"))).alias("x")).collect()]
     assert np.allclose(corridors.segment_gaps(p, q), want, rtol=0, atol=1e-12) and 0.0 in want
+
+
+def test_violations_find_close_pairs_once(spark):
+    for name in ("layout_violations", "sound_lines"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1
