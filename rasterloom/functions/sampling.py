@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import hash_unit
 from .layouts import relief_estimate, sigmoid
+from .noise import bind
 from .scalars import clamp, from_unit, smoothstep
 
 #: Knobs in order: lower and upper end, by logarithm, whole numbers. Fixed values.
@@ -123,19 +124,23 @@ def par_order(key: Column) -> Column:
         steps.append((total, n))
     for bound, n in reversed(steps):
         threes = F.when(u < bound, n).otherwise(threes)
-    pars = F.concat(F.array_repeat(F.lit(3), threes), F.array_repeat(F.lit(4), 9 - 2 * threes), F.array_repeat(F.lit(5), threes))
+    # Lambdas put their column in wherever it is used: what is used often is bound.
+    pars = bind(threes, lambda n: F.concat(F.array_repeat(F.lit(3), n), F.array_repeat(F.lit(4), 9 - 2 * n), F.array_repeat(F.lit(5), n)))
 
-    def tried(t: Column) -> Column:
+    def tried(pars: Column, t: Column) -> Column:
         mark = lambda what: F.concat(key, F.lit(f":{what}"), t.cast("string"))
         ranked = F.array_sort(F.transform(pars, lambda p, i: F.struct(F.md5(F.concat(mark("order"), F.lit("-"), i.cast("string"))).alias("h"), p.alias("p"))))
-        order = F.transform(ranked, lambda x: x["p"])
+        return bind(F.transform(ranked, lambda x: x["p"]), lambda order: bind(weight(order), lambda w: judged(order, w, hash_unit(mark("take")) < w, t)))
+
+    def weight(order: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((F.get(order, i) == 3) & (F.get(order, i + 1) == 3), TWICE_3).when((F.get(order, i) == 5) & (F.get(order, i + 1) == 5), TWICE_5).otherwise(1.0))
-        weight = F.when(order[0] == 3, OPENER_3).otherwise(1.0) * F.when(order[8] == 3, CLOSER_3).otherwise(1.0) * F.aggregate(pairs, F.lit(1.0), lambda a, x: a * x)
-        taken = hash_unit(mark("take")) < weight
+        return F.when(order[0] == 3, OPENER_3).otherwise(1.0) * F.when(order[8] == 3, CLOSER_3).otherwise(1.0) * F.aggregate(pairs, F.lit(1.0), lambda a, x: a * x)
+
+    def judged(order: Column, w: Column, accepted: Column, t: Column) -> Column:
         # Accepted ones first, in order; then by weight.
-        return F.struct(F.when(taken, 0).otherwise(1).alias("late"), F.when(taken, 0.0).otherwise(-F.round(weight, 9)).alias("w"), t.alias("t"), order.alias("order"))
+        return bind(accepted, lambda taken: F.struct(F.when(taken, 0).otherwise(1).alias("late"), F.when(taken, 0.0).otherwise(-F.round(w, 9)).alias("w"), t.alias("t"), order.alias("order")))
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), tried))["order"]
+    return bind(pars, lambda p: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: tried(p, t))))["order"]
 
 
 def length_of(par: Column, share: Column) -> Column:
@@ -151,5 +156,5 @@ def length_of(par: Column, share: Column) -> Column:
 def hole_lengths(key: Column, pars: Column) -> Column:
     """A length for each of nine pars: each from another ninth of the quantiles 0.06 to 0.94, dealt by hash."""
     dealt = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(F.md5(F.concat(key, F.lit(":ninth"), i.cast("string"))).alias("h"), i.alias("i"))))
-    share = lambda i: 0.06 + 0.88 * ((F.get(dealt, i)["i"] + hash_unit(F.concat(key, F.lit(":share"), i.cast("string")))) / 9.0)
-    return F.transform(pars, lambda p, i: length_of(p, share(i)))
+    share = lambda d, i: 0.06 + 0.88 * ((F.get(d, i)["i"] + hash_unit(F.concat(key, F.lit(":share"), i.cast("string")))) / 9.0)
+    return bind(dealt, lambda d: F.transform(pars, lambda p, i: bind(share(d, i), lambda u: length_of(p, u))))
