@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from rasterloom import catalogue
 from rasterloom.functions import sampling
 
 
@@ -18,3 +19,8 @@ def test_draws_of_many_keys(spark):
     assert all(sorted(r.pars) == [3] * r.pars.count(3) + [4] * r.pars.count(4) + [5] * r.pars.count(3) and sum(r.pars) == 36 for r in got)
     ends = {p: (knots[0][1], knots[-1][1]) for p, knots in sampling.LENGTHS.items()}
     assert all(ends[p][0] <= m <= ends[p][1] for r in got for p, m in zip(r.pars, r.m))
+
+
+def test_lengths_draw_pars_once(spark):
+    plan = catalogue.QUERIES["hole_length_draws"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 1
