@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom import catalogue
 from rasterloom.functions import noise
 from rasterloom.operators import terrain
 
@@ -82,3 +83,8 @@ def test_hardness_sends_no_cells_to_the_driver(spark):
     x, y, seed = np.array([93.75]), np.array([62.5]), np.array([0])
     want = 0.6 * terrain.fbm(x / terrain.HARD_PERIOD, y / terrain.HARD_PERIOD, terrain.mix_seed(seed, terrain.HARD), 2) + 0.4 * terrain.perlin(np.array([r.z / thick]), np.array([0.5]), terrain.mix_seed(seed, terrain.STRATA))
     assert r.hardness == pytest.approx(want[0])
+
+
+def test_eroded_worlds_stay_spread(spark):
+    plan = catalogue.QUERIES["terrain_eroded"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == 2
