@@ -43,3 +43,30 @@ def test_relief_window_is_the_range():
     z[15, 15] = 9.0
     mean, _ = features.relief_within(z, 1.0, 5.0)
     assert mean == pytest.approx(9.0 * 25 / 900)
+
+
+def test_campaign_runs_each_world_once(spark, monkeypatch):
+    from rasterloom import catalogue
+    from rasterloom.plans import worlds
+
+    plans = []
+    monkeypatch.setattr(worlds, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    catalogue.QUERIES["campaign_features"](spark, "/root/testdata/sf0.001")
+    # Heights and features; no sort of all rows, whose sample runs all kernels again, and no hardness.
+    assert len(plans) == 1 and plans[0].count("MapInPandas") == 2 and "FlatMapGroups" not in plans[0] and "], true" not in plans[0] and "Window" not in plans[0]
+
+
+def test_tiles_that_batches_cut_stay_whole(spark):
+    rng = np.random.default_rng(5)
+    grids = {None if k == 3 else f"t{k}": rng.normal(0, 5, (9 + k, 12)) for k in range(7)}
+    rows = [(t, x, y, float(z[y, x])) for t, z in grids.items() for y in range(z.shape[0]) for x in range(z.shape[1])]
+    cells = spark.createDataFrame(rows, "tile string, x int, y int, z double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    got = {r.tile: r for r in features.feature_table(cells, 6.0).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == set(grids)
+    for t, z in grids.items():
+        scalars, vectors = features.compute(z, 6.0)
+        assert np.allclose(np.array([got[t][n] for n in features.SCALARS], float), [scalars[n] for n in features.SCALARS], equal_nan=True)
+        assert all(np.allclose(np.array(got[t][n], float), vectors[n], equal_nan=True) for n in features.VECTORS)
