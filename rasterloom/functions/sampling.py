@@ -140,7 +140,10 @@ def par_order(key: Column) -> Column:
         # Accepted ones first, in order; then by weight.
         return bind(accepted, lambda taken: F.struct(F.when(taken, 0).otherwise(1).alias("late"), F.when(taken, 0.0).otherwise(-F.round(w, 9)).alias("w"), t.alias("t"), order.alias("order")))
 
-    return bind(pars, lambda p: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: tried(p, t))))["order"]
+    # Try by try, and none after the first accepted one: a branch that isn't taken isn't evaluated.
+    none = F.lit(None).cast("struct<late: int, w: double, t: int, order: array<int>>")
+    first = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), none, lambda best, t: F.when(best["late"] == 0, best).otherwise(F.array_min(F.array(best, tried(p, t)))))
+    return bind(pars, first)["order"]
 
 
 def length_of(par: Column, share: Column) -> Column:

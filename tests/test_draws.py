@@ -24,3 +24,13 @@ def test_draws_of_many_keys(spark):
 def test_lengths_draw_pars_once(spark):
     plan = catalogue.QUERIES["hole_length_draws"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_min(") == 1
+
+
+def test_draws_stop_at_the_first_accepted_try(spark, monkeypatch):
+    draw = lambda: {r.id: r.p for r in spark.range(100).select("id", sampling.par_order(F.col("id").cast("string")).alias("p")).collect()}
+    few = draw()
+    monkeypatch.setattr(sampling, "TRIES", 40000)
+    began = time.time()
+    many = draw()
+    # All tries of all keys would be 40 million hashes.
+    assert time.time() - began < 15 and sum(few[k] != many[k] for k in few) <= 5
