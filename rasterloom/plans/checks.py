@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import noise
-from ..operators import kernels, polyline, spatial, stencil, water
+from ..operators import corridors, kernels, polyline, spatial, stencil, water
 from ..operators.landforms import fill_nearest
-from ..sources.tables import RASTER, polylines, raster, scratch, table
+from ..sources.tables import RASTER, dealt, polylines, raster, scratch, table, written
 from . import layouts, rasters
 from .layouts import HOLES, holes
 from .populations import SEG
@@ -43,13 +43,24 @@ VIOLATIONS = f"""SELECT tile, line, 'too steep' AS violation FROM ({_OF["corrido
 UNION ALL SELECT tile, line, 'out of the square' FROM ({_OF["plane_vectors"]}) WHERE NOT in_box UNION ALL SELECT tile, line, 'too close' FROM (SELECT DISTINCT line FROM (SELECT line FROM ({_OF["close_lines"]}) UNION ALL SELECT other FROM ({_OF["close_lines"]}))), (WITH {RASTER} SELECT DISTINCT tile FROM r)"""
 
 
-def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cells, written once for all rules, and the lines, dealt once: a line's samples then stay in its task."""
+    cells = written(raster(spark, sf_dir))
+    return cells, dealt(holes(spark, sf_dir, cells), "tile", "line")
+
+
+def violations(cells: DataFrame, lines: DataFrame) -> DataFrame:
     """(tile, line, violation): a row for each rule broken."""
-    found = lambda name, broken, what: layouts.QUERIES[name](spark, sf_dir).where(broken).select("tile", "line", F.lit(what).alias("violation"))
-    close = layouts.QUERIES["close_lines"](spark, sf_dir)
-    # Pairs are found once, for both of their lines.
-    both = close.select(F.explode(F.array("line", "other")).alias("line")).distinct().crossJoin(raster(spark, sf_dir).select("tile").distinct())
-    parts = [found("corridor_grades", "not ok", "too steep"), found("corridor_water", "not water_ok", "through water"), found("blind_starts", "blind", "blind start"), found("plane_vectors", "not in_box", "out of the square"), both.select("tile", "line", F.lit("too close").alias("violation"))]
+    found = lambda rows, broken, what: rows.where(broken).select("tile", "line", F.lit(what).alias("violation"))
+    # Which lines have one too close is asked, not which pairs are; lines are the same on all tiles.
+    close = corridors.crowded(layouts.on_first(lines), layouts.CELL, layouts.APART).select("line").crossJoin(cells.select("tile").distinct())
+    parts = [
+        found(layouts.grades_of(cells, lines), "not ok", "too steep"),
+        found(layouts.water_of(cells, lines), "not water_ok", "through water"),
+        found(corridors.blind(cells, lines, layouts.CELL), "blind", "blind start"),
+        found(layouts.vectors_of(lines), "not in_box", "out of the square"),
+        close.select("tile", "line", F.lit("too close").alias("violation")),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -58,13 +69,14 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIOLATIONS)
 def layout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(spark, sf_dir)
+    return violations(*played(spark, sf_dir))
 
 
 @query(f"WITH {RASTER}, {HOLES}, b AS ({VIOLATIONS}) SELECT h.tile, h.line FROM h ANTI JOIN b ON b.tile = h.tile AND b.line = h.line")
 def sound_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that break no rule."""
-    return holes(spark, sf_dir).select("tile", "line").join(violations(spark, sf_dir), ["tile", "line"], "left_anti")
+    cells, lines = played(spark, sf_dir)
+    return lines.select("tile", "line").join(violations(cells, lines), ["tile", "line"], "left_anti")
 
 
 # Channels along lines.

@@ -39,3 +39,34 @@ def test_violations_find_close_pairs_once(spark):
     for name in ("layout_violations", "sound_lines"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInPandas") == 1
+
+
+def test_crowded_lines_are_those_of_near_pairs(spark):
+    n = 700
+    ends = np.random.default_rng(6).integers(0, 4000, (n, 4)) / 10.0
+    ends[:, 2:] = ends[:, :2] + np.random.default_rng(7).integers(-60, 60, (n, 2)) / 10.0
+    ends[:9, 2:] = ends[:9, :2]  # points
+    ends[10] = ends[11]
+    lines = spark.createDataFrame([(t, k, *map(float, e)) for t in "ab" for k, e in enumerate(ends[: 700 if t == "a" else 300])], "tile string, line long, ax double, ay double, bx double, by double")
+    pairs = corridors.near_pairs(lines, 60.0, 200.0).collect()
+    got = [(r.tile, r.line) for r in corridors.crowded(lines, 60.0, 200.0).collect()]
+    assert sorted(got) == sorted({(r.tile, x) for r in pairs for x in (r.line, r.other)}) and 100 < len(got) < 900
+
+
+def test_crowded_lines_of_a_dense_field_take_no_pairs(spark, monkeypatch):
+    # 30,000 lines make some 130 million near pairs.
+    import pandas as pd
+
+    met = []
+    gaps = corridors.segment_gaps
+    monkeypatch.setattr(corridors, "segment_gaps", lambda p, q: met.append(p.shape[1]) or gaps(p, q))
+    at = np.random.default_rng(8).integers(0, 60, (30000, 4)) / 2.0
+    rows = pd.DataFrame(at, columns=["ax", "ay", "bx", "by"]).assign(tile="t", line=np.arange(30000))
+    found = pd.concat(corridors._square_crowd(rows, 60.0, 45.0))
+    assert len(found) == 30000 and sum(met) < 10_000_000
+
+
+def test_violations_read_the_cells_once(spark):
+    for name in ("layout_violations", "sound_lines"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_quantity" not in plan and "other" not in plan
