@@ -17,9 +17,12 @@ document's shingles? Links and components are exact up to 64-bit hashes of shing
 3. Within what is left, a pair still shares `need` shingles, so among the c kept ones, rarest
    first, it shares one of the first c - need + 1. Classes that meet there get one block.
 4. A block over the bounds (`block_docs` members or `block_shingles` shingles) may only be chained
-   by passages that many unlike documents share. Its whole sets are posted, and step 3 is done
-   again with need = T in the order of the frequencies within: a document of whose shingles fewer
-   than T are shared by anyone is out, and what meets only in a common passage comes apart.
+   by passages that many unlike documents share. Step 3 is done again on its whole sets, with
+   need = T in the order of the frequencies within: a document of whose shingles fewer than T are
+   shared by anyone is out, and what meets only in a common passage comes apart. The frequencies
+   are counted in 2^SKETCH_BITS slots at most, each for all shingles that fall in it, so nothing
+   of a set is posted but its c - T + 1 rarest. Slots count too many, never too few: a slot of
+   one holds a shingle that nobody shares, and any order that all keep to is right.
 5. A block holds every candidate of its members. Its whole sets are indexed and each member
    searches: short lists are merged through a heap with the lowered threshold T - L, the L longest
    are only probed by binary search, and survivors have their exact overlap. A block that is still
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Workspace, bounded_batches
-from .words import shingle_sets, word_chunks
+from .words import mix64, shingle_sets, word_chunks
 
 #: Frequent shingles that stand last in the order: at most so many, each in so many documents or more.
 HEAVY_MOST, HEAVY_DF = 1 << 16, 500
@@ -61,6 +64,8 @@ HEAP_COST, ARRAY_COST, PROBE_COST = 0.3, 0.012, 0.06
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
 #: log2 of the bits of the filter by which scans find the texts of block members.
 FILTER_BITS = 26
+#: log2 of the slots, a byte each, that count shingles of blocks over the bounds, and of the slots of a chunk of them.
+SKETCH_BITS, CHUNK_BITS = 26, 16
 
 
 def least_overlap(n, percent: int):
@@ -389,16 +394,68 @@ def _sets_of(k: int):
     return run
 
 
-def _post_sets(percent: int):
-    """(token, fp, need, hot) of whole sets, from (fp, sets): need is T, and no list is left out as frequent."""
+def _in_block(block: int, shingles: np.ndarray) -> np.ndarray:
+    """Hashes of a set's shingles that are other ones in each block; their first bits are the slot."""
+    return mix64(shingles ^ np.uint64(block & (1 << 64) - 1))
+
+
+def _slot_counts(bits: int):
+    """(chunk, slots, counts) from (block, sets): how many of a task's sets have a shingle in each slot of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                slot, count = np.unique(np.concatenate(held), return_counts=True)
+                chunk, slot, count = (slot >> CHUNK_BITS).astype(np.int64), slot.astype(np.uint16), count.astype(np.uint32)
+                at = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+                ranges = list(zip(at.tolist(), [*at[1:].tolist(), len(chunk)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[at]), *(pa.array([x[a:b].tobytes() for a, b in ranges], pa.binary()) for x in (slot, count))], ["chunk", "slots", "counts"])
+
+        for batch in batches:
+            for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((_in_block(block, np.frombuffer(raw, np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+    return run
+
+
+def _frequency_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, codes) from (chunk, slots, counts) of whole chunks: a byte a slot that is 0 up to a count of 1 and then rises with its logarithm."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk not in total:
+                total[chunk] = np.zeros(1 << CHUNK_BITS, np.uint32)
+            total[chunk][np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.uint32)
+    for chunk, count in total.items():
+        code = np.where(count > 1, np.minimum(255, 1 + 12 * np.log2(np.maximum(2, count) / 2)), 0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([code.tobytes()], pa.binary())], ["chunk", "codes"])
+
+
+def _rarest_of_sets(percent: int, bits: int, codes_b):
+    """(token, fp) from (fp, block, sets): the rarest c - T + 1 of the c shingles that may be shared in the block, if these are T."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = codes_b.value
         for batch in batches:
-            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            if sets:
-                size = np.array([len(s) for s in sets])
-                fp, need = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), np.repeat(least_overlap(size, percent), size)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), fp, need, np.zeros_like(need))], ["token", "fp", "need", "hot"])
+            tokens, owners, lengths = [], [], []
+            for fp, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.sort(_in_block(block, np.frombuffer(raw, np.uint64)))
+                code = codes[own >> np.uint64(64 - bits)]
+                length = np.count_nonzero(code) - least_overlap(len(own), percent) + 1
+                if length > 0:
+                    own, code = own[code > 0], code[code > 0]
+                    tokens.append(own[np.argsort(code, kind="stable")[:length]])
+                    owners.append(fp)
+                    lengths.append(len(tokens[-1]))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), lengths))], ["token", "fp"])
 
     return run
 
@@ -484,6 +541,17 @@ def _rarest(space: Workspace, shared: DataFrame, parts: int) -> DataFrame:
     return space.save(ranked.mapInArrow(_rare_prefix, "token long, fp long, c long, left long"), "prefix")
 
 
+def _rarest_within(space: Workspace, large: DataFrame, shingles: int, percent: int, parts: int) -> DataFrame:
+    """(token, fp): the rarest shingles in its block that each class of large(fp, block, sets) has to look at; the sets have so many in all."""
+    bits = min(SKETCH_BITS, max(CHUNK_BITS, (4 * shingles).bit_length()))
+    counted = large.select("block", "sets").mapInArrow(_slot_counts(bits), "chunk long, slots binary, counts binary")
+    codes = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    for row in counted.repartition(parts, "chunk").mapInArrow(_frequency_codes, "chunk long, codes binary").toArrow().to_pylist():
+        codes[row["chunk"]] = np.frombuffer(row["codes"], np.uint8)
+    found = space.spark.sparkContext.broadcast(codes.ravel())
+    return space.save(large.select("fp", "block", "sets").mapInArrow(_rarest_of_sets(percent, bits, found), "token long, fp long"), "within")
+
+
 def _meetings(rare: DataFrame) -> DataFrame:
     """(a, b): each class of a list and the least of it."""
     least = rare.where("token is not null").groupBy("token").agg(F.min("fp").alias("leader"), F.count("*").alias("k")).where("k > 1")
@@ -534,10 +602,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     over = F.greatest(F.ceil(F.col("members") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
     work = sets.where(over == 1).withColumn("slices", F.lit(1))
     large = sets.where(over > 1)
-    if not large.isEmpty():
-        whole = large.select("fp", "sets").mapInArrow(_post_sets(percent), "token long, fp long, need long, hot long")
-        again = _rarest(space, _shared(whole, parts), parts)
-        apart = _blocks(space, _meetings(again), "apart")
+    shingles = large.agg(F.sum("n")).first()[0]
+    if shingles:
+        apart = _blocks(space, _meetings(_rarest_within(space, large, shingles, percent, parts)), "apart")
         large = large.drop("block", "members", "shingles").join(apart, "fp")
         large = large.join(totals(large.drop("sets")), "block").select(sets.columns).withColumn("slices", over)
         work = work.union(large)

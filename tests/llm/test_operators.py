@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm import components, host_reputation, language_id, license_rules, maxent_lm, mixing, ngram_join, packing, quality, token_files, transport_stream
 from rasterloom.llm.queries import ORACLES, QUERIES
 from rasterloom.llm.shared import Workspace
+from rasterloom.llm.words import mix64
 
 DATA = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string"
@@ -760,3 +761,55 @@ def test_join_takes_boilerplate_chains_apart(spark):
             rows.append((2 * i + 1, " ".join(shared + body)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), block_docs=16).collect()}
     assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("alike", [40, 92])
+def test_join_posts_less_of_large_blocks_than_the_first_lists(spark, monkeypatch, tmp_path, alike):
+    """Texts chained by a passage, or near copies: rows of postings that each step makes of texts of 100 words, in groups of two sizes."""
+    kind, logs = type(spark.range(0)), []
+    plain = kind.mapInArrow
+
+    def counted(self, func, schema, *args, **more):
+        if not {"token", "fp"} <= {c.split()[0] for c in str(schema).split(", ")}:
+            return plain(self, func, schema, *args, **more)
+        log = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        open(log, "w").close()
+        logs.append(log)
+
+        def run(batches):
+            for batch in func(batches):
+                with open(log, "a") as f:
+                    f.write(f"{len(batch)}\n")
+                yield batch
+
+        return plain(self, run, schema, *args, **more)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    made = []
+    for group in (64, 128):
+        logs.clear()
+        rows = [(i, " ".join([f"p{j}" for j in range(alike)] + [f"x{i}y{j}" for j in range(100 - alike)])) for i in range(group)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), block_docs=16).collect()}
+        assert got == brute_components(rows)
+        made.append([sum(int(x) for x in open(log)) for log in logs])
+        # The first lists hold the first 30 or so of 96 shingles.
+        assert 0 < max(made[-1]) <= group * ngram_join.prefix_length(96, 80)
+    assert len(made[0]) == len(made[1]) and all(b <= 2 * a + group for a, b in zip(*made, strict=True))
+
+
+def test_frequency_codes_never_count_too_few():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(mix64(rng.choice(5000, 60).astype(np.uint64))) for _ in range(200)]
+    owners = [int(x) for x in rng.integers(-3, 3, len(sets))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(owners[i : i + 50], pa.int64()), pa.array([s.tobytes() for s in sets[i : i + 50]], pa.binary())], ["block", "sets"]) for i in range(0, 200, 50)]
+    for bits in (16, 18):
+        slots = [x for half in (batches[:2], batches[2:]) for x in ngram_join._slot_counts(bits)(iter(half))]
+        codes = np.zeros((1 << bits - 16, 1 << 16), np.uint8)
+        for out in ngram_join._frequency_codes(iter(slots)):
+            codes[out.column(0)[0].as_py()] = np.frombuffer(out.column(1)[0].as_py(), np.uint8)
+        true = Counter((b, int(x)) for b, s in zip(owners, sets, strict=True) for x in s)
+        code = {k: int(codes.ravel()[ngram_join._in_block(k[0], np.array([k[1]], np.uint64))[0] >> np.uint64(64 - bits)]) for k in true}
+        assert all(code[k] >= (1 + int(12 * np.log2(n / 2)) if n > 1 else 0) for k, n in true.items())
+        # Nearly all that nobody shares has a slot of its own.
+        alone = [k for k, n in true.items() if n == 1]
+        assert sum(code[k] > 0 for k in alone) < 0.2 * len(alone)
