@@ -2,7 +2,7 @@
 
 The words that training holds LEAST times or more, among the LISTED most frequent, are modelled:
 they are the leaves of a tree of classes, built over the words by falling count. A node cuts its
-words into BRANCH runs of like sums of square roots of counts, its children, down to single words,
+words into BRANCH runs of like sums of counts, its children, down to single words,
 so frequent words are near the root and a token costs a few softmaxes of BRANCH however large the
 vocabulary is; the first two levels make about 1000 classes. The words that are not modelled, the
 tail, are one leaf. P(w | h) is the product of P(child | node, h) down the path. Each factor is a
@@ -44,6 +44,8 @@ from .words import Words, word_chunks
 LISTED, LEAST = 1 << 20, 8
 BRANCH, ANCHORS, ROW_BITS = 32, 32, 17
 ROUNDS, BATCH, RATE = 2, 16384, 1.0
+#: Rows of a run of gradients that are added place by place; longer runs are cut into such pieces.
+PIECE = 8
 #: Ranges of rows that are averaged apart.
 RANGES = 256
 #: Stand-ins for the end of a text and for what precedes it.
@@ -96,27 +98,26 @@ class Tree:
 
     def __init__(self, count: np.ndarray):
         size, nodes, priors, levels = len(count), 0, [], []
-        weight, mass = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.sqrt(count), count))
+        mass = np.concatenate([[0.0], np.cumsum(count)])
         runs = [(0, size)]
         while runs:
             node, child, below = np.full(size, -1, np.int32), np.zeros(size, np.int8), []
-            for a, b in runs:
+            prior = np.full((len(runs), BRANCH), -70, np.float32)
+            for i, (a, b) in enumerate(runs):
                 if b - a <= BRANCH:
                     cuts = np.arange(a, b + 1)
                 else:
-                    even = weight[a] + (weight[b] - weight[a]) * np.arange(1, BRANCH) / BRANCH
-                    cuts = np.unique(np.concatenate([[a], np.clip(np.searchsorted(weight, even), a + 1, b - 1), [b]]))
-                node[a:b], child[a:b] = nodes, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-                prior = np.full(BRANCH, -70, np.float32)
+                    even = mass[a] + (mass[b] - mass[a]) * np.arange(1, BRANCH) / BRANCH
+                    cuts = np.unique(np.concatenate([[a], np.clip(np.searchsorted(mass, even), a + 1, b - 1), [b]]))
+                node[a:b], child[a:b] = nodes + i, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 held = np.log(mass[cuts[1:]] - mass[cuts[:-1]])
-                prior[: len(held)] = held - held.max()
-                priors.append(prior)
-                nodes += 1
+                prior[i, : len(held)] = held - held.max()
                 below += [(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
             levels.append((node, child))
-            runs = below
+            priors.append(prior)
+            nodes, runs = nodes + len(runs), below
         self.node, self.child = (np.stack(x) for x in zip(*levels, strict=True))
-        self.prior = np.stack(priors)
+        self.prior = np.concatenate(priors)
 
 
 class Vocabulary:
@@ -172,10 +173,10 @@ def _find(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
 
 
-def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray, code: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray, code: np.ndarray, distinct: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Leaf of each token; the word before it, the two before it, and the last anchor before it in its row.
 
-    Rows ascend; token is distinct[code].
+    Rows ascend; token is distinct[code], and leaf holds the leaves of distinct.
     """
     n = len(token)
     back = []
@@ -188,7 +189,7 @@ def histories(v: Vocabulary, token: np.ndarray, row: np.ndarray, code: np.ndarra
     begin = np.maximum.accumulate(np.where(head, here, 0))
     last = np.maximum.accumulate(np.concatenate([[-1], np.where(_find(v.anchors, distinct)[1][code], here, -1)[:-1]]))
     skip = np.where(last >= begin, token[np.maximum(last, 0)], START)
-    return v.places(distinct)[code], back[0], back[0] * PAIR + back[1], skip
+    return leaf[code], back[0], back[0] * PAIR + back[1], skip
 
 
 def _rows(features: list[np.ndarray], node: np.ndarray | int, rows: int) -> list[np.ndarray]:
@@ -197,19 +198,34 @@ def _rows(features: list[np.ndarray], node: np.ndarray | int, rows: int) -> list
     return [(((f + np.uint64(i + 1)) ^ group) * MIX >> shift).astype(np.int32) for i, f in enumerate(features)]
 
 
+def _scores(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """Scores of the children, the logarithms of their probabilities but for a constant; prior is overwritten with them."""
+    for r in rows:
+        prior += np.take(table, r, axis=0)
+    return np.clip(prior, -80, 80, out=prior)
+
+
 def _softmax(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
     """Probabilities of the children; prior is overwritten with them."""
-    z = prior
-    for r in rows:
-        z += np.take(table, r, axis=0)
-    np.exp(np.clip(z, -80, 80, out=z), out=z)
+    z = _scores(table, rows, prior)
+    np.exp(z, out=z)
     z *= (1 / np.einsum("ij->i", z))[:, None]
     return z
 
 
-def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Batch by batch and level by level: the tokens whose path goes on, table rows, children, and priors of their nodes."""
-    tree, (leaf, one, pair, skip) = v.tree, histories(v, token, row, *(pd.factorize(token) if coded is None else coded))
+def _coded(v: Vocabulary, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of tokens, the distinct ones in ascending order, which finds them sooner, and their leaves."""
+    code, distinct = pd.factorize(token)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    distinct = distinct[order]
+    return rank[code], distinct, v.places(distinct)
+
+
+def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Batch by batch and level by level: the tokens whose path goes on, table rows, places of their children in the batch's scores, and priors of their nodes."""
+    tree, (leaf, one, pair, skip) = v.tree, histories(v, token, row, *(_coded(v, token) if coded is None else coded))
     for at in range(0, len(token), BATCH):
         on = np.arange(at, min(at + BATCH, len(token)))
         place, a, b = leaf[on], one[on], skip[on]
@@ -220,48 +236,77 @@ def _paths(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray,
                 if not len(go):
                     break
                 on, place, a, b, here = (x[go] for x in (on, place, a, b, here))
-            yield on, _rows([a, b] if level else [a, b, pair[on]], here, len(table)), child[place], np.take(tree.prior, here, axis=0)
+            yield on, _rows([a, b] if level else [a, b, pair[on]], here, len(table)), np.arange(0, len(on) * BRANCH, BRANCH) + child[place], np.take(tree.prior, here, axis=0)
 
 
-def log_probability(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """log10 of the probability of each token's leaf; coded: the token's codes and distinct values, if known."""
+def log_probability(v: Vocabulary, table: np.ndarray, token: np.ndarray, row: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of the probability of each token's leaf; coded: what _coded gives, if known."""
     out = np.zeros(len(token))
     for on, rows, child, prior in _paths(v, table, token, row, coded):
-        p = _softmax(table, rows, prior)[np.arange(len(on)), child]
-        out[on] += np.log10(np.maximum(p, 1e-35))
+        z = _scores(table, rows, prior)
+        own = np.take(z, child).astype(np.float64)
+        np.exp(z, out=z)
+        out[on] += np.maximum((own - np.log(np.einsum("ij->i", z))) / np.log(10), -35)
     return out
 
 
-def _run_sums(x: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sums of x[order] over runs that begin at `at`: short runs place by place, long ones at once."""
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows, distinct ones, where the run of each begins in that order, and its size.
+
+    A row and its place share 32 bits (ROW_BITS and those of BATCH), so numbers are sorted and not places.
+    """
+    bits = (BATCH - 1).bit_length()
+    key = rows.astype(np.uint32) << np.uint32(bits) | np.arange(len(rows), dtype=np.uint32)
+    key.sort()
+    ranked = key >> np.uint32(bits)
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return (key & np.uint32((1 << bits) - 1)).astype(np.int64), ranked[at].astype(np.int64), at, np.diff(np.append(at, len(rows)))
+
+
+def _place_sums(x: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of runs of PIECE places at most, and their sums of x[order] in it: falling sizes, so each place is one slice."""
+    by = np.argsort(-size.astype(np.int8), kind="stable")
+    at, upto = at[by], len(size) - np.cumsum(np.bincount(size, minlength=PIECE + 1))
     out = np.take(x, order[at], axis=0)
-    for k in (1, 2, 3):
-        more = np.flatnonzero((size > k) & (size <= 4))
-        out[more] += np.take(x, order[at[more] + k], axis=0)
-    long = size > 4
-    if long.any():
-        s = size[long]
-        out[long] = np.add.reduceat(np.take(x, order[np.repeat(long, size)], axis=0), np.cumsum(s) - s, axis=0)
-    return out
+    for k, more in enumerate(upto[1:PIECE].tolist(), 1):
+        out[:more] += np.take(x, order[at[:more] + k], axis=0)
+    return by, out
+
+
+def _run_sums(x: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs and the sums of x[order] over them, which begin at `at`: first all short ones, then the long ones by their pieces."""
+    short, long = np.flatnonzero(size <= PIECE), np.flatnonzero(size > PIECE)
+    if len(short):
+        by, sums = _place_sums(x, order, at[short], size[short])
+        yield short[by], sums
+    if len(long):
+        pieces = -(-size[long] // PIECE)
+        first = np.cumsum(pieces) - pieces
+        past = PIECE * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+        by, sums = _place_sums(x, order, np.repeat(at[long], pieces) + past, np.minimum(PIECE, np.repeat(size[long], pieces) - past))
+        parts = np.empty_like(sums)
+        parts[by] = sums
+        yield long, np.add.reduceat(parts, first, axis=0)
 
 
 def learn(v: Vocabulary, table: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Update the table in place from batches of (token, row); gives how often each row was used."""
-    square, used = np.ones(len(table), np.float32), np.zeros(len(table), np.float32)
+    square, used, whole = np.ones(len(table), np.float32), np.zeros(len(table), np.float32), np.dtype((np.void, table.itemsize * BRANCH))
+    entries = table.view(whole)[:, 0]
     for token, row in batches:
         for on, rows, child, prior in _paths(v, table, token, row):
             slope = _softmax(table, rows, prior)
-            slope[np.arange(len(on)), child] -= 1
+            slope.reshape(-1)[child] -= 1
             for r in rows:
-                order = np.argsort(r)
-                ranked = r[order]
-                at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                own, size = ranked[at], np.diff(np.append(at, len(r)))
-                total = _run_sums(slope, order, at, size)
-                square[own] += np.einsum("ij,ij->i", total, total)
-                total *= (RATE / np.sqrt(square[own]))[:, None]
-                table[own] -= total
-                used[own] += size
+                order, distinct, at, size = _runs(r)
+                used[distinct] += size
+                for runs, total in _run_sums(slope, order, at, size):
+                    own = distinct[runs]
+                    squares = np.take(square, own) + np.einsum("ij,ij->i", total, total)
+                    square[own] = squares
+                    total *= (RATE / np.sqrt(squares))[:, None]
+                    np.subtract(np.take(table, own, axis=0), total, out=total)
+                    entries[own] = total.view(whole)[:, 0]
     return used
 
 
@@ -351,15 +396,14 @@ def score(spark: SparkSession, space: Workspace, docs: DataFrame, v: Vocabulary,
             for at, stop, words in word_chunks(batch.column(1), True):
                 token, row = tokens_of(words)
                 rows = stop - at
-                code, distinct = pd.factorize(token)
-                n = v.counts(distinct)[code]
-                tail = (v.places(distinct) == v.tail)[code]
-                known = n > 0
-                half = np.where(known, np.log10(np.maximum(n, 0) + 0.5), 0.0)
+                code, distinct, leaf = _coded(v, token)
+                n = v.counts(distinct)
+                tail, known = (leaf == v.tail)[code], (n > 0)[code]
+                half = np.where(n > 0, np.log10(np.maximum(n, 0) + 0.5), 0.0)[code]
                 add = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: B023, E731
                 size = np.bincount(row, minlength=rows)
                 base = add(half) - size * base_log
-                model = add(log_probability(v, table, token, row, (code, distinct)) + tail * (half - tail_log))
+                model = add(log_probability(v, table, token, row, (code, distinct, leaf)) + tail * (half - tail_log))
                 rest = np.flatnonzero(~known)
                 cut = np.searchsorted(row[rest], np.arange(rows + 1)).astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(cut), pa.array(token[rest].view(np.int64)))

@@ -620,6 +620,30 @@ def test_language_model_updates_follow_the_gradient():
     assert used.sum() == 3 * (3 * levels[0] + 2 * levels[1:].sum())
 
 
+def test_language_model_tree_is_short_where_the_tokens_are():
+    # A token's softmaxes are the levels of its path; no tree of 32 branches has fewer than the entropy in base 32.
+    n = 1_000_000 // np.arange(1, 20_001)
+    levels, share = (maxent_lm.Tree(n).node >= 0).sum(axis=0), n / n.sum()
+    assert (levels * share).sum() < 1.25 * -(share * np.log2(share)).sum() / 5
+
+
+@pytest.mark.parametrize("most", [1, 3, 200, 16384])
+def test_language_model_gradients_of_a_row_are_added_whole(most):
+    # Runs of one place, of a few, of one piece exactly, and of many pieces.
+    rng = np.random.default_rng(most)
+    rows = np.repeat(np.arange(16384), rng.integers(1, most + 1, 16384))[:16384].astype(np.int32) * 8 + 3
+    rng.shuffle(rows)
+    x = rng.normal(size=(len(rows), maxent_lm.BRANCH)).astype(np.float32)
+    order, distinct, at, size = maxent_lm._runs(rows)
+    want = np.zeros((1 << 17, maxent_lm.BRANCH))
+    np.add.at(want, rows, x)
+    got, seen = np.zeros_like(want), np.zeros(1 << 17, int)
+    for runs, sums in maxent_lm._run_sums(x, order, at, size):
+        got[distinct[runs]] += sums
+        seen[distinct[runs]] += 1
+    assert (seen == np.isin(np.arange(1 << 17), rows)).all() and got == pytest.approx(want, abs=1e-3)
+
+
 def test_language_model_odd_rows(spark, odd, none):
     for df in (odd, none):
         space = Workspace(spark, "test")
