@@ -38,8 +38,8 @@ def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as read back from the written token frames; token_files states the cases."""
     import public_tokenizers
 
-    frames, shared = token_files.write_frames(spark, Workspace(spark, "token-files"), table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.read_frames(spark, frames, shared)
+    frames, shards = token_files.write_frames(spark, Workspace(spark, "token-files"), table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_frames(spark, frames, shards)
 
 
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Token-ID output: static range asymmetric numeral coding of token blocks.
 
-Texts are tokenised with a public vocabulary and each document ends with id 0. One global
-histogram gives the shared frequency table (a bounded table: one entry for each id in use, total
-2^SCALE). Documents are range-partitioned by doc_id, so partition p holds the p-th run of the
-ascending order; each task cuts its run into blocks of whole documents and codes every block on
-its own with LANES interleaved states. A block is one frame of bytes, complete in itself but for
-the shared table: document index, checkpoints (states, word position and CRC-32 of the ids up to
-the next) every GAP steps, and the coded words. Any checkpoint of any frame can be decoded alone.
-Frames lie in a table of (shard, block, first, n_tokens, frame) in the shared folder, and a
-file is the frames in the order of (shard, block).
+Texts are tokenised once, with a public vocabulary, and each document ends with id 0. Documents are
+range-partitioned by doc_id, so partition p holds the p-th run of the ascending order; each task
+cuts its run into blocks of whole documents and codes every block on its own with LANES
+interleaved states and the frequency table of its own ids (one entry for each id in use, total
+2^SCALE), so no pass over all texts has to come first. A block is one frame of bytes, complete in
+itself: frequency table, document index, checkpoints (states, word position and CRC-32 of the ids
+up to the next) every GAP steps, and the coded words. Any checkpoint of any frame can be decoded
+alone. Frames lie in a table of (shard, block, first, n_tokens, frame) in the shared folder, beside
+the number of ids in each shard, and a file is the frames in the order of (shard, block).
 
 Tokenising goes by pieces between single spaces that the vocabulary's pre-tokeniser always
 splits at, so each distinct piece is encoded once a worker and looked up afterwards by its 64-bit
@@ -147,8 +147,8 @@ class Pieces:
             starts = starts[(starts <= offsets[row]) | (starts >= offsets[row + 1])]
         return starts
 
-    def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the pieces from each start to the next: the entry of each; and entries in use and their counts."""
+    def find(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The entries of the pieces from each start to the next."""
         ends = np.append(starts[1:], len(data))
         keys = hash_ranges(data, starts, ends)
         inverse, distinct = pd.factorize(keys)
@@ -180,7 +180,7 @@ class Pieces:
             added = ((self.hash, distinct[new]), (self.look, look[at[new]]), (self.first, first), (self.size, size))
             self.hash, self.look, self.first, self.size = (np.insert(a, where, b) for a, b in added)
             place += np.searchsorted(distinct[new], distinct)
-        return place[inverse], place, np.bincount(inverse, minlength=len(distinct))
+        return place[inverse]
 
     def lookup(self, pieces: list[bytes], simple: np.ndarray) -> list[list[int]]:
         """Ids of pieces; simple ones are single pre-tokens, which go straight to the merges."""
@@ -199,7 +199,7 @@ class Pieces:
         starts = self.starts(data, offsets)
         if not len(starts):
             return np.full(rows, END, np.uint32), np.ones(rows, np.int64)
-        entry, _, _ = self.find(data, starts)
+        entry = self.find(data, starts)
         size, first = self.size[entry], self.first[entry]
         row = np.searchsorted(offsets, starts, side="right") - 1
         per_row = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
@@ -235,8 +235,35 @@ def shared_table(counts: dict[int, int]) -> np.ndarray:
     return np.stack([ids, freq])
 
 
+def packed_table(table: np.ndarray) -> bytes:
+    """A frequency table in bytes: their number, then, compressed, steps from id to id and frequencies."""
+    body = zlib.compress(np.concatenate([np.diff(table[0], prepend=0), table[1]]).astype("<u4").tobytes(), 1)
+    return struct.pack("<I", len(body)) + body
+
+
+def unpacked_table(frame: bytes) -> tuple[np.ndarray, int]:
+    """The table at the begin of a stored frame, and where the coded block begins."""
+    (size,) = struct.unpack_from("<I", frame)
+    steps, freq = np.frombuffer(zlib.decompress(frame[4 : 4 + size]), "<u4").astype(np.int64).reshape(2, -1)
+    return np.stack([np.cumsum(steps), freq]), 4 + size
+
+
+def coded(tokens: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    """A block as a stored frame, with the table of its own ids."""
+    times = np.bincount(tokens)
+    ids = np.flatnonzero(times)
+    table = shared_table(dict(zip(ids.tolist(), times[ids].tolist(), strict=True)))
+    return packed_table(table) + Coder(table).encode(tokens, doc_ids, sizes)
+
+
+def decoded(frame: bytes, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, sizes and ids of a stored frame; only: the ids from that checkpoint to the next."""
+    table, at = unpacked_table(frame)
+    return Coder(table).decode(frame[at:], only)
+
+
 class Coder:
-    """Codes and decodes blocks with a shared table."""
+    """Codes and decodes blocks with a frequency table."""
 
     def __init__(self, table: np.ndarray):
         self.ids, freq = table[0].astype(np.uint32), table[1].astype(np.uint64)
@@ -307,41 +334,20 @@ class Coder:
         return doc_ids, sizes, np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _histogram(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = pieces_of(path), np.zeros(1, np.int64)
-        for batch in batches:
-            total[END] += len(batch)
-            for _, _, data, offsets in chunks(batch.column(0)):
-                starts = pieces.starts(data, offsets)
-                if len(starts):
-                    _, entry, times = pieces.find(data, starts)
-                    size = pieces.size[entry]
-                    source = np.arange(int(size.sum())) + np.repeat(pieces.first[entry] - (np.cumsum(size) - size), size)
-                    found = np.bincount(pieces.ids[source], weights=np.repeat(times, size)).astype(np.int64)
-                    if len(found) > len(total):
-                        total = np.pad(total, (0, len(found) - len(total)))
-                    total[: len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
-
-    return run
-
-
 NO_ID = np.iinfo(np.int64).min
 
 
-def _frames(path: str, table_b):
+def _frames(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, pieces, coder = TaskContext.get().partitionId(), pieces_of(path), Coder(table_b.value)
+        shard, pieces = TaskContext.get().partitionId(), pieces_of(path)
         block, first, docs, sizes, tokens, held = 0, 0, [], [], [], 0
 
         def close():
             nonlocal block, first, held
             ids, size = np.concatenate(tokens), np.concatenate(sizes)
-            frame = coder.encode(ids, np.concatenate(docs), size)
+            frame = coded(ids, np.concatenate(docs), size)
             row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([frame], pa.binary())], ["shard", "block", "first", "n_tokens", "frame"])
             block, first, held = block + 1, first + len(ids), 0
             docs.clear(), sizes.clear(), tokens.clear()
@@ -369,35 +375,30 @@ def _frames(path: str, table_b):
 
 
 def write_frames(spark: SparkSession, space: Workspace, docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write docs(doc_id, text) in ascending doc_id order: the frames, and the table (id, frequency)."""
+    """Write docs(doc_id, text) in ascending doc_id order: the frames, and the shards (shard, n_tokens)."""
     docs = bounded_batches(docs)
-    counted = docs.select("text").mapInArrow(_histogram(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    table = shared_table({r.id: r.n for r in counted.collect()} or {END: 1})
-    saved = space.save(spark.createDataFrame([(int(i), int(f)) for i, f in table.T], "id long, frequency long").coalesce(1), "frequencies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Equal rows may fall on either side of a cut, so a doc_id of many rows spreads.
     order = F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text"
     dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at"))
     ordered = dealt.repartitionByRange(parts, *order[:2], "at").sortWithinPartitions(*order).select("doc_id", "text")
-    frames = ordered.mapInArrow(_frames(path, spark.sparkContext.broadcast(table)), "shard int, block long, first long, n_tokens long, frame binary")
-    return space.save(frames, "frames"), saved
+    frames = space.save(ordered.mapInArrow(_frames(path), "shard int, block long, first long, n_tokens long, frame binary"), "frames")
+    return frames, space.save(frames.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1), "shards")
 
 
-def read_frames(spark: SparkSession, frames: DataFrame, saved: DataFrame) -> DataFrame:
+def read_frames(spark: SparkSession, frames: DataFrame, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the frames, decoded."""
-    table_b = spark.sparkContext.broadcast(np.array(sorted(map(tuple, saved.collect())), np.int64).T)
     # One row a shard: as many as the partitions of the write.
     base, total = [], 0
-    for r in frames.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
+    for r in shards.orderBy("shard").collect():
         base.append((r.shard, total))
-        total += r.n
+        total += r.n_tokens
     bases = spark.sparkContext.broadcast(dict(base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(table_b.value)
         for batch in batches:
             for shard, first, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs, sizes, ids = coder.decode(frame)
+                docs, sizes, ids = decoded(frame)
                 end = np.cumsum(sizes.astype(np.int64))
                 start = end - sizes
                 raw = memoryview(ids.astype("<u4").tobytes())

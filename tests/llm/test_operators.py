@@ -323,6 +323,33 @@ def test_checkpoints_decode_alone_and_damage_is_seen():
         coder.decode(frame[:-2000] + bytes(2000))
 
 
+def test_stored_frames_are_complete_in_themselves():
+    rng = np.random.default_rng(7)
+    for ids in (np.zeros(1, np.uint32), np.array([49_999, 0], np.uint32), (rng.geometric(0.001, 300_000) * 7 % 50_000).astype(np.uint32)):
+        frame = token_files.coded(ids, np.array([5]), np.array([len(ids)]))
+        docs, sizes, got = token_files.decoded(frame)
+        assert docs.tolist() == [5] and sizes.tolist() == [len(ids)] and (got == ids).all()
+    step = token_files.GAP * token_files.LANES
+    assert (token_files.decoded(frame, 1)[2] == ids[step : 2 * step]).all()
+
+
+def test_token_files_tokenise_each_text_once(spark):
+    import public_tokenizers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").mapInArrow(passing, "doc_id long, text string")
+    frames = token_files.write_frames(spark, Workspace(spark, "test"), df, public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_files.read_frames(spark, *frames).count() == 50
+    # Once for the bounds of the ranges, once for the frames.
+    assert seen.value == 100
+
+
 def test_pieces_cut_only_where_the_vocabulary_does():
     import public_tokenizers
     from tokenizers import Tokenizer
